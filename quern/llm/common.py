@@ -8,6 +8,7 @@ import struct
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,3 +146,112 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+# ---- numbers of words, packed arrays and files that more than one operator uses
+
+
+class Hashes(dict):
+    """64-bit hash of each word (bytes), kept; cleared by fresh() once it holds keep words."""
+
+    def __init__(self, keep: int = 1_000_000):
+        self.keep = keep
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.keep:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit (public splitmix64 finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def chained(*hashes: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of each row of hashes, in order."""
+    out = mixed(hashes[0])
+    for h in hashes[1:]:
+        out = mixed(out * np.uint64(3) + h)
+    return out
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each 64-bit key; grows with the key, so sorted keys fall into runs."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Non-negative integers as byte planes, lowest first, without the empty high ones."""
+    values = np.ascontiguousarray(values, "<u8")
+    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    return bytes([width]) + np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplanes(data: bytes) -> np.ndarray:
+    width = data[0]
+    n = (len(data) - 1) // width if width else 0
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width, 1).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def sorted_planes(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as planes of their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unsorted_planes(data: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(data), dtype=np.uint64)
+
+
+def file_system(uri: str):
+    """(file system, path) of a URI: local, HDFS or an object store."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(uri)
+
+
+def write_whole(uri: str, data: bytes) -> None:
+    """A file under a name of its own, then moved: readers see a whole file or none."""
+    fs, path = file_system(uri)
+    own = f"{path}.{uuid.uuid4().hex}.part"
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(own) as out:
+        out.write(data)
+    fs.move(own, path)
+
+
+def read_whole(uri: str) -> bytes:
+    fs, path = file_system(uri)
+    with fs.open_input_file(path) as f:
+        return f.read()
+
+
+def buckets_for(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def chunks_of(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of consecutive rows with about chars characters each; null text as empty."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                ids.append(i)
+                texts.append(t or "")
+                size += len(t or "")
+                if size >= chars:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import media, packing, pii, quality, tokenfile
+from quern.llm import bpe, media, packing, pii, quality, tokenfile
 from quern.llm.common import shared_dir
 
 
@@ -51,6 +51,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.ids_digest(bpe.decode_documents(encoded, path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = tokenfile.write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), shared_dir(spark, "token-files"))
     read = tokenfile.read_token_files(spark, shards)
@@ -58,7 +64,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op5_media_columns, op8_pii, op9_token_files)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op5_media_columns, op6_byte_bpe, op8_pii, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,7 +14,6 @@ bytes of the two sequences; ids; boundaries; document ids; CRC-32 of all before.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_schema, encoder, id_text, staged
+from quern.llm.common import arrow_schema, encoder, id_text, read_whole, staged, write_whole
 
 MAGIC, VERSION = b"QTOK", 1
 HEAD = struct.Struct("<4sHHQQQqQQ")
@@ -120,21 +119,6 @@ class Shard:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
-def _fs(uri: str):
-    from pyarrow.fs import FileSystem
-
-    return FileSystem.from_uri(uri)
-
-
-def _write(uri: str, data: bytes) -> None:
-    fs, path = _fs(uri)
-    own = f"{path}.{uuid.uuid4().hex}.part"
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(own) as out:
-        out.write(data)
-    fs.move(own, path)
-
-
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, width: int = 2, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes the shards of docs below folder (a URI that all executors reach); returns their list.
 
@@ -156,7 +140,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         def close() -> None:
             nonlocal size
             path = f"{folder}/part-{part:07d}-{len(rows):05d}.qtok"
-            _write(path, shard_bytes(names, found, width))
+            write_whole(path, shard_bytes(names, found, width))
             rows.append((part, len(rows), path, len(names), size))
             names.clear()
             found.clear()
@@ -195,9 +179,7 @@ def read_token_files(spark: SparkSession, shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, since in zip(*(c.to_pylist() for c in batch.columns)):
-                fs, own = _fs(path)
-                with fs.open_input_file(own) as f:
-                    shard = Shard(f.read())
+                shard = Shard(read_whole(path))
                 ends = shard.ends.all().astype(np.int64)
                 starts = np.append(0, ends[:-1])
                 for at in range(0, shard.n_docs, 1024):
