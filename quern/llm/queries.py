@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, media, packing, pii, quality, tokenfile
+from quern.llm import bpe, media, ngram_join, packing, pii, quality, tokenfile
 from quern.llm.common import shared_dir
 
 
@@ -63,8 +63,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), ngram_join.Join(n=3, percent=90))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op5_media_columns, op6_byte_bpe, op8_pii, op9_token_files)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op5_media_columns, op6_byte_bpe, op8_pii, op9_token_files, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
