@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, media, ngram_join, packing, pii, quality, tokenfile
+from quern.llm import bpe, line_dedup, lm_scoring, media, ngram_join, packing, pii, quality, tokenfile
 from quern.llm.common import shared_dir
 
 
@@ -26,6 +26,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"), counts=True)
+    return found.select("doc_id", "n_lines", "n_removed", F.col("text").alias("clean_text"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media.decode_media(media.encode_media(_table(spark, sf_dir, "documents")))
     return read.select(
@@ -69,8 +78,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op5_media_columns, op6_byte_bpe, op8_pii, op9_token_files, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_lm_scoring, op4_line_dedup, op5_media_columns, op6_byte_bpe, op8_pii, op9_token_files, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": line_dedup.ORACLE_SQL}
