@@ -46,3 +46,11 @@ def test_query(spark, tmp_path):
         ids = own.encode_ordinary(ODD[r.doc_id] or "")
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r.n_tokens == len(ids)
         assert r.decoded_sha256 == hashlib.sha256((ODD[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_queries_of_single_documents(spark, tmp_path):
+    docs(spark, ODD).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.op8_pii(spark, str(tmp_path)).collect()}
+    assert rows[13].n_email == 4 and rows[14].n_ip == 4 and rows[0].spans == "" and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    for name in ("op1_packing", "op2_quality_rules", "op5_media_columns", "op9_token_files"):
+        assert queries.queries()[name](spark, str(tmp_path)).select("doc_id").distinct().count() == len(ODD)
