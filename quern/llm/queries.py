@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, line_dedup, lm_scoring, media, ngram_join, packing, pii, quality, tokenfile
+from quern.llm import bpe, html, line_dedup, lm_scoring, media, ngram_join, packing, pii, quality, tokenfile
 from quern.llm.common import shared_dir
 
 
@@ -53,6 +53,10 @@ def _listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def _is_kind(kind: str) -> Callable[[Column], Column]:
     return lambda span: span["kind"] == kind
 
@@ -82,7 +86,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_lm_scoring, op4_line_dedup, op5_media_columns, op6_byte_bpe, op8_pii, op9_token_files, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_lm_scoring, op4_line_dedup, op5_media_columns, op6_byte_bpe, op7_html_text, op8_pii, op9_token_files, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
