@@ -20,7 +20,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quern.llm.common import arrow_schema, buckets_for, by_batch, chunks_of, id_text, planes, read_whole, shared_dir, unplanes, write_whole
 
@@ -100,24 +99,26 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
         find = regex.compile(pattern).findall
         for doc_ids, texts in chunks_of(batches, chunk_chars):
             number: dict[str, int] = {}
-            counts, at = [], []
+            counts, at = [], [np.zeros(0, np.int32)]
             for t in texts:
                 found = find(t)
                 counts.append(len(found))
-                at += [number.setdefault(w, len(number)) for w in found]
-            seen = [w.encode("utf-8", "replace") for w in number]
-            # Numbers by bucket, then by falling frequency: each bucket answers a run of them.
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in seen), np.int64, len(seen))
-            at = np.array(at, np.int64)
-            order = np.lexsort((-np.bincount(at, minlength=len(seen)), bucket))
+                at.append(np.array([number.setdefault(w, len(number)) for w in found], np.int32))
+            seen, at = [w.encode("utf-8", "replace") for w in number], np.concatenate(at)
+            # Numbered by falling frequency, so positions pack well; a bucket has its words in that order.
+            order = np.argsort(-np.bincount(at, minlength=len(seen)), kind="stable")
             rank = np.empty(len(seen), np.int64)
             rank[order] = np.arange(len(seen))
-            data = positions_file(doc_ids, counts, rank[at])
+            bucket = np.fromiter((zlib.crc32(seen[k]) % buckets for k in order), np.int64, len(seen))
+            where = positions_file(doc_ids, counts, rank[at])
+            data = len(where).to_bytes(8, "little") + where + zlib.compress(planes(bucket), 1)
             name = f"{folder}/{hashlib.sha1(data).hexdigest()}"
             write_whole(name, data)
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            by_bucket = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
             runs = [b for b in range(buckets) if edges[b] < edges[b + 1]] or [0]
-            rows = [(name, b, len(runs), words_blob([seen[k] for k in order[edges[b] : edges[b + 1]]])) for b in runs]
+            rows = [(name, b, len(runs), words_blob([seen[k] for k in order[by_bucket[edges[b] : edges[b + 1]]]])) for b in runs]
+            del seen, number, at
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
     def encode(rows: pd.DataFrame) -> pd.DataFrame:
@@ -145,10 +146,18 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
             flat.append(np.frombuffer(data, "<u4", offset=8 + size))
         lengths, flat = np.concatenate(lengths), np.concatenate(flat)
         starts = np.cumsum(lengths) - lengths
-        doc_ids, counts, words = file_positions(read_whole(rows["chunk"].iloc[0]))
+        data = read_whole(rows["chunk"].iloc[0])
+        size = int.from_bytes(data[:8], "little")
+        doc_ids, counts, ranks_ = file_positions(data[8 : 8 + size])
+        bucket = unplanes(zlib.decompress(data[8 + size :]))
+        answer = np.arange(len(lengths))  # of each word number, its place among the answers
+        if len(bucket) == len(lengths):  # else all words are in bucket 0, in order
+            answer[np.argsort(bucket, kind="stable")] = np.arange(len(lengths))
+        words = answer[ranks_]
         n = lengths[words]
         until = np.cumsum(n)
-        place = np.arange(until[-1] if len(until) else 0) + np.repeat(starts[words] - (until - n), n)
+        place = np.repeat((starts[words] - (until - n)).astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
         ids = flat[place].tobytes() if len(place) else b""
         ends = np.append(0, until)[np.cumsum(counts)].tolist() if len(counts) else []
         parts = [ids[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
@@ -160,19 +169,15 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """Adds decoded: the bytes of the ids by the token-byte table; null ids give null."""
+    """Adds decoded, the bytes of the ids by the token-byte table, and ids_sha256, the SHA-256 of the
+    decimal ids joined by commas in lowercase hex; null ids give nulls."""
 
     def rows(c: dict) -> dict:
         table = token_bytes(ranks_path).__getitem__
-        return c | {"decoded": [None if x is None else b"".join(map(table, np.frombuffer(x, "<u4").tolist())) for x in c["ids"]]}
+        ids = [None if x is None else np.frombuffer(x, "<u4").tolist() for x in c["ids"]]
+        return c | {
+            "decoded": [None if x is None else b"".join(map(table, x)) for x in ids],
+            "ids_sha256": [None if x is None else hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids],
+        }
 
-    return by_batch(encoded.select("doc_id", "n_tokens", "ids"), rows, "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
-
-
-def ids_digest(encoded: DataFrame) -> DataFrame:
-    """Adds ids_sha256: SHA-256 of the decimal ids joined by commas, lowercase hex."""
-
-    def rows(c: dict) -> dict:
-        return c | {"ids_sha256": [hashlib.sha256(",".join(map(str, np.frombuffer(x, "<u4").tolist())).encode()).hexdigest() for x in c["ids"]]}
-
-    return by_batch(encoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256")), rows, "doc_id bigint, n_tokens bigint, ids binary, decoded_sha256 string, ids_sha256 string")
+    return by_batch(encoded.select("doc_id", "n_tokens", "ids"), rows, "doc_id bigint, n_tokens bigint, ids binary, decoded binary, ids_sha256 string", batch_rows=64)

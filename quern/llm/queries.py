@@ -71,7 +71,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe.ids_digest(bpe.decode_documents(encoded, path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.decode_documents(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
