@@ -1 +1 @@
-"""operators."""
+"""DataFrame to DataFrame operators."""

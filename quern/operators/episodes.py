@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quern.functions.text import collapse, completed_goal_phrase, goal_phrase, safe_name, truncate
 from quern.operators.actions import action_json, past_summary, reason
 
 STARTED = "You just started, no action has been performed yet."
-BY_STEP = Window.partitionBy("episode_id").orderBy("step_index")
-BEFORE = BY_STEP.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def by_step() -> WindowSpec:
+    """Steps of an episode in order."""
+    return Window.partitionBy("episode_id").orderBy("step_index")
+
+
+def before() -> WindowSpec:
+    """All earlier steps of the episode."""
+    return by_step().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def with_history(steps: DataFrame, teacher: DataFrame | None = None) -> DataFrame:
@@ -23,7 +31,7 @@ def with_history(steps: DataFrame, teacher: DataFrame | None = None) -> DataFram
         steps = steps.join(teacher.select("episode_id", "step_index", F.col("line").alias("_line")), ["episode_id", "step_index"], "left")
         derived = F.coalesce("_line", derived)
     line = F.concat(F.lit("Step "), (F.col("step_index") + 1).cast("string"), F.lit(": "), derived)
-    out = steps.withColumn("step_line", line).withColumn("history", F.collect_list("step_line").over(BEFORE)).withColumn("previous_instruction", F.lag("instruction").over(BY_STEP))
+    out = steps.withColumn("step_line", line).withColumn("history", F.collect_list("step_line").over(before())).withColumn("previous_instruction", F.lag("instruction").over(by_step()))
     return out.drop("_line")
 
 
@@ -48,7 +56,7 @@ def compact_history(lines: Column, summaries: Column, recent: int = 5, part: int
 def with_compact_history(steps: DataFrame) -> DataFrame:
     """Adds compact, from with_history's rows: an older step is told by its instruction, else by its action."""
     told = F.coalesce(F.when(F.col("instruction").isNotNull(), collapse(F.col("instruction"))), past_summary())
-    return steps.withColumn("_told", F.collect_list(told).over(BEFORE)).withColumn("compact", compact_history(F.col("history"), F.col("_told"))).drop("_told")
+    return steps.withColumn("_told", F.collect_list(told).over(before())).withColumn("compact", compact_history(F.col("history"), F.col("_told"))).drop("_told")
 
 
 def key_string(instruction: Column, previous: Column) -> Column:
@@ -75,7 +83,7 @@ def qkv_rows(steps: DataFrame, skip_invalid: bool = False, keyboard_enter: bool
     episode's last step. An invalid action is skipped, or becomes an infeasible status. One window
     by episode serves all of it.
     """
-    rows = steps.withColumn("previous", F.lag("instruction").over(BY_STEP)).withColumn("_last", F.lead("step_index").over(BY_STEP).isNull())
+    rows = steps.withColumn("previous", F.lag("instruction").over(by_step())).withColumn("_last", F.lead("step_index").over(by_step()).isNull())
     step = F.col("step_index").cast("string")
     bad = F.col("invalid").isNotNull()
     kind = F.col("action_type")

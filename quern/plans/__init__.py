@@ -1 +1 @@
-"""plans."""
+"""Registered queries, their inputs and their SQL."""

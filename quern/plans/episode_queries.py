@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.compat import written
@@ -10,8 +10,10 @@ from quern.operators import actions, episodes, sampling, stats
 from quern.plans.fixtures import STEPS, steps
 from quern.plans.registry import query
 
-#: The screen of a step shows these indices: those of its own decade.
-VISIBLE = F.sequence(F.lit(0), F.lit(59)).cast("array<bigint>")
+def visible() -> Column:
+    """Indices that every screen shows."""
+    return F.sequence(F.lit(0), F.lit(59)).cast("array<bigint>")
+
 
 CONVERTED = f"""{STEPS}, placed AS (
   SELECT *, action_type IN ('click', 'long_press') AS is_point, x IS NOT NULL AND y IS NOT NULL AS has_xy,
@@ -48,12 +50,12 @@ def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _converted(spark, sf_dir).withColumns({"x": F.lit(None).cast("bigint"), "y": F.lit(None).cast("bigint")})
-    return rows.withColumn("invalid", actions.error_code(VISIBLE, index_only=True)).drop("x", "y")
+    return rows.withColumn("invalid", actions.error_code(visible(), index_only=True)).drop("x", "y")
 
 
 @query(f"WITH {STEPS} SELECT episode_id, step_index, action_type, lag(instruction) OVER (PARTITION BY episode_id ORDER BY step_index) AS previous, lead(action_type) OVER (PARTITION BY episode_id ORDER BY step_index) AS following FROM steps")
 def episode_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return steps(spark, sf_dir).select("episode_id", "step_index", "action_type", F.lag("instruction").over(episodes.BY_STEP).alias("previous"), F.lead("action_type").over(episodes.BY_STEP).alias("following"))
+    return steps(spark, sf_dir).select("episode_id", "step_index", "action_type", F.lag("instruction").over(episodes.by_step()).alias("previous"), F.lead("action_type").over(episodes.by_step()).alias("following"))
 
 
 @query(f"WITH {CONVERTED} SELECT episode_id, step_index, action_type, idx, text, direction, app_name, goal_status, conversion_error FROM converted")
@@ -71,7 +73,7 @@ RAW_CODE = """CASE WHEN action_type = 'swipe' THEN 'unsupported_action_type'
 @query(f"WITH {STEPS} SELECT episode_id, step_index, {RAW_CODE} AS code FROM steps")
 def action_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw actions as they are, against the same rules."""
-    return steps(spark, sf_dir).select("episode_id", "step_index", actions.error_code(VISIBLE, index_only=True).alias("code"))
+    return steps(spark, sf_dir).select("episode_id", "step_index", actions.error_code(visible(), index_only=True).alias("code"))
 
 
 LINES = """lines AS (SELECT *, 'Step ' || (step_index + 1) || ': Action selected: ' || action || '.' || coalesce(' Instruction: ' || instruction || '.', '') AS line FROM jsons),

@@ -1 +1 @@
-"""sources."""
+"""Readers and writers of row files, matrices and records."""

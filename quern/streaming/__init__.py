@@ -1 +1 @@
-"""streaming."""
+"""Incremental builds on file streams."""
