@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import geometry
+from quern.operators import geometry, screens
 from quern.plans.fixtures import ELEMENTS, elements, table
 from quern.plans.registry import query
 
@@ -64,3 +64,81 @@ def screen_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = F.when(k == 0, F.filter(F.array(F.struct((900 + k).alias("w"), (2000 + k).alias("h"))), lambda x: F.lit(False))).otherwise(F.array(F.struct((900 + k).alias("w"), (2000 + k).alias("h"))))
     found = F.coalesce(F.try_element_at(sizes, (F.col("m") + 1).cast("int")), F.try_element_at(sizes, F.lit(1)), F.struct(F.lit(1080).cast("bigint").alias("w"), F.lit(2400).cast("bigint").alias("h")))
     return rows.select(F.col("l_orderkey").alias("screen"), found["w"].alias("width"), found["h"].alias("height"))
+
+
+NAMES = ("Save", "It's here", 'say "x"', "Settings  menu", "one two three four five six seven eight nine ten eleven")
+CLASSES = ("android.widget.TextView", "android.widget.Button", "android.view.View", "android.widget.EditText")
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements with texts, classes and flags, from the boxes of the fixture."""
+    k = (F.col("x_min") + F.col("y_min")) % 40
+    pick = lambda xs, by: F.element_at(F.array(*[F.lit(x) for x in xs]), (by % len(xs) + 1).cast("int"))
+    return elements(spark, sf_dir).withColumn("k", k).select(
+        "screen", "idx", "x_min", "x_max", "y_min", "y_max", "package",
+        F.when(F.col("k") % 4 < 2, pick(NAMES, F.col("k"))).alias("text"),
+        F.when(F.col("k") % 9 == 8, "described").alias("content_description"),
+        F.lit(None).cast("string").alias("hint_text"),
+        pick(CLASSES, F.col("k")).alias("class_name"),
+        F.when(F.col("k") % 5 == 0, "com.x:id/my_switch").otherwise("com.x:id/list_item").alias("resource_name"),
+        F.lit(False).alias("is_checked"), F.col("clickable").alias("is_clickable"), (F.col("editable") & (F.col("k") % 3 == 0)).alias("is_editable"),
+        F.lit(False).alias("is_scrollable"), F.lit(False).alias("is_selected"), F.col("enabled").alias("is_enabled"),
+    )
+
+
+def _array(xs: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+_QUOTE = "CASE WHEN contains({0}, '''') AND NOT contains({0}, '\"') THEN '\"' || {0} || '\"' ELSE '''' || replace({0}, '''', '\\''') || '''' END"
+
+
+@query(
+    f"""WITH {ELEMENTS}, e AS (SELECT *, (x_min + y_min) % 40 AS k, CAST(max(x_max) OVER (PARTITION BY screen) AS DOUBLE) AS w, CAST(max(y_max) OVER (PARTITION BY screen) AS DOUBLE) AS h FROM elements),
+ v AS (SELECT *, CASE WHEN k % 4 < 2 THEN regexp_replace(({_array(NAMES)})[k % 5 + 1], ' +', ' ', 'g') END AS text, CASE WHEN k % 9 = 8 THEN 'described' END AS description, ({_array(tuple(c.rpartition(".")[2] for c in CLASSES))})[k % 4 + 1] AS class, k % 5 = 0 AS named, editable AND k % 3 = 0 AS edit FROM e),
+ i AS (SELECT *, CASE WHEN text IS NOT NULL AND class = 'TextView' AND NOT clickable AND NOT edit AND description IS NULL AND NOT named AND k % 5 = 4 THEN false
+   WHEN text IS NOT NULL OR description IS NOT NULL OR edit THEN true WHEN clickable AND NOT (class = 'View' AND NOT named) THEN true WHEN NOT enabled THEN true ELSE named END AS shown FROM v),
+ s AS (SELECT * FROM i WHERE shown OR idx = 3), m AS (SELECT screen, package AS main FROM (SELECT screen, package, row_number() OVER (PARTITION BY screen ORDER BY count(*) DESC, package) AS r FROM s WHERE package LIKE 'app%' GROUP BY screen, package) WHERE r = 1),
+ z AS (SELECT s.* EXCLUDE (w, h), main, CAST(max(x_max) OVER (PARTITION BY screen) AS DOUBLE) AS w, CAST(max(y_max) OVER (PARTITION BY screen) AS DOUBLE) AS h FROM s LEFT JOIN m USING (screen)),
+ a AS (SELECT *, {_axis("x_min", "x_max", "w", ("left", "center", "right"))} AS ax, {_axis("y_min", "y_max", "h", ("top", "middle", "bottom"))} AS ay FROM z),
+ l AS (SELECT *, CASE WHEN w > 0 AND h > 0 AND x_max > x_min AND y_max > y_min THEN CASE WHEN ax = 'full' AND ay = 'full' THEN 'full-screen' WHEN ax = 'full' THEN ay || '-full' WHEN ay = 'full' THEN 'full-' || ax ELSE ay || '-' || ax END END AS loc,
+   CASE WHEN package = 'com.android.systemui' THEN 'system' WHEN contains(package, 'inputmethod') THEN 'keyboard' WHEN package <> '' AND package IS DISTINCT FROM main THEN package END AS pkg FROM a),
+ t AS (SELECT screen, idx, concat_ws(', ', 'text=' || {_QUOTE.format("text")}, 'content_description=''' || description || '''', 'class_name=''' || class || '''', 'loc=''' || loc || '''', CASE WHEN clickable THEN 'is_clickable' END, CASE WHEN edit THEN 'is_editable' END, CASE WHEN NOT enabled THEN 'disabled' END, 'package_name=''' || pkg || '''') AS args FROM l),
+ d AS (SELECT *, row_number() OVER (PARTITION BY screen, args ORDER BY idx) AS r FROM t)
+SELECT screen, idx, 'UI element ' || idx || ': UIElement(' || args || ')' AS line FROM d WHERE r = 1 OR idx = 3"""
+)
+def compact_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screens.compact_listing(_listed(spark, sf_dir), F.col("idx") == 3)
+
+
+@query()
+def listing_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compact lines parsed back into fields; tests compare both sides."""
+    return screens.parse_listing(screens.compact_listing(_listed(spark, sf_dir))).select("screen", "idx", "element.*")
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, text, turn % 3 AS k FROM conversations)
+SELECT conv_id, turn, md5('What is the next AndroidWorld action?' || chr(10) || chr(10) || 'The current AndroidWorld user goal is: goal ' || conv_id || chr(10) || 'History: ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || 'The visible UI elements are:' || chr(10)
+  || CASE k WHEN 0 THEN '{screens.NO_ELEMENTS}' ELSE 'UI element 1: x' END || chr(10) || chr(10) || '{screens.ALLOWED_ACTIONS}' || chr(10) || chr(10) || '{screens.ANSWER_FORMAT}') AS q_md5 FROM t"""
+)
+def question_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions assembled, taken apart and assembled again."""
+    ui = F.when(F.col("turn") % 3 == 0, "").otherwise("UI element 1: x")
+    q = screens.question(F.concat(F.lit("goal  "), F.col("conv_id").cast("string")), F.col("text"), ui)
+    rows = table(spark, sf_dir, "conversations").withColumn("q", q)
+    return rows.select("conv_id", "turn", F.md5(screens.renormalized(F.col("q"))).alias("q_md5"))
+
+
+@query("SELECT l_orderkey AS screen, count(*) FILTER (WHERE l_linenumber % 3 <> 1 OR l_returnflag = 'R') AS kept FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1 HAVING kept > 0")
+def tree_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two windows a screen; inner nodes without a description go, and so do invisible ones."""
+    node = F.struct(
+        F.when(F.col("l_linenumber") % 3 == 1, F.array(F.lit(1))).otherwise(F.filter(F.array(F.lit(1)), lambda x: F.lit(False))).alias("child_ids"),
+        F.when(F.col("l_returnflag") == "R", "d").otherwise("").alias("content_description"),
+        F.lit(False).alias("is_scrollable"),
+        (F.col("l_linestatus") == "F").alias("is_visible"),
+    )
+    windows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_linenumber") % 2).alias("w")).agg(F.collect_list(node).alias("nodes"))
+    forests = windows.groupBy(F.col("l_orderkey").alias("screen")).agg(F.collect_list(F.struct("nodes")).alias("windows"))
+    return screens.flatten_trees(forests).groupBy("screen").agg(F.count("*").alias("kept"))
