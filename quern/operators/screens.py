@@ -149,3 +149,28 @@ def parse_listing(rows: DataFrame, column: str = "line") -> DataFrame:
 
 
 __all__ = ["compact_listing", "flatten_trees", "informative", "listing_text", "parse_listing", "question", "renormalized", "with_arguments"]
+
+
+def labelled_lines(elements: DataFrame, shown: Column) -> DataFrame:
+    """(screen, idx, line): the detailed style, one brace-enclosed line an element that is on the screen."""
+    text = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f'"{c}": "'), F.col(c), F.lit('"')))
+    flag = lambda c: F.concat(F.lit(f'"{c}": '), F.when(_is(c), "True").otherwise("False"))
+    only = lambda c: F.when(_is(c), F.lit(f'"{c}": True'))
+    parts = [F.concat(F.lit('"index": '), F.col("idx").cast("string")), text("text"), text("content_description"), text("hint_text"), flag("is_clickable"), flag("is_editable"), only("is_scrollable"), flag("is_selected"), flag("is_checked")]
+    line = F.concat(F.lit("UI element "), F.col("idx").cast("string"), F.lit(": {"), F.array_join(F.array_compact(F.array(*parts)), ", "), F.lit("}"))
+    return elements.filter(shown).select("screen", "idx", line.alias("line"))
+
+
+def selection_prompt(goal: Column, history: Column, ui: Column, prefix: str = "", guidance: str = "") -> Column:
+    """A prompt that asks for the next action, around a goal, a history and a listing."""
+    return F.concat(
+        F.lit(f"{prefix}\nThe current user goal/request is: "), goal, F.lit("\n\nHere is a history of what you have done so far:\n"), history,
+        F.lit("\n\nHere is a list of descriptions for some UI elements on the current screen:\n"), F.coalesce(F.when(ui != "", ui), F.lit("Not available")),
+        F.lit(f'{guidance}\n\nNow output an action from the above list in the correct JSON format, following the reason why you do that. Your answer should look like:\nReason: ...\nAction: {{"action_type":...}}\n\nYour Answer:\n'),
+    )
+
+
+def prompt_section(text: Column, start: str, ends: tuple[str, ...]) -> Column:
+    """What stands between the first match of start and the nearest match of an end; empty without a start."""
+    body = F.regexp_extract(text, f"(?is){start}(.*)$", 1)
+    return F.regexp_replace(F.element_at(F.split(body, "(?is)" + "|".join(ends), 2), 1), r"^\s+|\s+$", "")

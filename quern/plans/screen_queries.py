@@ -142,3 +142,13 @@ def tree_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_linenumber") % 2).alias("w")).agg(F.collect_list(node).alias("nodes"))
     forests = windows.groupBy(F.col("l_orderkey").alias("screen")).agg(F.collect_list(F.struct("nodes")).alias("windows"))
     return screens.flatten_trees(forests).groupBy("screen").agg(F.count("*").alias("kept"))
+
+
+@query(
+    f"""WITH {ELEMENTS}, e AS (SELECT *, (x_min + y_min) % 40 AS k FROM elements WHERE {ON}), t AS (SELECT *, CASE WHEN k % 4 < 2 THEN ({_array(NAMES)})[k % 5 + 1] END AS text, CASE WHEN k % 9 = 8 THEN 'described' END AS d FROM e)
+SELECT screen, idx, 'UI element ' || idx || ': {{' || concat_ws(', ', '"index": ' || idx, '"text": "' || text || '"', '"content_description": "' || d || '"', '"is_clickable": ' || CASE WHEN clickable THEN 'True' ELSE 'False' END,
+  '"is_editable": ' || CASE WHEN editable AND k % 3 = 0 THEN 'True' ELSE 'False' END, '"is_selected": False', '"is_checked": False') || '}}' AS line FROM t"""
+)
+def labelled_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = elements(spark, sf_dir).filter(geometry.on_screen()).select("screen", "idx")
+    return screens.labelled_lines(_listed(spark, sf_dir).join(shown, ["screen", "idx"]), F.lit(True))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.compat import WS_SQL
 from quern.functions import text as t
-from quern.operators import chat, evaluation, outputs, stats
+from quern.operators import chat, evaluation, outputs, screens, stats
 from quern.plans.fixtures import VERBS, table
 from quern.plans.registry import query
 
@@ -228,3 +228,56 @@ RESOURCE = "CASE p_partkey % 5 WHEN 0 THEN 'com.x:id/btn_' || replace(p_name, '
 @query(f"SELECT p_partkey, {RESOURCE} AS resource, p_partkey % 5 = 0 AS semantic FROM part")
 def resource_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.expr(RESOURCE).alias("resource")).withColumn("semantic", t.is_semantic_resource(F.col("resource")))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id END AS target FROM events")
+def target_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index to keep when a row's question is normalised, from its answer."""
+    action = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"action_type":"click","index":'), F.col("event_id").cast("string"), F.lit("}"))).when(F.col("event_id") % 3 == 1, '{"action_type":"wait"}').otherwise("none")
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Reason: x\nAction: "), action).alias("a"))
+    return rows.select("event_id", outputs.target_index(F.col("a")).alias("target"))
+
+
+DISTILLED = """CASE event_id % 4 WHEN 0 THEN 'Sure: {"key_string": "For the AndroidWorld goal of x, after step ' || event_id || ', the current screen shows y, and the next action should be.", "reason": "because  of it"}'
+  WHEN 1 THEN '{"key": "a | b", "reason": "r"}' WHEN 2 THEN 'nothing' ELSE '{"reason": "r"}' END"""
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'For the AndroidWorld goal of x, after step ' || event_id || ', the current screen shows y, and the next action should be' END AS key, CASE WHEN event_id % 4 = 0 THEN 'because of it.' END AS reason,
+  CASE event_id % 4 WHEN 1 THEN 'key_string contains pipe separators' WHEN 2 THEN 'no JSON object found' WHEN 3 THEN 'JSON did not contain string field key_string' END AS error FROM events"""
+)
+def distill_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(DISTILLED).alias("raw"))
+    return outputs.with_distilled(rows, "raw").select("event_id", "distilled.key", "distilled.reason", "distilled.error")
+
+
+@query(
+    """WITH h AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+SELECT conv_id, turn, CASE WHEN before IS NULL THEN 'You just started, no action has been performed yet.' ELSE 'Step 1: Action selected: {"action_type":"wait"}. it waited.' || chr(10) || 'Step ' || turn || ': Action selected: {"action_type":"click","index":' || turn || '}. After b, the current screen shows c.' END AS history FROM h"""
+)
+def history_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last readable step takes the key's summary, the others their instruction."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    first = c.groupBy("conv_id").agg(F.min("turn").alias("first"))
+    raw = F.concat(F.lit('Step 1: Action selected: {"action_type":"wait"}. Instruction: it  waited\n Step '), F.col("turn").cast("string"), F.lit(': Action selected: {"action_type":"click","index":'), F.col("turn").cast("string"), F.lit("}."))
+    rows = c.join(first, "conv_id").select("conv_id", "turn", F.when(F.col("turn") > F.col("first"), raw).alias("raw"), F.lit("For the AndroidWorld goal of a, after b, the current screen shows c, and the next action should be").alias("key"))
+    return outputs.with_normalized_history(rows, "raw", outputs.history_summary(F.col("key"))).select("conv_id", "turn", F.col("normalized_history").alias("history"))
+
+
+@query("SELECT count(*) AS total_rows, count(*) FILTER (WHERE turn % 2 = 0) AS q_restored_from_source_rows, count(*) FILTER (WHERE turn % 2 <> 0) AS missing_source_q_rows, count(*) FILTER (WHERE turn % 3 <> 0) AS q_changed_rows, count(*) FILTER (WHERE turn % 3 = 2) AS unparseable_q_rows FROM conversations")
+def normalize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("turn") % 3
+    rows = table(spark, sf_dir, "conversations").withColumn("new", F.when(k == 0, F.col("text")).when(k == 1, F.concat("text", F.lit("!"))))
+    return outputs.changes(rows, "text", "new", F.col("turn") % 2 == 0)
+
+
+@query("SELECT conv_id, turn, 'goal ' || conv_id AS goal, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS history, 'UI element ' || turn AS ui FROM conversations")
+def prompt_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A selection prompt built, and its sections taken out again."""
+    prompt = screens.selection_prompt(F.concat(F.lit("goal "), F.col("conv_id").cast("string")), F.col("text"), F.concat(F.lit("UI element "), F.col("turn").cast("string")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", prompt.alias("p"))
+    p = F.col("p")
+    return rows.select(
+        "conv_id", "turn", screens.prompt_section(p, r"The current user goal/request is:\s*", (r"\n\nHere is a history", r"\n\nHere is a list")).alias("goal"),
+        screens.prompt_section(p, r"Here is a history[^\n]*?:\s*\n", (r"\n\nHere is a list",)).alias("history"), screens.prompt_section(p, r"Here is a list [^\n]*?:\s*\n", (r"\n\nNow output an action",)).alias("ui"),
+    )

@@ -152,3 +152,16 @@ def gmm_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = clustering.fit_hierarchy(vectors(spark, sf_dir))
     out = [df.select(F.lit(i).alias("level"), "member", "cluster") for i, df in enumerate(levels)]
     return out[0].unionByName(out[1])
+
+
+@query(f"WITH {VECTORS} SELECT id, [round(list_sum(list_transform(key, lambda x, i: x * (i % 3))), 5), round(1 + list_sum(list_transform(key, lambda x, i: x * ((i + 1) % 5))), 5)] AS projected FROM vectors")
+def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A linear projection of every key with fixed weights."""
+    weights = [[(i + 1) % 3, (i + 2) % 5] for i in range(64)]
+    return vectors(spark, sf_dir).select("id", F.transform(v.project(F.col("key"), weights, [0, 1]), lambda x: F.round(x, 5)).alias("projected"))
+
+
+@query()
+def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashed word vectors of the benchmark texts; tests check length and nearness of equal texts."""
+    return table(spark, sf_dir, "benchmark").select("item_id", v.hashed_embedding(F.col("text")).alias("key"))

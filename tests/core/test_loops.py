@@ -183,3 +183,50 @@ def test_transcripts(spark):
     text = "Question: a?\nPREDICTION: x is y\nTRUE: z\n" + "-" * 20 + "\nQuestion: b?\nPREDICTION: p\nTRUE: q\n" + "-" * 20 + "\n"
     rows = evaluation.transcripts(spark.createDataFrame([(text,)], "text string")).collect()
     assert [tuple(r) for r in rows] == [("a?", "x is y", "z"), ("b?", "p", "q")]
+
+
+def test_listing_round_trip(spark):
+    from quern.plans import registry
+    from quern.plans.screen_queries import _listed
+
+    folder = "/root/testdata/sf0.001"
+    got = {(r.screen, r.idx): r for r in registry.queries()["listing_round_trip"](spark, folder).collect()}
+    want = {(r.screen, r.idx): r for r in _listed(spark, folder).collect()}
+    assert len(got) > 1000
+    for k, r in got.items():
+        text = " ".join(want[k].text.split()) if want[k].text else None
+        assert r.text == text and bool(r.is_clickable) == want[k].is_clickable and (r.is_enabled is not False) == want[k].is_enabled
+
+
+def test_informative_rules(spark):
+    from quern.operators import screens
+
+    base = dict.fromkeys(("text", "content_description", "hint_text", "class_name", "resource_name"))
+    flags = dict.fromkeys(screens.FLAGS, False) | {"is_enabled": True}
+    long = "word " * 20
+    cases = [
+        ({"text": "Save"}, True),
+        ({"text": "8b1a9953c4611296a827"}, False),
+        ({"text": long, "class_name": "a.TextView"}, False),
+        ({"text": long, "class_name": "a.Button"}, True),
+        ({"text": long, "class_name": "a.TextView", "is_clickable": True}, True),
+        ({"text": long, "class_name": "a.TextView", "content_description": "d"}, True),
+        ({"class_name": "a.View", "is_clickable": True}, False),
+        ({"class_name": "a.Button", "is_clickable": True}, True),
+        ({"is_enabled": False}, True),
+        ({"resource_name": "x:id/wifi_toggle"}, True),
+        ({"resource_name": "x:id/list_item"}, False),
+        ({"is_scrollable": True}, True),
+        ({}, False),
+    ]
+    schema = ", ".join([f"{c} string" for c in base] + [f"{c} boolean" for c in flags])
+    rows = [tuple({**base, **flags, **c}.values()) for c, _ in cases]
+    got = [r.i for r in spark.createDataFrame(rows, schema).coalesce(1).select(screens.informative().alias("i")).collect()]
+    assert got == [want for _, want in cases]
+
+
+def test_embeddings_have_unit_length(spark):
+    from quern.functions import vectors
+
+    rows = [r.e for r in spark.createDataFrame([("a b c",), ("A b, c",), (None,)], "s string").coalesce(1).select(vectors.hashed_embedding(F.col("s")).alias("e")).collect()]
+    assert abs(sum(x * x for x in rows[0]) - 1) < 1e-9 and rows[0] == rows[1] and not any(rows[2])
