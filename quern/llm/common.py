@@ -2,32 +2,51 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries that one worker's word cache holds before it starts anew (about 100 MB).
-CACHE_WORDS = 400_000
-#: Documents whose unseen words are encoded in one call of the tokenizer.
-GROUP_DOCS = 64
+#: Entries that one worker's word cache holds before it keeps only those in use (about 180 MB).
+CACHE_WORDS = 800_000
+#: Characters of the documents whose unseen words are encoded in one call of the tokenizer.
+GROUP_CHARS = 3 << 20
+JOINED_WORDS = 128
+SMALL_TASK_WORDS = 500_000
 
-#: Two characters of white space side by side: there, words can't be encoded on their own.
-_DOUBLE_SPACE = re.compile(r"\s\s|\s\Z")
-_LETTER_STOP = re.compile(r"[A-Za-z][.,]\Z")
+#: Words cut at a blank or line end that can't be encoded on their own: white space meets there.
+_MEETS = re.compile(r"\s\s|\s\Z|\A[^\S\n]|\A\Z")
+#: A stop between a letter and a blank is a word of its own, marked as one without a blank before it.
+_STOP = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n]|\Z)")
+_MARK = "\x02"
+
+
+#: Rows of one Arrow batch between the JVM and Python; both hold a batch outside the heap.
+BATCH_ROWS = 1024
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Just (doc_id bigint, text string), so extra columns of any name can't clash; nulls stay."""
+    """Just (doc_id bigint, text string), so extra columns of any name can't clash; nulls stay.
+
+    Also bounds the session's Arrow batches: whole texts in batches of Spark's default rows are large.
+    """
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession, kind: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which every executor of the cluster reaches.
 
@@ -58,6 +77,7 @@ def by_batch(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]],
                 out = rows({n: part.column(k).to_pylist() for k, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
+    small_batches(df.sparkSession)
     arrow = arrow_schema(df.sparkSession, schema)
     return df.mapInArrow(run, schema)
 
@@ -76,10 +96,11 @@ def sha256(col: Column) -> Column:
 class Encoder:
     """Ids of whole texts by a tokenizers JSON file, as little-endian unsigned 32-bit bytes.
 
-    The text is cut at single blanks and line ends, where both kinds of file start a new word
-    whatever stands around; each distinct cut word is encoded once and kept in a bounded cache.
-    A text with two white-space characters side by side, or one at its end, goes to the tokenizer
-    whole. Equal to Tokenizer.encode(text, add_special_tokens=False) for any text (tests/llm).
+    The text is cut at blanks and line ends; each distinct cut word is encoded once and kept in a
+    bounded cache. A byte-level file marks the blank before a word, and there a new word starts
+    whatever stands around, unless white space meets: such a text goes to the tokenizer whole. The
+    other files drop white space. Equal to Tokenizer.encode(text, add_special_tokens=False) for any
+    text (tests/llm).
     """
 
     def __init__(self, path: str, keep: int = CACHE_WORDS):
@@ -90,51 +111,81 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        #: Byte-level files mark the blank before a word; the others drop white space.
         self.marks_blank = self.tokenizer.normalizer is None
-        self.keep, self.known = keep, {}
+        self.parting = "\n" if self.marks_blank else " ~ "
+        self.keep = keep
+        self.used, self.last = 0, set()  # words cut since rest(), those of the last call
+        #: Of each cut word, its ids; None if it can't be encoded on its own.
+        self.known: dict[str, bytes | None] = {}
+
+    def rest(self) -> None:
+        """At a task's end: after a small task only its last words stay, and memory goes back. Many small
+        tasks run in more workers than there are cores, and a full cache in each is too much."""
+        if self.used < SMALL_TASK_WORDS:
+            self.known = {w: self.known[w] for w in self.last if w in self.known}
+        self.used, self.last = 0, set()
+        trim_memory()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(e)}I", *e.ids) for e in found]
+        return [struct.pack(f"<{len(i)}I", *i) for i in [e.ids for e in found]]
 
     def _cut(self, text: str) -> list[str]:
         if not self.marks_blank:
-            return text.replace("\n", " ").split(" ")
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[w if w[:1] == "\n" else " " + w for w in rest]]
-
-    def _learn(self, words: Iterable[str]) -> None:
-        known, new, stops = self.known, [], []
-        for w in words:
-            # A stop after an ASCII letter is a word of its own in both kinds of file.
-            if _LETTER_STOP.search(w):
-                stops.append(w)
-                if w[:-1] not in known:
-                    new.append(w[:-1])
-                if w[-1] not in known:
-                    new.append(w[-1])
-            else:
-                new.append(w)
-        new = list(dict.fromkeys(new))
-        known.update(zip(new, self.whole(new)))
-        for w in stops:
-            known[w] = known[w[:-1]] + known[w[-1]]
+            text = text.lower() if text.isascii() else text
+            return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+        if _MARK in text:
+            return [""]
+        # A word that starts a line keeps the line end, all others have a blank before them. The
+        # first word is cut as if it started a line; _group takes that line end's id off again.
+        return _STOP.sub(rf" {_MARK}\1", "\n" + text).replace("\n", " \n")[1:].split(" ")
+
+    def _learn(self, words: list[str]) -> None:
+        """Words of letters alone are encoded many at a time, parted by a token none of them has."""
+        known = self.known
+        parting = self.tokenizer.encode(self.parting.strip(" "), add_special_tokens=False).ids
+        letters = [w for w in words if w.isalpha()] if len(parting) == 1 else []
+        at = range(0, len(letters), JOINED_WORDS)
+        lead = " " if self.marks_blank else ""
+        found = self.tokenizer.encode_batch([self.parting.join([lead + w for w in letters[k : k + JOINED_WORDS]]) for k in at], add_special_tokens=False)
+        for k, e in zip(at, found):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == parting[0])).tolist()
+            ids = ids.tobytes()
+            known.update(zip(letters[k : k + JOINED_WORDS], [ids[a:b] for a, b in zip([0, *[x + 4 for x in ends]], [*ends, len(ids)])]))
+        rest = [w for w in words if w not in known]
+        if not self.marks_blank:
+            known.update(zip(rest, self.whole(rest)))
+            return
+        known.update(dict.fromkeys(rest))
+        alone = [w for w in rest if not _MEETS.search(w) and (w[0] != _MARK or len(w) == 2)]
+        known.update(zip(alone, self.whole([w if w[0] == "\n" else w[1] if w[0] == _MARK else " " + w for w in alone])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), GROUP_DOCS):
-            group = texts[at : at + GROUP_DOCS]
-            cut = [None if _DOUBLE_SPACE.search(t) else self._cut(t) for t in group]
-            need = set().union(*(c for c in cut if c is not None))
-            missing = need - self.known.keys()
-            if len(self.known) + len(missing) > self.keep:
-                self.known.clear()
-                missing = need
-            if missing:
-                self._learn(missing)
-            get = self.known.__getitem__
-            out += [self.whole([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(group, cut)]
+        collects = gc.isenabled()
+        gc.disable()  # a big cache of strings makes each collection slow, and nothing here is cyclic
+        try:
+            return self._group(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        cut, known = [self._cut(t) for t in texts], self.known
+        need = set().union(*cut)
+        missing = [w for w in need if w not in known]
+        if len(known) + len(missing) > self.keep:
+            # Words of the present documents stay: most words to come are among them.
+            known = self.known = {w: known[w] for w in need if w in known}
+        if missing:
+            self._learn(missing)
+        self.used, self.last = self.used + sum(map(len, cut)), need
+        get, out, skip = known.__getitem__, [], 4 if self.marks_blank else 0
+        for t, c in zip(texts, cut):
+            try:
+                out.append(b"".join(map(get, c))[skip:] if t else b"")
+            except TypeError:
+                out.append(self.whole([t])[0])
         return out
 
 
@@ -236,6 +287,17 @@ def read_whole(uri: str) -> bytes:
         return f.read()
 
 
+def trim_memory() -> None:
+    """Gives free memory back to the system at a task's end: workers are kept, and share an executor's limit."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
+
+
 def buckets_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -244,8 +306,8 @@ def chunks_of(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[l
     """(ids, texts) of consecutive rows with about chars characters each; null text as empty."""
     ids, texts, size = [], [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
             for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 ids.append(i)
                 texts.append(t or "")

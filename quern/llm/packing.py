@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_schema, encoder, id_text, staged
+from quern.llm.common import GROUP_CHARS, arrow_schema, chunks_of, encoder, id_text, staged
 
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary, open boolean"
 #: Sequences of one partition have ids from partition << SHIFT on, those of one merging group below 0.
@@ -67,7 +67,7 @@ def _emitted(found: list | None) -> list[list]:
     return [found]
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, open_windows: int = 64, merge_partitions: int = 32) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, open_windows: int = 64, merge_partitions: int = 8) -> DataFrame:
     """(doc_id, start, length, doc_tokens, sequence_id, offset, ids): one row a piece of a document.
 
     ids: the piece's ids as little-endian unsigned 32-bit integers; start: ids of the document
@@ -101,25 +101,23 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, ope
             held = 0
             return batch
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(texts)):
-                    ids += end
-                    n = len(ids) // 4
-                    cut = n - n % size
-                    for start in range(0, cut, size):
-                        close([(doc_id, start, n, ids[4 * start : 4 * (start + size)])], False)
-                    if n > cut:
-                        for done in _emitted(windows.place((doc_id, cut, n, ids[4 * cut :]), n - cut)):
-                            close(done, False)
+        for doc_ids, texts in chunks_of(batches, GROUP_CHARS):
+            for doc_id, ids in zip(doc_ids, encode(texts)):
+                ids += end
+                n = len(ids) // 4
+                cut = n - n % size
+                for start in range(0, cut, size):
+                    close([(doc_id, start, n, ids[4 * start : 4 * (start + size)])], False)
+                if n > cut:
+                    for done in _emitted(windows.place((doc_id, cut, n, ids[4 * cut :]), n - cut)):
+                        close(done, False)
                 if held >= FLUSH_BYTES:
                     yield flush()
         for done in windows.rest():
             close(done, True)
         if out:
             yield flush()
+        encoder(tokenizer).rest()
 
     pieces = staged(id_text(docs).mapInArrow(run, PIECES), "packed", "open")
     columns = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_batch, staged
+from quern.llm.common import BATCH_ROWS, by_batch, staged
 
 #: Character classes of the first histogram.
 CLASSES = ("lower", "upper", "other letter", "digit", "white space", "stop", "bracket or quote", "symbol")
@@ -129,7 +129,7 @@ def learn_references(docs: DataFrame, rules: Rules = Rules()) -> References:
         return dict(zip(("lang", "word", "class", "n"), zip(*rows) if rows else [()] * 4))
 
     source = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = by_batch(source, count, "lang string, word string, class int, n bigint", batch_rows=8192).groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
+    counts = by_batch(source, count, "lang string, word string, class int, n bigint", batch_rows=BATCH_ROWS).groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
     counts = staged(counts, "language-counts")
     # Spark keeps the first rows of each window before it shuffles, so a language's words needn't meet.
     top = (

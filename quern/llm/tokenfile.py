@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_schema, encoder, id_text, read_whole, staged, write_whole
+from quern.llm.common import GROUP_CHARS, arrow_schema, chunks_of, encoder, id_text, read_whole, staged, trim_memory, write_whole
 
 MAGIC, VERSION = b"QTOK", 1
 HEAD = struct.Struct("<4sHHQQQqQQ")
-SHARD_IDS = 8 << 20
+SHARD_IDS = 2 << 20
 SAMPLE = 256
 
 
@@ -146,17 +146,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             found.clear()
             size = 0
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                piece = batch.slice(at, 64)
-                for doc_id, ids in zip(piece.column(0).to_pylist(), encode([t or "" for t in piece.column(1).to_pylist()])):
-                    names.append(doc_id)
-                    found.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= shard_ids:
-                        close()
+        for doc_ids, texts in chunks_of(batches, GROUP_CHARS):
+            for doc_id, ids in zip(doc_ids, encode(texts)):
+                names.append(doc_id)
+                found.append(ids + end)
+                size += len(ids) // 4 + 1
+                if size >= shard_ids:
+                    close()
         if names:
             close()
+        encoder(tokenizer).rest()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
@@ -186,5 +185,6 @@ def read_token_files(spark: SparkSession, shards: DataFrame) -> DataFrame:
                     span = range(at, min(at + 1024, shard.n_docs))
                     ids = [shard.ids[starts[k] : ends[k]].astype("<u4").tobytes() for k in span]
                     yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids[at : at + 1024], pa.int64()), pa.array(since + starts[at : at + 1024]), pa.array(ids, pa.binary())], schema=arrow)
+        trim_memory()
 
     return placed.mapInArrow(run, schema)
