@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.compat import written
 from quern.functions.text import char_count, token_count
 
 
@@ -97,9 +98,10 @@ def batch_ids(rows: DataFrame, order: str, size: int, buckets: int = 64) -> Data
     """Adds batch_id, size rows a batch in the given order, the last one partial.
 
     Ranks are dealt out in two steps: ranges of the order are counted, and rows ranked inside their
-    range, so no task sorts the whole table.
+    range, so no task sorts the whole table. The ranged rows are written first, since the bounds of
+    the ranges are sampled and must be the same in both steps.
     """
-    ranged = rows.repartitionByRange(buckets, order).withColumn("_range", F.spark_partition_id())
+    ranged = written(rows.repartitionByRange(buckets, order).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_range").agg(F.count("*").alias("n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(order))

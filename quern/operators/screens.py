@@ -115,21 +115,25 @@ def renormalized(q: Column) -> Column:
 
 
 _LINE = re.compile(r"^\s*UI\s+element\s+(\d+)\s*:\s*UIElement\((.*)\)\s*$", re.I)
+_FIELD = re.compile(r"""(\w+)=('(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|\w+\([^()]*\)|\{[^{}]*\}|[^,]+)|(\w+)""")
 ELEMENT = "idx bigint, text string, content_description string, hint_text string, class_name string, package string, resource_name string, is_checked boolean, is_clickable boolean, is_editable boolean, is_scrollable boolean, is_selected boolean, is_enabled boolean"
 _NAMES = {"package_name": "package"}
 
 
 def parsed_line(line: str | None) -> dict | None:
-    """Fields of one listing line, by the safe literal parser; bare flags are true, "disabled" is not enabled."""
+    """Fields of one listing line, values by the safe literal parser; bare flags are true, "disabled" is not enabled."""
     m = _LINE.match(line or "")
     if not m:
         return None
-    try:
-        call = ast.parse(f"f({m[2]})", mode="eval").body
-        found = {k.arg: ast.literal_eval(k.value) for k in call.keywords if k.arg}
-        found |= {a.id: True for a in call.args if isinstance(a, ast.Name)}
-    except (SyntaxError, ValueError, AttributeError):
-        return None
+    found: dict = {}
+    for name, value, flag in _FIELD.findall(m[2]):
+        if flag:
+            found[flag] = True
+            continue
+        try:
+            found[name] = ast.literal_eval(value)
+        except (SyntaxError, ValueError):
+            continue  # a nested element, such as a box
     if found.pop("disabled", False):
         found["is_enabled"] = False
     out = {_NAMES.get(k, k): v for k, v in found.items()}

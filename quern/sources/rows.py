@@ -17,19 +17,21 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     rid orders rows by file and place in it; quoted fields may hold line ends.
     """
     rows = spark.read.schema(TRIPLE).csv(path, header=True, quote='"', escape='"', multiLine=True, enforceSchema=True)
-    return with_row_id(rows.select("*", F.col("_metadata.file_path").alias("_file")), "_file").drop("_file")
+    return with_row_id(_placed(rows)).drop("_file")
 
 
-def with_row_id(rows: DataFrame, file_column: str) -> DataFrame:
-    """Adds rid, 0, 1, ... by file name and place; files are counted, rows numbered file by file.
+def _placed(rows: DataFrame) -> DataFrame:
+    """Adds _file and _at, a row's place: where its block of the file starts, then the reading order."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"), at.alias("_at"))
 
-    Places come from the reading order inside a file, which Spark keeps; only one row a file is windowed.
-    """
-    placed = rows.withColumn("_at", F.monotonically_increasing_id())
-    counts = placed.groupBy(file_column).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(file_column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    rank = F.row_number().over(Window.partitionBy(file_column).orderBy("_at"))
-    return placed.join(F.broadcast(before), file_column).withColumn("rid", (F.col("_before") + rank - 1).cast("bigint")).drop("_at", "_before")
+
+def with_row_id(placed: DataFrame) -> DataFrame:
+    """Adds rid, 0, 1, ... by file name and place; only one row a file is windowed over all files."""
+    counts = placed.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    rank = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
+    return placed.join(F.broadcast(before), "_file").withColumn("rid", (F.col("_before") + rank - 1).cast("bigint")).drop("_at", "_before")
 
 
 def is_array_file(spark: SparkSession, path: str) -> bool:
@@ -58,15 +60,15 @@ def read_rows_with_fallback(spark: SparkSession, folder: str, name: str, augment
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
     """Entity lines up to the first bad one."""
     schema = T.StructType([*ENTITY.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(schema).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").withColumn("_at", F.monotonically_increasing_id()).cache()
-    first = rows.filter(F.col("_bad").isNotNull()).agg(F.min("_at").alias("_first"))
-    return rows.join(F.broadcast(first)).filter(F.col("_first").isNull() | (F.col("_at") < F.col("_first"))).select(*ENTITY.names)
+    rows = _placed(spark.read.schema(schema).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")).withColumn("_place", F.struct("_file", "_at")).cache()
+    first = rows.filter(F.col("_bad").isNotNull()).agg(F.min("_place").alias("_first"))
+    return rows.join(F.broadcast(first)).filter(F.col("_first").isNull() | (F.col("_place") < F.col("_first"))).select(*ENTITY.names)
 
 
 def read_chunks(spark: SparkSession, path: str, size: int, schema: T.StructType = QKV, most: int | None = None) -> DataFrame:
     """JSON lines with a chunk number; bad lines are left out and not counted; most: chunks kept."""
-    rows = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in schema])).json(path, mode="DROPMALFORMED").select("*", F.col("_metadata.file_path").alias("_file"))
-    out = with_row_id(rows, "_file").drop("_file").withColumn("chunk", F.floor(F.col("rid") / size))
+    rows = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in schema])).json(path, mode="DROPMALFORMED")
+    out = with_row_id(_placed(rows)).drop("_file").withColumn("chunk", F.floor(F.col("rid") / size))
     return out if most is None else out.filter(F.col("chunk") < most)
 
 

@@ -186,6 +186,7 @@ def test_transcripts(spark):
 
 
 def test_listing_round_trip(spark):
+    from quern.operators import screens
     from quern.plans import registry
     from quern.plans.screen_queries import _listed
 
@@ -193,6 +194,8 @@ def test_listing_round_trip(spark):
     got = {(r.screen, r.idx): r for r in registry.queries()["listing_round_trip"](spark, folder).collect()}
     want = {(r.screen, r.idx): r for r in _listed(spark, folder).collect()}
     assert len(got) > 1000
+    assert screens.parsed_line("UI element 7: UIElement(text='a, b', bbox=Box(x=1, y=2), is_clickable, disabled)")["is_enabled"] is False
+    assert screens.parsed_line("UI element 7: other") is None
     for k, r in got.items():
         text = " ".join(want[k].text.split()) if want[k].text else None
         assert r.text == text and bool(r.is_clickable) == want[k].is_clickable and (r.is_enabled is not False) == want[k].is_enabled
