@@ -42,7 +42,7 @@ def round_robin(rows: DataFrame, quota: DataFrame, seed: int = 1607) -> DataFram
     rank where they lie before they meet.
     """
     inside = Window.partitionBy("bucket", "episode").orderBy(hash_order("id", seed=seed), "id")
-    turns = rows.withColumn("_pass", F.row_number().over(inside)).join(F.broadcast(quota.select("bucket", "quota")), "bucket")
+    turns = rows.withColumn("_pass", F.row_number().over(inside)).join(quota.select("bucket", "quota"), "bucket")
     turns = turns.filter(F.col("_pass") <= F.col("quota"))
     whole = Window.partitionBy("bucket").orderBy("_pass", hash_order("episode", seed=seed), "episode")
     return turns.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= F.col("quota")).drop("_pass", "_rank", "quota")

@@ -31,7 +31,7 @@ def with_row_id(placed: DataFrame) -> DataFrame:
     counts = placed.groupBy("_file").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     rank = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
-    return placed.join(F.broadcast(before), "_file").withColumn("rid", (F.col("_before") + rank - 1).cast("bigint")).drop("_at", "_before")
+    return placed.join(before, "_file").withColumn("rid", (F.col("_before") + rank - 1).cast("bigint")).drop("_at", "_before")
 
 
 def is_array_file(spark: SparkSession, path: str) -> bool:
