@@ -29,12 +29,15 @@ def scaled_dot(a: Column, b: Column) -> Column:
 
 
 def layer_norm(a: Column) -> Column:
-    """Zero mean, unit variance, 1e-5 under the root, no scale or shift."""
+    """Zero mean, unit variance, 1e-5 under the root, no scale or shift.
+
+    The sums are bound to a lambda's variable, so they are taken once and not for each element.
+    """
     n = F.size(a).cast("double")
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
-    centred = F.transform(a, lambda x: x - mean)
-    var = dot(centred, centred) / n
-    return F.transform(centred, lambda x: x / F.sqrt(var + 1e-5))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    sums = F.aggregate(a, start, lambda t, x: F.struct((t["s"] + x).alias("s"), (t["q"] + x * x).alias("q")))
+    scaled = F.transform(F.array(sums), lambda t: F.transform(a, lambda x: (x - t["s"] / n) / F.sqrt(t["q"] / n - (t["s"] / n) * (t["s"] / n) + 1e-5)))
+    return F.element_at(scaled, 1)
 
 
 def rescaled(score: Column, size: Column | int, scale: float = 100.0) -> Column:
