@@ -90,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op4_line_dedup": line_dedup.ORACLE_SQL, "op10_ngram_join": ngram_join.ORACLE_SQL}

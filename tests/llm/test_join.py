@@ -71,7 +71,7 @@ def test_bounds_never_lose_a_pair():
         for _ in range(120):
             keep = base[rng.random(400) < rng.choice([0.85, 0.95, 0.99])]
             sets.append(np.unique(np.append(keep, rng.integers(0, 2**63, rng.integers(0, 30)).astype(np.uint64))))
-        tree = nj.RTree(sets, percent)
+        tree = nj.RTree(np.array([nj.point(s) for s in sets]), percent)
         for i in range(len(sets)):
             near = set(tree.near(i).tolist())
             for j in range(len(sets)):
