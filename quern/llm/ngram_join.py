@@ -8,8 +8,8 @@
 3. Count-vector R-tree. The shingles of a set are hashed into 128 counts, a point. The overlap of
    two sets is at most the sum of the coordinates' minima, of a set and a node of the tree at most
    the sum of the minima with its upper corner. Each block's points are indexed, and only pairs that
-   the bound lets through are linked, by as few links as connect them (a block over the size of a
-   tile is linked to its least node instead, without the bound). Components of these links hold
+   the bound lets through are linked, by as few links as connect them (a block of over 4,096
+   sets is linked to its least node instead, without the bound). Components of these links hold
    every pair of the join.
 4. Inside a component a tree over its points finds the pairs again, and they are verified on the
    shingles; pairs already connected are passed over. A component over the size of a tile is split
@@ -34,15 +34,18 @@ from quern.llm.components import connected_components
 CHUNK_CHARS = 8 << 20
 COORDINATES = 128
 LEAF = 16
+ASKED = 64
 
 
 @dataclass(frozen=True)
 class Join:
-    """n: words of a shingle; links at 100 * overlap >= percent * union; tile: nodes of one task's tree."""
+    """n: words of a shingle; links at 100 * overlap >= percent * union; tile: nodes of half a task's tree;
+    block: largest block that is tested by the bound."""
 
     n: int = 5
     percent: int = 80
-    tile: int = 4096
+    tile: int = 512
+    block: int = 4096
 
 
 _HASHES = Hashes()
@@ -154,7 +157,9 @@ class RTree:
 def roots(points: np.ndarray, percent: int, verified=None) -> np.ndarray:
     """Least member reached from each point (indices), by pairs that pass the bound and are verified.
 
-    Few points are compared with each other outright, the leaf of a tree without the tree.
+    verified: of a point and an array of later ones, which are linked; each pair is asked for once at
+    most, a few at a time, and not once its ends are connected. Few points are compared with each
+    other outright, the leaf of a tree without the tree.
     """
     root = np.arange(len(points))
     if len(points) <= LEAF:
@@ -165,20 +170,31 @@ def roots(points: np.ndarray, percent: int, verified=None) -> np.ndarray:
     else:
         near = RTree(points, percent).near
     for i in range(len(points)):
-        found = near(i)
-        for j in found[root[found] != root[i]]:
-            if root[j] != root[i] and (verified is None or verified(i, j)):
-                a, b = sorted((root[i], root[j]))
-                root[root == b] = a
+        left = near(i)
+        left = left[left > i]
+        while len(left := left[root[left] != root[i]]):
+            some, left = left[:ASKED], left[ASKED:]
+            for j in some if verified is None else some[verified(i, some)]:
+                if root[j] != root[i]:
+                    a, b = sorted((root[i], root[j]))
+                    root[root == b] = a
     return root
 
 
 def local_roots(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Least member reached from each set by links (indices)."""
-
-    def verified(i: int, j: int) -> bool:
-        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        return linked(both, len(sets[i]), len(sets[j]), percent)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(sizes)
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(names), bool)
+    own = [flat[e - n : e] for e, n in zip(ends, sizes)]
+
+    def verified(i: int, some: np.ndarray) -> np.ndarray:
+        mark[own[i]] = True
+        starts = np.cumsum(sizes[some]) - sizes[some]
+        both = np.add.reduceat(mark[np.concatenate([own[j] for j in some])].astype(np.int64), starts)
+        mark[own[i]] = False
+        return 100 * both >= percent * (sizes[i] + sizes[some] - both)
 
     return roots(np.array([point(s) for s in sets]).reshape(-1, COORDINATES), percent, verified)
 
@@ -253,8 +269,8 @@ def block_links(found: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
     found = staged(found.distinct(), "blocks")
     sizes = found.groupBy("block").agg(F.count("*").alias("size"), F.min("node").alias("a"))
     sized = found.join(sizes, "block")
-    large = sized.filter((F.col("size") > join.tile) & (F.col("node") != F.col("a"))).select("a", F.col("node").alias("b"))
-    small = sized.filter(F.col("size") <= join.tile).select("block", "node").join(nodes.select("node", "counts"), "node")
+    large = sized.filter((F.col("size") > join.block) & (F.col("node") != F.col("a"))).select("a", F.col("node").alias("b"))
+    small = sized.filter(F.col("size") <= join.block).select("block", "node").join(nodes.select("node", "counts"), "node")
     schema = "a bigint, b bigint"
     arrow = arrow_schema(spark, schema)
 
@@ -325,7 +341,7 @@ def _tile_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, join:
     placed = (
         texts.withColumn("other", F.explode(others))
         .select("root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "text", (F.col("tiles") > 1).alias("many"))
-        .repartition("root", "i", "j")
+        .repartition(buckets_for(spark), "root", "i", "j")  # few rows, but much work: not to be coalesced
         .sortWithinPartitions("root", "i", "j")
     )
     schema = "a bigint, b bigint, many boolean"
@@ -359,9 +375,8 @@ def _tile_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, join:
 def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """docs without the rows whose component has a document of lower doc_id; all columns stay.
 
-    Rows with an equal id and equal text stay or go together, but for exact repeats of the row that
-    stays: of these one is kept. A row with a null doc_id stays unless a document with an id is in
-    its component.
+    Rows with an equal id stay or go together, so exact repeats of the row that stays all stay; a row
+    with a null doc_id stays. Empty texts link with nothing and stay.
     """
     found = jaccard_components(docs, join)
     lost = found.filter("doc_id is not null and component_id is not null and doc_id > component_id").select(F.col("doc_id").alias("lost_id")).distinct()

@@ -45,7 +45,7 @@ def corpus(rng, groups, size):
     return out
 
 
-@pytest.mark.parametrize(("n", "percent", "tile"), [(3, 90, 4096), (5, 80, 4096), (2, 60, 3)])
+@pytest.mark.parametrize(("n", "percent", "tile"), [(3, 90, 512), (5, 80, 512), (2, 60, 3)])
 def test_components_equal_all_pairs(spark, n, percent, tile):
     texts = corpus(random.Random(n), 60, 8) + [t for t in ODD if t is None or len(t) < 3000]
     frame = docs(spark, texts).repartition(3)
