@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import file_positions, positions_file
-from quern.llm.common import Hashes, arrow_schema, bucket_of, buckets_for, chained, chunks_of, id_text, planes, read_whole, shared_dir, sorted_planes, staged, unplanes, unsorted_planes, write_whole
+from quern.llm.common import Hashes, arrow_schema, bucket_of, buckets_for, chained, chunks_of, id_text, planes, read_whole, shared_dir, sorted_planes, staged, trim_memory, unplanes, unsorted_planes, write_whole
 
-CHUNK_CHARS = 12 << 20
+CHUNK_CHARS = 8 << 20
 END = b"\n"  # no word holds a line end
 BASE_ADD = 0.1
 
@@ -51,13 +51,14 @@ def fold_of(doc_id: int | None, folds: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
 
 
-_HASHES = Hashes()
+_HASHES = Hashes(500_000)
 
 
 class Chunk:
     """Token numbers of a chunk's documents, and hashes of its distinct words."""
 
     def __init__(self, doc_ids: list, counts: np.ndarray, tokens: np.ndarray, hashes: np.ndarray):
+        tokens = tokens.astype(np.int32, copy=False)
         self.doc_ids, self.counts, self.tokens, self.hashes = doc_ids, counts, tokens, hashes
         self.first = np.cumsum(counts) - counts
         # The context of a first token is the end token.
@@ -66,9 +67,9 @@ class Chunk:
         end = tokens[-1] if len(tokens) else 0
         before[self.first] = end
         self.before = before
-        pairs = before * len(hashes) + tokens
-        self.pairs, self.pair_at = np.unique(pairs, return_inverse=True)
-        self.pair_hashes = chained(hashes[self.pairs // len(hashes)], hashes[self.pairs % len(hashes)]) if len(pairs) else np.zeros(0, np.uint64)
+        pairs, at = np.unique(before.astype(np.int64) * len(hashes) + tokens, return_inverse=True)
+        self.pair_at = at.astype(np.int32)
+        self.pair_hashes = chained(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)]) if len(pairs) else np.zeros(0, np.uint64)
 
     def per_token(self, per_doc: np.ndarray) -> np.ndarray:
         return np.repeat(per_doc, self.counts)
@@ -76,13 +77,13 @@ class Chunk:
     @classmethod
     def of(cls, doc_ids: list, texts: list[str]) -> Chunk:
         number: dict[bytes, int] = {END: 0}
-        counts, tokens = [], []
+        each = []
         for t in texts:
             words = t.encode("utf-8", "replace").lower().split()
-            counts.append(len(words) + 1)
-            tokens += [number.setdefault(w, len(number)) for w in words]
-            tokens.append(0)
-        return cls(doc_ids, np.array(counts, np.int64), np.array(tokens, np.int64), _HASHES.of(list(number)))
+            each.append(np.array([*[number.setdefault(w, len(number)) for w in words], 0], np.int32))
+        counts, tokens = np.array([len(x) for x in each], np.int64), np.concatenate(each)
+        each.clear()
+        return cls(doc_ids, counts, tokens, _HASHES.of(list(number)))
 
     def to_bytes(self) -> bytes:
         where = positions_file(self.doc_ids, self.counts.tolist(), self.tokens.astype(np.uint64))
@@ -124,7 +125,9 @@ def count_ngrams(docs: DataFrame, model: Model) -> DataFrame:
                 for b in full:
                     part = order[edges[b] : edges[b + 1]]
                     rows.append((name, kind, b, len(full), sorted_planes(keys[part]), planes(rest[part]), planes(held[part])))
+            del chunk, data, fold
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+        trim_memory()
 
     def total(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
