@@ -21,9 +21,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm.common import arrow_schema, buckets_for, by_batch, chunks_of, id_text, planes, read_whole, shared_dir, unplanes, write_whole
+from quern.llm.common import arrow_schema, buckets_for, by_batch, chunks_of, id_text, planes, read_whole, shared_dir, trim_memory, unplanes, write_whole
 
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 6 << 20
 
 
 @lru_cache
@@ -120,6 +120,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
             rows = [(name, b, len(runs), words_blob([seen[k] for k in order[by_bucket[edges[b] : edges[b + 1]]]])) for b in runs]
             del seen, number, at
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+            del rows
+            trim_memory()
 
     def encode(rows: pd.DataFrame) -> pd.DataFrame:
         own, known = encoding(ranks_path, pattern), {}
@@ -133,6 +135,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
             lengths = planes(np.array([len(x) for x in found], np.uint64))
             flat = np.array([i for x in found for i in x], "<u4")
             out.append(struct.pack("<II", len(found), len(lengths)) + lengths + flat.tobytes())
+        known.clear()
+        trim_memory()
         return rows[["chunk", "bucket", "asked"]].assign(ids=out)
 
     def put_together(rows: pd.DataFrame) -> pd.DataFrame:
@@ -161,6 +165,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
         ids = flat[place].tobytes() if len(place) else b""
         ends = np.append(0, until)[np.cumsum(counts)].tolist() if len(counts) else []
         parts = [ids[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+        del ids, place, words, until, flat, lengths, data
+        trim_memory()
         return pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "n_tokens": [len(x) // 4 for x in parts], "ids": parts})
 
     asked = id_text(docs).mapInArrow(explode, words_schema)
