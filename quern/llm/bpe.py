@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm.common import arrow_schema, buckets_for, by_batch, chunks_of, id_text, planes, read_whole, shared_dir, trim_memory, unplanes, write_whole
+from quern.llm.common import arrow_schema, buckets_for, by_batch, chunk_name, chunks_of, id_text, planes, read_whole, shared_dir, trim_memory, unplanes, write_whole
 
 CHUNK_CHARS = 6 << 20
 
@@ -97,7 +97,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
         import regex
 
         find = regex.compile(pattern).findall
-        for doc_ids, texts in chunks_of(batches, chunk_chars):
+        for chunk, (doc_ids, texts) in enumerate(chunks_of(batches, chunk_chars)):
             number: dict[str, int] = {}
             counts, at = [], [np.zeros(0, np.int32)]
             for t in texts:
@@ -112,7 +112,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
             bucket = np.fromiter((zlib.crc32(seen[k]) % buckets for k in order), np.int64, len(seen))
             where = positions_file(doc_ids, counts, rank[at])
             data = len(where).to_bytes(8, "little") + where + zlib.compress(planes(bucket), 1)
-            name = f"{folder}/{hashlib.sha1(data).hexdigest()}"
+            name = chunk_name(folder, chunk, data)
             write_whole(name, data)
             by_bucket = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
@@ -140,7 +140,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
         return rows[["chunk", "bucket", "asked"]].assign(ids=out)
 
     def put_together(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bucket").drop_duplicates("bucket")
+        rows = rows.sort_values("bucket")
         if len(rows) != rows["asked"].iloc[0]:
             raise RuntimeError("a chunk lacks answers: its input changed while the query ran")
         lengths, flat = [], []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import os
 import re
 import struct
@@ -302,6 +303,13 @@ def buckets_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def chunk_name(folder: str, number: int, data: bytes) -> str:
+    """Name of a task's chunk: the same if the task runs again, another for equal chunks elsewhere."""
+    from pyspark import TaskContext
+
+    return f"{folder}/{TaskContext.get().partitionId()}-{number}-{hashlib.sha1(data).hexdigest()}"
+
+
 def chunks_of(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of consecutive rows with about chars characters each; null text as empty."""
     ids, texts, size = [], [], 0

@@ -13,7 +13,6 @@ asked. So a frequent word is one entry a chunk, and no text is shuffled. Keys ar
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import file_positions, positions_file
-from quern.llm.common import Hashes, arrow_schema, bucket_of, buckets_for, chained, chunks_of, id_text, planes, read_whole, shared_dir, sorted_planes, staged, trim_memory, unplanes, unsorted_planes, write_whole
+from quern.llm.common import Hashes, arrow_schema, bucket_of, buckets_for, chained, chunk_name, chunks_of, id_text, planes, read_whole, shared_dir, sorted_planes, staged, trim_memory, unplanes, unsorted_planes, write_whole
 
 CHUNK_CHARS = 8 << 20
 END = b"\n"  # no word holds a line end
@@ -110,10 +109,10 @@ def count_ngrams(docs: DataFrame, model: Model) -> DataFrame:
     buckets, folder, arrow = buckets_for(spark), shared_dir(spark, "lm-tokens"), arrow_schema(spark, ASKED)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, texts in chunks_of(batches, CHUNK_CHARS):
+        for number, (doc_ids, texts) in enumerate(chunks_of(batches, CHUNK_CHARS)):
             chunk = Chunk.of(doc_ids, texts)
             data = chunk.to_bytes()
-            name = f"{folder}/{hashlib.sha1(data).hexdigest()}"
+            name = chunk_name(folder, number, data)
             write_whole(name, data)
             fold = chunk.per_token(np.array([fold_of(d, model.folds) for d in doc_ids]))
             rows = []
@@ -161,7 +160,6 @@ def _filled(data: bytes, n: int) -> np.ndarray:
 
 def _counts(rows: pd.DataFrame) -> tuple[Chunk, dict[tuple[int, str], np.ndarray]]:
     """A chunk and the counts of its words and bigrams, in the chunk's own order."""
-    rows = rows.drop_duplicates(["kind", "bucket"])
     chunk, out = Chunk.from_bytes(read_whole(rows["chunk"].iloc[0])), {}
     for kind, keys in ((1, chunk.hashes), (2, chunk.pair_hashes)):
         own = rows[rows["kind"] == kind].sort_values("bucket")

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -54,3 +55,15 @@ def test_queries_of_single_documents(spark, tmp_path):
     assert rows[13].n_email == 4 and rows[14].n_ip == 4 and rows[0].spans == "" and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
     for name in ("op1_packing", "op2_quality_rules", "op5_media_columns", "op9_token_files"):
         assert queries.queries()[name](spark, str(tmp_path)).select("doc_id").distinct().count() == len(ODD)
+
+
+def test_equal_chunks_are_answered_each(spark):
+    one = docs(spark, ["a b a"])
+    rows = bpe.encode_documents(one.union(one), PATH, public_tokenizers.PATTERN).collect()
+    assert len(rows) == 2 and rows[0] == rows[1]
+    # Null ids and other words of the same bucket: equal data but for the words.
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a, b = [f"w{chr(97 + k)}" for k in range(26) if zlib.crc32(f"w{chr(97 + k)}".encode()) % buckets == 0][:2]
+    null = [docs(spark, [w]).selectExpr("cast(null as bigint) doc_id", "text") for w in (a, b)]
+    got = bpe.decode_documents(bpe.encode_documents(null[0].union(null[1]), PATH, public_tokenizers.PATTERN), PATH).collect()
+    assert sorted(bytes(r.decoded).decode() for r in got) == [a, b]

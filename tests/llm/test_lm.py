@@ -86,3 +86,9 @@ def test_odd_rows(spark):
     assert lm.score_documents(docs(spark, [])).count() == 0
     alone = lm.score_documents(docs(spark, [None]).selectExpr("cast(null as bigint) doc_id", "text")).collect()[0]
     assert alone.held_out and (alone.n_tokens, alone.n_known, alone.train_tokens) == (1, 0, 0) and alone.base_score == 0 and abs(alone.score) < 1e-5
+
+
+def test_equal_chunks_are_answered_each(spark):
+    one = docs(spark, ["a b a"])
+    rows = lm.score_documents(one.union(one)).collect()
+    assert len(rows) == 2 and rows[0] == rows[1] and rows[0].n_tokens == 4
