@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ _STOPS, _QUOTES = ".,;:!?", "()[]{}\"'`-_/\\"
 
 @dataclass(frozen=True)
 class Rules:
-    """Parameters; the languages and words of a reference are bounded, what they count isn't.
+    """Parameters; the words of a reference are bounded, its languages and what they count aren't.
 
     The word limit is max_word_distance + short_text_slack / sqrt(words): few words scatter widely.
     """
@@ -39,7 +40,6 @@ class Rules:
     short_text_slack: float = 0.5
     min_class_chars: int = 200
     min_common_words: int = 50
-    reference_languages: int = 32
     reference_words: int = 64
 
 
@@ -110,9 +110,42 @@ class References:
     words: list[list[str]] = field(default_factory=list)
     shares: list[np.ndarray] = field(default_factory=list)
 
+    @cached_property
+    def entries(self) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
+        """By word: numbers of the words, where the entries of each start, and their languages and shares."""
+        number: dict[bytes, int] = {}
+        at = np.array([number.setdefault(w.encode(), len(number)) for words in self.words for w in words], np.int64)
+        order = np.argsort(at, kind="stable")
+        langs = np.repeat(np.arange(len(self.words)), [len(w) for w in self.words])[order]
+        shares = np.concatenate([s[:-1] for s in self.shares])[order]
+        return number, np.searchsorted(at[order], np.arange(len(number) + 1)), langs, shares
+
+    @cached_property
+    def rest(self) -> np.ndarray:
+        return np.array([s[-1] for s in self.shares])
+
+    @cached_property
+    def unseen(self) -> np.ndarray:
+        """Of each language, what its common words add to the divergence if a text has none of them."""
+        return np.array([s[:-1].sum() / 2 for s in self.shares])
+
+    def word_distances(self, words: list[bytes]) -> np.ndarray:
+        """Jensen-Shannon distance to each language; work grows with the entries of the text's words."""
+        number, starts, langs, shares = self.entries
+        seen = Counter(words)
+        both = list(number.keys() & seen.keys())
+        at = np.array([number[w] for w in both], np.int64)
+        n = starts[at + 1] - starts[at]
+        flat = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        counts = np.repeat(np.array([seen[w] for w in both], float), n)
+        lang, q, p = langs[flat], shares[flat], counts / len(words)
+        more = _js_terms(p, q) - q / 2
+        left = (len(words) - np.bincount(lang, counts, len(self.languages))) / len(words)
+        return np.sqrt(np.maximum(0, self.unseen + np.bincount(lang, more, len(self.languages)) + _js_terms(left, self.rest)))
+
 
 def learn_references(docs: DataFrame, rules: Rules = Rules()) -> References:
-    """Counts over all whole texts, by language; only the bounded tables of shares reach the driver.
+    """Counts over all whole texts; every lang value has a reference, and only its shares reach the driver.
 
     A partial count of each batch leaves the Python workers, so a frequent word or a large language
     is one row a batch. A null language is a language of its own.
@@ -140,32 +173,32 @@ def learn_references(docs: DataFrame, rules: Rules = Rules()) -> References:
         .select("lang", "word", "class", "n")
     )
     totals = counts.groupBy("lang").agg(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))).alias("words"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("chars"))
-    sizes = sorted(((r["chars"] or 0, r["lang"], r["words"] or 0) for r in totals.orderBy(F.desc("chars"), "lang").limit(rules.reference_languages).collect()), reverse=True)
-    langs = [lang for chars, lang, words in sizes if chars and words]
-    rows = top.filter(F.col("lang").isin(langs)).collect() if langs else []
-    out = References()
-    for chars, lang, words in sizes:
-        if lang not in langs:
-            continue
-        classes = np.zeros(len(CLASSES))
-        for r in rows:
-            if r["lang"] == lang and r["class"] is not None:
-                classes[r["class"]] = r["n"] / chars
-        common = sorted(((r["n"], r["word"]) for r in rows if r["lang"] == lang and r["word"] is not None), key=lambda x: (-x[0], x[1]))[: rules.reference_words]
-        shares = np.array([n for n, _ in common]) / words
-        out.languages.append(lang)
-        out.classes = np.vstack([out.classes, classes])
-        out.words.append([w for _, w in common])
+    # One row a language: its words by falling count, and its classes.
+    listed = lambda keep, key: F.sort_array(F.collect_list(F.when(keep, F.struct((-F.col("n")).alias("less"), F.col(key).alias("key")))))
+    tables = top.groupBy("lang").agg(listed(F.col("word").isNotNull(), "word").alias("common"), listed(F.col("class").isNotNull(), "class").alias("classes"))
+    tables = tables.select("lang", F.col("common.key").alias("common"), F.col("common.less").alias("common_less"), F.col("classes.key").alias("classes"), F.col("classes.less").alias("classes_less"))
+    out, classes = References(), []
+    for r in totals.filter("chars > 0 and words > 0").join(tables, "lang").orderBy(F.desc("chars"), F.desc("lang")).toLocalIterator():
+        own = np.zeros(len(CLASSES))
+        own[r["classes"]] = -np.array(r["classes_less"]) / r["chars"]
+        classes.append(own)
+        shares = -np.array(r["common_less"][: rules.reference_words]) / r["words"]
+        out.languages.append(r["lang"])
+        out.words.append(r["common"][: rules.reference_words])
         out.shares.append(np.append(shares, max(0.0, 1 - shares.sum())))
+    out.classes = np.array(classes).reshape(-1, len(CLASSES))
     return out
 
 
-def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance in base 2 along the last axis."""
+def _js_terms(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
-        halves = [np.where(x > 0, x * np.log2(x / m), 0).sum(axis=-1) / 2 for x in (p, q)]
-    return np.sqrt(np.maximum(0, halves[0] + halves[1]))
+        return sum(np.where(x > 0, x * np.log2(x / m), 0) / 2 for x in (p, q))
+
+
+def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance in base 2 along the last axis."""
+    return np.sqrt(np.maximum(0, _js_terms(p, q).sum(axis=-1)))
 
 
 def divergence(text: str, refs: References, rules: Rules = Rules()) -> tuple[bool, float | None, float | None]:
@@ -174,14 +207,7 @@ def divergence(text: str, refs: References, rules: Rules = Rules()) -> tuple[boo
     n = int(counts.sum())
     by_class = js_distance(counts / n, refs.classes) if n >= rules.min_class_chars and refs.languages else None
     words = text.lower().encode().split()
-    by_word = None
-    if len(words) >= rules.min_common_words and refs.languages:
-        seen = Counter(words)
-        by_word = np.empty(len(refs.languages))
-        for k, (common, shares) in enumerate(zip(refs.words, refs.shares)):
-            own = np.array([seen.get(w.encode(), 0) for w in common], float)
-            own = np.append(own, len(words) - own.sum()) / len(words)
-            by_word[k] = js_distance(own, shares)
+    by_word = refs.word_distances(words) if len(words) >= rules.min_common_words and refs.languages else None
     if by_class is None and by_word is None:
         return True, None, None
     most = rules.max_word_distance + rules.short_text_slack / len(words) ** 0.5 if words else 1.0

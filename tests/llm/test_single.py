@@ -114,6 +114,26 @@ def test_references_count_everything(spark):
     assert np.isclose(refs.classes.sum(), 1)
 
 
+def test_every_language_has_a_reference(spark):
+    """40 languages; the 33rd and later, with the fewest characters, are judged by their own words too."""
+    rng, langs = random.Random(8), [f"l{k:02}" for k in range(40)]
+    weights = [1 / (k + 1) for k in range(300)]
+    rows = []
+    for k, lang in enumerate(langs):
+        vocabulary = [f"{lang}{''.join(rng.choices('aeiounrst', k=4))}" for _ in range(300)]
+        rows += [(" ".join(rng.choices(vocabulary, weights, k=200)) + ".", lang) for _ in range(45 - k)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    refs = quality.learn_references(frame)
+    assert sorted(refs.languages) == langs and refs.classes.shape == (40, 8)
+    assert all(r.kept for r in quality.quality_rules(frame).collect()) and quality.keep_good(frame).count() == len(rows)
+    # Distances by entries equal those of whole histograms.
+    for text, _ in rows[::40]:
+        words, seen = text.lower().encode().split(), text.lower().split()
+        own = [np.array([seen.count(w) for w in common], float) for common in refs.words]
+        want = [quality.js_distance(np.append(x, len(words) - x.sum()) / len(words), s) for x, s in zip(own, refs.shares)]
+        assert np.allclose(refs.word_distances(words), want, atol=1e-7)
+
+
 def test_js_distance():
     assert np.isclose(quality.js_distance(np.array([1.0, 0]), np.array([0, 1.0])), 1) and quality.js_distance(np.array([0.5, 0.5]), np.array([0.5, 0.5])) == 0
 
