@@ -8,6 +8,7 @@ sides and validates. Work is linear in the text, and only anchors reach a parser
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -24,6 +25,8 @@ BASE_KINDS = KINDS[:4]
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://", "mailto:", "www.")
 ACCOUNT_CUES = ("account", "acct", "konto", "compte", "cuenta", "ssn", "passport", "iban")
 SECRET_CUES = ("token", "password", "passwd", "secret", "api_key", "apikey")
+#: Characters after an account cue in which an IBAN may begin, and the most that _IBAN reads.
+IBAN_REACH, IBAN_LENGTH = 60, 65
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -87,6 +90,16 @@ def _iban(found: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _ibans(text: str, at: int) -> Iterator[tuple[int, int]]:
+    """Valid IBANs that begin in the IBAN_REACH characters from at, each to its own end."""
+    until = at + IBAN_REACH
+    while at < until and (m := _IBAN.search(text, at, until + IBAN_LENGTH)) and m.start() < until:
+        valid = _iban(m[0])
+        if valid:
+            yield m.span()
+        at = m.end() if valid else m.start() + 1
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive; by kind as in KINDS, then start.
 
@@ -131,13 +144,16 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
             if m := _SECRET.match(text, last + 1):
                 found["secret"].append(m.span(2))
                 since["secret"] = m.end()
-        elif m := _IBAN.search(text, last + 1, last + 60):
-            if m.start() >= since["iban"] and _iban(m[0]):
-                found["iban"].append(m.span())
-                since["iban"] = since["account"] = m.end()
-        elif m := _ACCOUNT.match(text, last + 1):
-            found["account"].append(m.span(1))
-            since["account"] = m.end()
+        else:
+            ibans = list(_ibans(text, last + 1))
+            for span in ibans:
+                if span[0] >= since["iban"]:
+                    found["iban"].append(span)
+                    since["iban"] = span[1]
+            # What stands at the cue, up to an IBAN; nothing if the IBAN itself stands there.
+            if m := _ACCOUNT.match(text, last + 1, ibans[0][0] if ibans else len(text)):
+                found["account"].append(m.span(1))
+                since["account"] = m.end()
     return [(k, s, e) for k in KINDS for s, e in found[k]]
 
 

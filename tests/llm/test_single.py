@@ -200,6 +200,23 @@ def test_pii_added_kinds_and_redaction(spark):
     assert len(rows) == len(ODD) + 1 and rows[0].text is None and rows[13].text.startswith("[EMAIL]")
 
 
+def test_pii_accounts_and_ibans_at_one_cue():
+    iban = "DE89 3704 0044 0532 0130 00"
+    for text, want in (
+        (f"Account: 12345678, IBAN {iban}", [("iban", iban), ("account", "12345678")]),
+        ("account 12345678 for order AB12CDEFGHIJKLMNO", [("account", "12345678")]),
+        (f"account 12345678 {iban}", [("iban", iban), ("account", "12345678")]),
+        (f"account 12345678 for order AB12CDEFGHIJKLMNO, {iban}", [("iban", iban), ("account", "12345678")]),
+        (f"IBAN {iban}", [("iban", iban)]),
+        (f"account IBAN: {iban}.", [("iban", iban)]),
+        (f"The account that we use for this is {'now ' * 4}{iban}, thanks", [("iban", iban)]),
+        (f"account {'x' * 70} {iban}", []),
+    ):
+        found = [(k, text[s:e]) for k, s, e in pii.find_spans(text)]
+        assert [f for f in found if f[0] in ("iban", "account")] == want, text
+    assert pii.redact(f"Account: 12345678, IBAN {iban}") == "Account: [ACCOUNT], IBAN [IBAN]"
+
+
 def test_elias_fano():
     rng = np.random.default_rng(6)
     for n, top in ((0, 1), (1, 0), (1, 2**62), (5, 3), (1000, 10), (3000, 10**12), (700, 2**62)):
