@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it, in the regular expressions of Spark and of DuckDB.
@@ -13,14 +14,39 @@ WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 WS_SQL = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """df as a table in the cluster's shared folder, read back: lineage ends here, and a lost executor costs no more than one read."""
-    spark = df.sparkSession
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def shared_dir(spark: SparkSession, kind: str) -> str:
+    """A fresh folder below spark.checkpoint.dir, which every executor of the cluster reaches.
+
+    Without that setting a local session (tests) takes a folder of this machine; any other raises.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file:///tmp/quern-checkpoints-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/quern-checkpoints-{os.getuid()}"
     path = f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes every folder that shared_dir gave to this application, once the caller has used the
+    results that are read from them; returns how many."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """df as a table in the cluster's shared folder, read back: lineage ends here, and a lost executor costs no more than one read."""
+    spark = df.sparkSession
+    path = shared_dir(spark, kind)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
