@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.compat import shared_dir
+
 #: Entries that one worker's word cache holds before it keeps only those in use (about 180 MB).
 CACHE_WORDS = 800_000
 #: Characters of the documents whose unseen words are encoded in one call of the tokenizer.
@@ -48,18 +50,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession, kind: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which every executor of the cluster reaches.
-
-    Only where the session has no such setting (tests), a folder of this machine's /tmp is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file:///tmp/quern-checkpoints-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
 def staged(df: DataFrame, kind: str, *partition_by: str) -> DataFrame:
     """df written once to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -69,7 +59,7 @@ def staged(df: DataFrame, kind: str, *partition_by: str) -> DataFrame:
 
 
 def by_batch(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str, batch_rows: int = 256) -> DataFrame:
-    """mapInArrow over column lists: rows gets {column: values} of at most batch_rows rows."""
+    """mapInArrow over column lists: rows gets {column: values} of at most batch_rows rows; a task gives its memory back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,6 +67,8 @@ def by_batch(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]],
                 part = batch.slice(at, batch_rows)
                 out = rows({n: part.column(k).to_pylist() for k, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
+                del out
+        trim_memory()
 
     small_batches(df.sparkSession)
     arrow = arrow_schema(df.sparkSession, schema)
@@ -299,10 +291,25 @@ def trim_memory() -> None:
         pass
 
 
-def buckets_for(spark: SparkSession) -> int:
+#: Bytes of input, as the planner estimates them, for each bucket of packed keys.
+BUCKET_BYTES = 16 << 20
+MOST_BUCKETS = 1 << 16
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets_for(docs: DataFrame) -> int:
+    """Buckets that a chunk's keys are dealt into: more for a larger input, so a bucket's size stays bounded.
+
+    The number has no effect on results. It is kept below MOST_BUCKETS, as an estimate after joins
+    can be far too high.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_partitions(docs.sparkSession), min(MOST_BUCKETS, -(-size // BUCKET_BYTES)))
+
+
 def chunk_name(folder: str, number: int, data: bytes) -> str:
     """Name of a task's chunk: the same if the task runs again, another for equal chunks elsewhere."""
     from pyspark import TaskContext

@@ -55,6 +55,58 @@ def test_components_equal_all_pairs(spark, n, percent, tile):
     assert len({c for _, c in want}) < len(want)
 
 
+def chains(rng):
+    """Long texts: groups of near copies, and rows of texts each near the next but far from the rest."""
+    vocabulary = [f"v{k}" for k in range(4000)]
+    out = []
+    for n in (700, 1500, 2600):
+        words = rng.choices(vocabulary, k=n)
+        for step in range(14):
+            out.append(" ".join(words))
+            if step % 5 == 4:
+                words = rng.choices(vocabulary, k=n)
+            for _ in range(n // 60 if step % 2 else 1):
+                words[rng.randrange(n)] = rng.choice(vocabulary)
+    out += out[:3] + [" ".join(rng.choices(vocabulary, k=900)) + out[0][:200] for _ in range(5)]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("join", [nj.Join(3, 90, tile_shingles=4000), nj.Join(3, 90, tile=2, block=2), nj.Join(5, 80, tile=3), nj.Join(2, 100, tile=2)])
+def test_large_sets_in_many_tiles(spark, join):
+    texts = chains(random.Random(11))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.jaccard_components(docs(spark, texts).repartition(3), join).collect()}
+    want = brute(texts, join.n, join.percent)
+    assert got == dict(enumerate(want)) and len({c for _, c in want}) < len(want)
+
+
+def test_points_fold():
+    rng = np.random.default_rng(3)
+    for n in (1, 512, 513, 5000, 70000):
+        s = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        own = nj.dimensions(len(s))
+        data = nj.packed(nj.point(s, own))
+        for d in {128, own // 2, own} - {64}:
+            assert nj.unpacked(data, len(s), d).tolist() == nj.point(s, d).tolist()
+
+
+def test_repeated_table_and_long_text(spark):
+    texts = ["a b c d e f g", "a b c d e f h", None, "", "word " * 400_000, " ".join(f"w{k}" for k in range(150_000))]
+    frame = docs(spark, texts)
+    rows = nj.jaccard_components(frame.union(frame), nj.Join(3, 90)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == sorted([(0, 5, 0), (1, 5, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 149_998, 5)] * 2)
+    with pytest.raises(ValueError):
+        nj.Join(percent=0)
+
+
+def test_rows_without_an_id(spark):
+    """They have the ids of rows with the same set, else none; a set that only they have links nothing."""
+    text = " ".join(f"w{k}" for k in range(60))
+    frame = spark.createDataFrame([(1, text), (None, text), (None, text + " x"), (3, text + " x y")], "doc_id long, text string")
+    rows = nj.jaccard_components(frame, nj.Join(3, 98)).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in rows), key=str) == [(1, 1), (3, 3), (None, 1), (None, None)]
+
+
 def test_odd_rows(spark):
     rows = nj.jaccard_components(odd_docs(spark)).collect()
     assert len(rows) == len(ODD) + 2
@@ -71,7 +123,7 @@ def test_bounds_never_lose_a_pair():
         for _ in range(120):
             keep = base[rng.random(400) < rng.choice([0.85, 0.95, 0.99])]
             sets.append(np.unique(np.append(keep, rng.integers(0, 2**63, rng.integers(0, 30)).astype(np.uint64))))
-        tree = nj.RTree(np.array([nj.point(s) for s in sets]), percent)
+        tree = nj.RTree(np.array([nj.point(s, 128) for s in sets]), percent)
         for i in range(len(sets)):
             near = set(tree.near(i).tolist())
             for j in range(len(sets)):
