@@ -18,11 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import BATCH_ROWS, by_batch, staged
+from quern.llm.common import BATCH_ROWS, by_batch, small_batches, staged, trim_memory
 
 #: Character classes of the first histogram.
 CLASSES = ("lower", "upper", "other letter", "digit", "white space", "stop", "bracket or quote", "symbol")
 SYMBOLS = "#*$%&|<>"
+#: Words from which on windows are counted by number; no effect on results.
+LONG_TEXT = 4096
 _STOPS, _QUOTES = ".,;:!?", "()[]{}\"'`-_/\\"
 
 
@@ -78,26 +80,42 @@ def words_of(text: str) -> list[str]:
     return [w.decode() for w in text.encode().split()]
 
 
-def base_counts(text: str | None) -> dict[str, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text (null: none)."""
-    text = text or ""
-    words = words_of(text)
-    lines = [x for x in text.split("\n") if x.encode().split()]
-    n = len(words)
+def repeat_words(words: list[str]) -> int:
+    """Words in three-word windows that stand twice or more, the first included."""
     windows = list(zip(words, words[1:], words[2:]))
-    repeated = 0
+    repeated = until = 0  # words up to there are counted
     if len(counts := Counter(windows)) < len(windows):
-        until = 0  # words up to here are counted
         for k, w in enumerate(windows):
             if counts[w] > 1:
                 repeated += k + 3 - max(until, k)
                 until = k + 3
+    return repeated
+
+
+def long_repeat_words(words: list[str]) -> int:
+    """As repeat_words, on word numbers: a long text's windows as objects would take much memory."""
+    number: dict[str, int] = {}
+    at = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+    _, pair = np.unique(at[:-1] * len(number) + at[1:], return_inverse=True)
+    _, window, n = np.unique(pair[:-1] * len(number) + at[2:], return_inverse=True, return_counts=True)
+    twice = np.zeros(len(words), bool)
+    for k in range(3):
+        twice[k : len(words) - 2 + k] |= n[window] > 1
+    return int(twice.sum())
+
+
+def base_counts(text: str | None) -> dict[str, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text (null: none)."""
+    text = text or ""
+    words = words_of(text)
+    lines = [x for x in text.split("\n") if x.encode().split()]
+    n = len(words)
     return {
         "n_words": n,
         "word_chars": sum(map(len, words)),
         "n_symbols": sum(map(text.count, SYMBOLS)),
         "n_dup_lines": len(lines) - len(set(lines)),
-        "n_repeat_words": repeated,
+        "n_repeat_words": repeat_words(words) if n < LONG_TEXT else long_repeat_words(words),
     }
 
 
@@ -248,6 +266,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     The verdict is taken where the text is, so no shuffle: a pandas function over the text column.
     """
     refs = learn_references(docs, rules)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:
@@ -255,6 +274,8 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             base = base_counts(text)
             return not (base["n_words"] < rules.min_words or 100 * base["n_repeat_words"] > rules.max_repeat_percent * base["n_words"]) and divergence(text, refs, rules)[0]
 
-        return texts.map(one)
+        found = texts.map(one)
+        trim_memory()
+        return found
 
     return docs.filter(good(F.col("text")))
