@@ -15,8 +15,8 @@ from quern.llm.common import staged
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    return quality.keep_good(docs)
+    """Rejected documents go. A short text isn't rejected for its length: the guards keep it from the tests."""
+    return quality.keep_good(docs, quality.Rules(min_words=1, min_class_chars=80))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
