@@ -53,6 +53,8 @@ def written(df: DataFrame, kind: str) -> DataFrame:
 
 def or_default(c: Column, default: Column | str | None) -> Column:
     """The value, or default where it is null or empty."""
+    if isinstance(default, str) and default == "":
+        return F.coalesce(c, F.lit(""))
     return F.coalesce(F.when(c != "", c), F.lit(default) if isinstance(default, str) or default is None else default)
 
 

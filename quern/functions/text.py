@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.compat import WS, or_default
@@ -56,8 +56,8 @@ GERUND_PARTICIPLES = dict(
     swiping="swiped", tapping="tapped", taking="taken", typing="typed", using="used", viewing="viewed", waiting="waited", writing="written",
 )
 
-#: A short word whose last consonant doubles before a suffix.
-DOUBLES = "^(.*[^aeiou])?[^aeiou][aeiou][^aeiouwxy]$"
+#: The end of a word whose last consonant doubles before a suffix.
+DOUBLES = "[^aeiou][aeiou][^aeiouwxy]$"
 
 
 def _looked_up(table: dict[str, str], c: Column) -> Column:
@@ -65,7 +65,10 @@ def _looked_up(table: dict[str, str], c: Column) -> Column:
 
 
 def gerund(c: Column) -> Column:
-    v = F.lower(c)
+    return _gerund(F.lower(c))
+
+
+def _gerund(v: Column) -> Column:
     regular = (
         F.when(v.endswith("ie"), F.concat(F.regexp_replace(v, "ie$", ""), F.lit("ying")))
         .when(v.endswith("e") & ~v.rlike("[eoy]e$"), F.concat(F.regexp_replace(v, "e$", ""), F.lit("ing")))
@@ -81,7 +84,10 @@ def _participle_of_base(v: Column) -> Column:
 
 
 def base_of_gerund(c: Column) -> Column:
-    v = F.lower(c)
+    return _base_of_gerund(F.lower(c))
+
+
+def _base_of_gerund(v: Column) -> Column:
     stem = F.regexp_replace(v, "ing$", "")
     return (
         F.when(~v.endswith("ing") | (F.length(v) <= 4), v)
@@ -119,6 +125,27 @@ def completed_goal_phrase(c: Column) -> Column:
     )
 
 
+def with_phrases(rows: DataFrame, instruction: Column, doing: str | None = None, done: str | None = None) -> DataFrame:
+    """Adds goal_phrase and completed_goal_phrase of an instruction under the names given.
+
+    Each intermediate text is a column of its own, so it is made once and the generated code stays
+    small. One of the two names is given; a null instruction is the current task, or the initial state.
+    """
+    t, word, rest, base = (F.col(c) for c in ("__t", "__word", "__rest", "__base"))
+    out = rows.withColumn("__t", clean_instruction(instruction, "" if done else "the current task"))
+    out = out.withColumns({"__word": F.when(t.rlike(_FIRST_WORD), F.lower(F.regexp_extract(t, "^[A-Za-z]+", 0))), "__rest": F.regexp_replace(t, "^[A-Za-z]+", ""), "__long": F.when(t.rlike(_LONG_PRESS), F.regexp_replace(t, _LONG_PRESS, ""))})
+    found = {}
+    if doing:
+        found[doing] = F.coalesce(F.concat(F.lit("long pressing"), F.col("__long")), F.concat(_gerund(word), rest), t)
+    if done:
+        out = out.withColumn("__base", F.when(word.endswith("ing"), _base_of_gerund(word)).otherwise(word))
+        participle = F.coalesce(F.when(word.endswith("ing"), _looked_up(GERUND_PARTICIPLES, word)), _participle_of_base(base))
+        found[done] = F.when(t == "", "starting from the initial state").otherwise(
+            F.coalesce(F.concat(F.lit("having long pressed"), F.col("__long")), F.concat(F.lit("having "), participle, rest), F.concat(F.lit("having completed "), t))
+        )
+    return out.withColumns(found).drop("__t", "__word", "__rest", "__long", "__base")
+
+
 def last_instruction(history: Column) -> Column:
     """The last "Instruction:" of a history; null if it has none."""
     found = F.regexp_extract_all(history, F.lit(r"Instruction:\s*(.*?)(?:\.\s*(?:Step|$)|$)"), F.lit(1))

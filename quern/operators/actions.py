@@ -95,6 +95,47 @@ def action_json() -> Column:
     return F.to_json(F.struct("action_type", F.col("idx").alias("index"), "text", "direction", "app_name", "goal_status"))
 
 
+def json_string(c: Column) -> Column:
+    """A text as a JSON string."""
+    whole = F.to_json(F.struct(c.alias("v")))
+    return F.when(c.isNotNull(), F.substr(whole, F.lit(6), F.length(whole) - 6))
+
+
+def history_json() -> Column:
+    """JSON of the action as histories show it: fields in order of their names, blanks after commas and colons."""
+    said = lambda name, value: F.concat(F.lit(f'"{name}": '), value)
+    fields = [said(c, json_string(F.col(c))) for c in ("action_type", "app_name", "direction", "goal_status")]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *fields, said("index", F.col("idx").cast("string")), said("text", json_string(F.col("text")))), F.lit("}"))
+
+
+#: What an action is called while it is done, by type.
+PHRASES = {
+    "keyboard_enter": "pressing Enter after text input",
+    "navigate_home": "navigating to the home screen",
+    "navigate_back": "navigating back",
+    "wait": "waiting for the screen to update",
+    "answer": "answering the user",
+}
+
+
+def phrase() -> Column:
+    """What the action does, in the progressive form."""
+    kind, index = F.col("action_type"), F.col("idx").cast("string")
+    cat = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    element = F.concat(F.lit(" UI element "), F.coalesce(index, F.lit("None")))
+    scrolled = cat("scrolling ", collapse(F.col("direction"), "the needed direction"))
+    plain = F.coalesce(*[F.when(kind == k, said) for k, said in PHRASES.items()], F.lit("choosing the next action"))
+    return (
+        F.when(kind == "open_app", cat("opening ", collapse(F.col("app_name"), "the requested app")))
+        .when(kind == "click", cat("tapping", element))
+        .when(kind == "long_press", cat("long pressing", element))
+        .when(kind == "input_text", cat("typing ", collapse(F.col("text"), "the requested text"), " into", element))
+        .when(kind == "scroll", F.when(F.col("idx").isNotNull(), cat(scrolled, " on", element)).otherwise(scrolled))
+        .when(kind == "status", cat("marking the task ", collapse(F.col("goal_status"), "complete")))
+        .otherwise(plain)
+    )
+
+
 def reason(task: Column) -> Column:
     """One sentence by type; task: what the step is for. conversion_error explains an infeasible status."""
     index = F.col("idx").cast("string")

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from quern.functions.text import collapse, completed_goal_phrase, goal_phrase, safe_name, truncate
-from quern.operators.actions import action_json, past_summary, reason
+from quern.compat import or_default
+from quern.functions.text import collapse, completed_goal_phrase, goal_phrase, last_instruction, safe_name, truncate, with_phrases
+from quern.operators.actions import action_json, history_json, past_summary, reason
+from quern.operators.screens import question
 
 STARTED = "You just started, no action has been performed yet."
+#: How many steps a compact history shows whole, how many parts stand for the older ones,
+#: and the characters of a part and of all parts.
+RECENT, PARTS, PART_CHARS, ALL_CHARS = 5, 5, 80, 360
+#: Fixed value: the reason of an action that can't be used.
+UNUSABLE = "The recorded target action could not be converted into a valid index-based AndroidWorld action, so the task should be marked infeasible."
 
 
 def by_step() -> WindowSpec:
@@ -21,84 +28,156 @@ def before() -> WindowSpec:
     return by_step().rowsBetween(Window.unboundedPreceding, -1)
 
 
+def with_lines(steps: DataFrame, teacher: DataFrame | None = None) -> DataFrame:
+    """Adds step_line, the step's line in a history, and summary, what stands for it once it is old.
+
+    teacher (episode_id, step_index, line): its text stands in for the derived one.
+    """
+    line = F.concat(F.lit("Action selected: "), history_json(), F.lit("."), F.when(F.coalesce("instruction", F.lit("")) != "", F.concat(F.lit(" Instruction: "), F.col("instruction"), F.lit("."))).otherwise(""))
+    told = truncate(F.col("instruction"), PART_CHARS)
+    summary = F.when(told != "", told).otherwise(truncate(past_summary(), PART_CHARS))
+    number = F.concat(F.lit("Step "), (F.col("step_index") + 1).cast("string"), F.lit(": "))
+    if teacher is None:
+        return steps.withColumns({"step_line": F.concat(number, line), "summary": summary})
+    rows = steps.join(teacher.select("episode_id", "step_index", F.col("line").alias("_line")), ["episode_id", "step_index"], "left")
+    own = F.concat(number, F.col("_line"))
+    return rows.withColumns({"step_line": F.coalesce(own, F.concat(number, line)), "summary": F.coalesce(truncate(own, PART_CHARS), summary)}).drop("_line")
+
+
 def with_history(steps: DataFrame, teacher: DataFrame | None = None) -> DataFrame:
     """Adds previous_instruction and history, the numbered lines of all earlier steps (array).
 
-    teacher (episode_id, step_index, line): its text stands in for the derived one.
+    The lines themselves are the result, so it grows with the square of an episode; a question needs
+    with_compact_history only, which doesn't.
     """
-    derived = F.concat(F.lit("Action selected: "), action_json(), F.lit("."), F.when(F.col("instruction").isNotNull(), F.concat(F.lit(" Instruction: "), collapse(F.col("instruction")), F.lit("."))).otherwise(""))
-    if teacher is not None:
-        steps = steps.join(teacher.select("episode_id", "step_index", F.col("line").alias("_line")), ["episode_id", "step_index"], "left")
-        derived = F.coalesce("_line", derived)
-    line = F.concat(F.lit("Step "), (F.col("step_index") + 1).cast("string"), F.lit(": "), derived)
-    out = steps.withColumn("step_line", line).withColumn("history", F.collect_list("step_line").over(before())).withColumn("previous_instruction", F.lag("instruction").over(by_step()))
-    return out.drop("_line")
+    lined = with_lines(steps, teacher)
+    return lined.withColumns({"history": F.collect_list("step_line").over(before()), "previous_instruction": F.lag("instruction").over(by_step())})
 
 
 def history_text(history: Column) -> Column:
     return F.when(F.size(history) > 0, F.array_join(history, "\n")).otherwise(STARTED)
 
 
-def compact_history(lines: Column, summaries: Column, recent: int = 5, part: int = 80, total: int = 360) -> Column:
-    """The last lines as they are; older ones as one line of their summaries.
+def _compact(count: Column, recent: list[Column], parts: list[Column], heads: list[Column], first: Column, last: Column) -> Column:
+    """A compact history of count lines.
 
-    lines, summaries: arrays of the same length. Over five older parts, the first three and the last
-    two stand with dots between.
+    recent: the last RECENT lines, parts: the PARTS summaries before them, both in order and null where
+    there is none; heads: the first three summaries; first and last: numbers of the first and last
+    older step.
     """
-    n = F.size(lines) - recent
-    short = F.filter(F.transform(F.slice(summaries, F.lit(1), F.greatest(n, F.lit(0))), lambda s: truncate(s, part)), lambda s: s != "")
-    chosen = F.when(F.size(short) > 5, F.concat(F.slice(short, 1, 3), F.array(F.lit("...")), F.slice(short, -2, 2))).otherwise(short)
-    told = F.when(F.size(short) == 0, F.concat(n.cast("string"), F.lit(" earlier actions omitted"))).otherwise(truncate(F.array_join(chosen, "; "), total))
-    earlier = F.concat(F.lit("Earlier steps 1-"), n.cast("string"), F.lit(": "), told, F.lit("."))
-    return F.when(F.size(lines) == 0, STARTED).when(n <= 0, F.array_join(lines, "\n")).otherwise(F.array_join(F.concat(F.array(earlier), F.slice(lines, F.greatest(n + 1, F.lit(1)), recent)), "\n"))
+    many = F.array(*heads, F.lit("..."), *parts[-2:])
+    told = truncate(F.array_join(F.when(count > RECENT + PARTS, many).otherwise(F.array(*parts)), "; "), ALL_CHARS)
+    shown = F.concat_ws("\n", *recent)
+    earlier = F.concat(F.lit("Earlier steps "), first.cast("string"), F.lit("-"), last.cast("string"), F.lit(": "), told, F.lit(".\n"))
+    return F.when(count == 0, STARTED).when(count <= RECENT, shown).otherwise(F.concat(earlier, shown))
 
 
-def with_compact_history(steps: DataFrame) -> DataFrame:
-    """Adds compact, from with_history's rows: an older step is told by its instruction, else by its action."""
-    told = F.coalesce(F.when(F.col("instruction").isNotNull(), collapse(F.col("instruction"))), past_summary())
-    return steps.withColumn("_told", F.collect_list(told).over(before())).withColumn("compact", compact_history(F.col("history"), F.col("_told"))).drop("_told")
+def with_compact_history(lined: DataFrame, appended: Column | None = None) -> DataFrame:
+    """Adds to with_lines' rows compact, the compact history of the earlier steps.
 
+    appended, this step's own line: also adds compact_after, the history with that line. Only the
+    lines and summaries around a step and at its episode's start are looked at, so the work is
+    linear in the steps.
+    """
+    w = by_step()
+    lag = lambda c, k: F.lag(c, k).over(w)
+    seen = {f"_l{k}": lag("step_line", k) for k in range(1, RECENT + 1)}
+    seen |= {f"_s{k}": lag("summary", k) for k in range(RECENT, RECENT + PARTS + 1)}
+    seen |= {f"_n{k}": lag("step_index", k) + 1 for k in (RECENT, RECENT + 1)}
+    seen |= {f"_h{k}": F.nth_value("summary", k).over(w) for k in (1, 2, 3)}
+    seen |= {"_count": F.row_number().over(w) - 1, "_first": F.first("step_index").over(w) + 1}
+    rows = lined.withColumns(seen)
+    lines = lambda since, until: [F.col(f"_l{k}") for k in range(since, until - 1, -1)]
+    parts = lambda since: [F.col(f"_s{k}") for k in range(since + PARTS - 1, since - 1, -1)]
+    heads = [F.col(f"_h{k}") for k in (1, 2, 3)]
+    out = {"compact": _compact(F.col("_count"), lines(RECENT, 1), parts(RECENT + 1), heads, F.col("_first"), F.col(f"_n{RECENT + 1}"))}
+    if appended is not None:
+        out["compact_after"] = _compact(F.col("_count") + 1, [*lines(RECENT - 1, 1), appended], parts(RECENT), heads, F.col("_first"), F.col(f"_n{RECENT}"))
+    return rows.withColumns(out).drop(*seen)
+
+
+def history_phrase(previous: Column, history: Column) -> Column:
+    """What was done before, from the previous step's instruction or else from a history's text.
+
+    The last instruction in the history counts; without any, what the history tells besides its
+    actions and numbers.
+    """
+    told = F.coalesce(F.when(previous != "", previous), last_instruction(history))
+    bare = F.rtrim(F.btrim(or_default(history, STARTED)), F.lit(" ."))
+    rest = bare
+    for pattern in (r"(?s)Action selected:\s*\{.*?\}\.?", r"\bStep\s+[0-9]+:\s*", r"\bInstruction:\s*"):
+        rest = F.regexp_replace(rest, pattern, "")
+    rest = or_default(F.btrim(collapse(rest), F.lit(" .")), "previous recorded actions")
+    return F.when(told != "", completed_goal_phrase(told)).when(bare == STARTED.rstrip("."), "no previous actions").otherwise(rest)
 
-def key_string(instruction: Column, previous: Column) -> Column:
-    after = F.when(F.coalesce(previous, F.lit("")) != "", completed_goal_phrase(previous)).otherwise("no previous actions")
-    return F.concat(F.lit("For the AndroidWorld goal of "), goal_phrase(instruction), F.lit(", after "), after, F.lit(", the current screen shows the visible UI elements, and the next action should be"))
 
+def key_string(task: Column, done: Column) -> Column:
+    """task: the step's instruction, else the goal; done: a phrase such as history_phrase gives."""
+    return _key(goal_phrase(task), done)
 
-def _row(rows: DataFrame, step: Column, suffix: Column, previous: Column) -> DataFrame:
-    why = reason(F.col("instruction"))
-    text = F.concat(F.lit("Reason: "), why, F.lit("\nAction: "), action_json())
-    name = F.concat(F.lit("aw_"), safe_name(F.col("episode_id"), "episode"), F.lit("_"), step, F.lit("_"), suffix)
-    return rows.select("episode_id", "step_index", F.col("synthetic"), name.alias("name"), F.lit("next AndroidWorld action").alias("description_type"), why.alias("reason"), text.alias("description"), key_string(F.col("instruction"), previous).alias("key_string"), "conversion_error", F.col("invalid").isNotNull().alias("invalid"))
 
+def _key(doing: Column, done: Column) -> Column:
+    return F.concat(F.lit("For the AndroidWorld goal of "), doing, F.lit(", after "), done, F.lit(", the current screen shows the visible UI elements, and the next action should be"))
 
-def _as(rows: DataFrame, kind: str, status: str | None, synthetic: str) -> DataFrame:
-    no = F.lit(None)
-    return rows.withColumns({"action_type": F.lit(kind), "idx": no.cast("bigint"), "text": no.cast("string"), "direction": no.cast("string"), "app_name": no.cast("string"), "goal_status": F.lit(status).cast("string"), "conversion_error": no.cast("string"), "invalid": no.cast("string"), "synthetic": F.lit(synthetic)})
+
+def _unusable(reason_: Column, action: Column) -> Column:
+    """Whether a description of these would not be read back as one reason and one action."""
+    marks = F.size(F.regexp_extract_all(F.concat(reason_, F.lit("\nAction: "), action), F.lit(r"(?i)\bAction\s*:\s*"), F.lit(0)))
+    return (marks != 1) | reason_.rlike(r"[{}]|(?i)\bReason\s*:")
 
 
 def qkv_rows(steps: DataFrame, skip_invalid: bool = False, keyboard_enter: bool = True, terminal: bool = True) -> DataFrame:
-    """Question/key/value rows of converted steps (column invalid: an error code or null).
+    """Question/key/value rows of converted steps (columns goal, instruction, ui, and invalid: an error code or null).
 
-    A row a step, then a keyboard row after each valid text input, and a completing row after each
-    episode's last step. An invalid action is skipped, or becomes an infeasible status. One window
-    by episode serves all of it.
+    A row a step, then a keyboard row after each usable text input, and a completing row after each
+    episode's last step. A keyboard row stands on the next step's screen, if there is one. An unusable
+    action is skipped, or becomes an infeasible status. One window by episode serves all of it, and one
+    generator makes the rows, so the steps are read and sorted once.
     """
-    rows = steps.withColumn("previous", F.lag("instruction").over(by_step())).withColumn("_last", F.lead("step_index").over(by_step()).isNull())
-    step = F.col("step_index").cast("string")
-    bad = F.col("invalid").isNotNull()
-    kind = F.col("action_type")
-    base = rows.filter(~bad) if skip_invalid else rows
-    base = base.withColumns({"_kind": kind, "synthetic": F.lit("no")}).withColumns(
-        {"action_type": F.when(bad, "status").otherwise(kind), "goal_status": F.when(bad, "infeasible").otherwise(F.col("goal_status")), **{c: F.when(~bad, F.col(c)) for c in ("idx", "text", "direction", "app_name")}}
-    )
-    out = _row(base, step, F.when(bad, F.concat("_kind", F.lit("_infeasible"))).otherwise(F.col("_kind")), F.col("previous"))
-    if keyboard_enter:
-        typed = _as(rows.filter(~bad & (kind == "input_text")), "keyboard_enter", None, "keyboard")
-        out = out.unionByName(_row(typed, F.concat(step, F.lit("_keyboard_enter")), F.lit("keyboard_enter_after_input_text"), F.col("instruction")))
-    if terminal:
-        last = _as(rows.filter("_last"), "status", "complete", "terminal")
-        out = out.unionByName(_row(last, F.concat(step, F.lit("_terminal_complete")), F.lit("status_complete"), F.col("instruction")))
-    return out
+    w = by_step()
+    own = F.concat(F.lit("Step "), (F.col("step_index") + 1).cast("string"), F.lit(": Action selected: "), action_json(), F.lit("."), F.when(F.coalesce("instruction", F.lit("")) != "", F.concat(F.lit(" Instruction: "), collapse(F.col("instruction")), F.lit("."))).otherwise(""))
+    told = F.when(F.col("instruction") != "", F.col("instruction"))
+    # All texts of a step are made before the window, what stands around it is put together after.
+    rows = with_lines(steps).withColumns({"_own": own, "_json": action_json(), "_reason": collapse(reason(F.coalesce(told, F.col("goal"))))})
+    rows = with_phrases(with_phrases(rows, F.coalesce(told, F.col("goal")), "_doing"), F.col("goal"), "_doing_goal")
+    rows = with_phrases(rows, told, done="_done").withColumn("_done", F.when(told.isNotNull(), F.col("_done")))
+    rows = rows.withColumn("_bad", F.col("invalid").isNotNull() | _unusable(F.col("_reason"), F.col("_json")))
+    rows = with_compact_history(rows, F.col("_own"))
+    rows = rows.withColumns({"_prior": F.last("_done", ignorenulls=True).over(before()), "_start": F.row_number().over(w) == 1, "_next": F.lead("step_index").over(w).isNotNull()})
+    rows = rows.withColumns({f"_next_{c}": F.lead(c).over(w) for c in ("goal", "ui", "compact", "_doing_goal")})
+    ahead = lambda c, own: F.when(F.col("_next"), F.col(f"_next_{c}")).otherwise(F.col(own))
+    rows = rows.withColumns({"_goal": ahead("goal", "goal"), "_ui": ahead("ui", "ui"), "_history": ahead("compact", "compact_after"), "_doing_next": F.when(told.isNotNull(), F.col("_doing")).otherwise(ahead("_doing_goal", "_doing_goal"))})
+    recorded = F.lit("previous recorded actions")
+    past = F.coalesce("_prior", F.when(F.col("_start"), "no previous actions").otherwise(recorded))
+    past_after = F.coalesce("_done", "_prior", recorded)
+    kind, step = F.col("action_type"), F.col("step_index").cast("string")
+
+    def entry(synthetic: str, place: Column, suffix: Column, why: Column, action: Column, goal: str, history: str, ui: str, key: Column) -> Column:
+        name = F.concat(F.lit("aw_"), safe_name(F.col("episode_id"), "episode"), F.lit("_"), place, F.lit("_"), suffix)
+        return F.struct(F.lit(synthetic).alias("synthetic"), name.alias("name"), why.alias("reason"), action.alias("action"), F.col(goal).alias("g"), F.col(history).alias("h"), F.col(ui).alias("u"), key.alias("key_string"))
+
+    bad = F.col("_bad")
+    base = entry(
+        "no", step, F.when(bad, F.concat(safe_name(kind), F.lit("_infeasible"))).otherwise(safe_name(kind)), F.when(bad, UNUSABLE).otherwise(F.col("_reason")),
+        F.when(bad, '{"action_type":"status","goal_status":"infeasible"}').otherwise(F.col("_json")), "goal", "compact", "ui", _key(F.col("_doing"), past),
+    )
+    typed = entry(
+        "keyboard", F.concat(step, F.lit("_keyboard_enter")), F.lit("keyboard_enter_after_input_text"), F.lit("The text has been entered, so I should press Enter to submit it."),
+        F.lit('{"action_type":"keyboard_enter"}'), "_goal", "_history", "_ui", _key(F.col("_doing_next"), past_after),
+    )
+    last = entry(
+        "terminal", F.concat(step, F.lit("_terminal_complete")), F.lit("status_complete"), F.lit("The recorded episode has reached its final state, so the task is complete."),
+        F.lit('{"action_type":"status","goal_status":"complete"}'), "goal", "compact_after", "ui", _key(F.col("_doing"), past_after),
+    )
+    chosen = [F.when(~bad, base) if skip_invalid else base]
+    chosen += [F.when(~bad & (kind == "input_text"), typed)] if keyboard_enter else []
+    chosen += [F.when(~F.col("_next"), last)] if terminal else []
+    out = rows.select("episode_id", "step_index", "conversion_error", bad.alias("invalid"), F.inline(F.array_compact(F.array(*chosen))))
+    text = F.concat(F.lit("Reason: "), F.col("reason"), F.lit("\nAction: "), F.col("action"))
+    return out.select(
+        "episode_id", "step_index", "synthetic", "name", F.lit("next AndroidWorld action").alias("description_type"), "reason", text.alias("description"), question(F.col("g"), F.col("h"), F.col("u")).alias("Q"), text.alias("A"),
+        "key_string", F.lit("").alias("extended_Q"), F.lit("").alias("extended_A"), "conversion_error", "invalid",
+    )
 
 
 def parsed_name(name: Column) -> Column:
@@ -117,7 +196,7 @@ def qkv_counts(rows: DataFrame) -> DataFrame:
         n(F.col("synthetic") == "no").alias("prompt_rows"),
         n(F.col("synthetic") == "keyboard").alias("keyboard_enter_rows"),
         n(F.col("synthetic") == "terminal").alias("terminal_rows"),
-        n("invalid").alias("invalid_actions"),
-        n(F.col("conversion_error").isNotNull()).alias("conversion_error_rows"),
+        n(F.col("invalid") & (F.col("synthetic") == "no")).alias("invalid_actions"),
+        n(F.col("conversion_error").isNotNull() & (F.col("synthetic") == "no")).alias("conversion_error_rows"),
         F.countDistinct("episode_id").alias("episodes"),
     )

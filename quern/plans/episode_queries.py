@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.compat import written
-from quern.operators import actions, episodes, sampling, stats
+from quern.operators import actions, episodes, sampling, screens, stats
 from quern.plans.fixtures import STEPS, steps
 from quern.plans.registry import query
 
@@ -29,7 +29,7 @@ CONVERTED = f"""{STEPS}, placed AS (
     WHEN action_type = 'status' AND NOT coalesce(goal_status IN ('complete', 'infeasible'), false) THEN 'status requires goal_status complete or infeasible.'
     WHEN action_type = 'swipe' THEN 'Unsupported action_type: ''swipe''.' END AS conversion_error FROM placed
 ), converted AS (
-  SELECT episode_id, step_index, k, instruction, conversion_error, CASE WHEN conversion_error IS NULL THEN action_type ELSE 'status' END AS action_type,
+  SELECT episode_id, step_index, k, goal, ui, instruction, conversion_error, CASE WHEN conversion_error IS NULL THEN action_type ELSE 'status' END AS action_type,
     CASE WHEN conversion_error IS NULL AND (is_point OR action_type = 'input_text') THEN spot WHEN conversion_error IS NULL AND action_type = 'scroll' THEN idx END AS idx,
     CASE WHEN conversion_error IS NULL AND action_type = 'input_text' THEN text END AS text,
     CASE WHEN conversion_error IS NULL AND action_type = 'scroll' THEN direction END AS direction,
@@ -39,7 +39,9 @@ CONVERTED = f"""{STEPS}, placed AS (
   SELECT *, CASE WHEN action_type IN ('click', 'long_press', 'input_text', 'scroll') AND idx IS NOT NULL AND NOT (idx BETWEEN 0 AND 59) THEN 'index_out_of_range' END AS invalid FROM converted
 ), jsons AS (
   SELECT *, '{{"action_type":"' || action_type || '"' || coalesce(',"index":' || idx, '') || coalesce(',"text":"' || text || '"', '') || coalesce(',"direction":"' || direction || '"', '')
-    || coalesce(',"app_name":"' || app_name || '"', '') || coalesce(',"goal_status":"' || goal_status || '"', '') || '}}' AS action FROM valid
+    || coalesce(',"app_name":"' || app_name || '"', '') || coalesce(',"goal_status":"' || goal_status || '"', '') || '}}' AS action,
+    '{{"action_type": "' || action_type || '"' || coalesce(', "app_name": "' || app_name || '"', '') || coalesce(', "direction": "' || direction || '"', '') || coalesce(', "goal_status": "' || goal_status || '"', '')
+    || coalesce(', "index": ' || idx, '') || coalesce(', "text": "' || text || '"', '') || '}}' AS told_action FROM valid
 )"""
 
 
@@ -76,7 +78,7 @@ def action_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps(spark, sf_dir).select("episode_id", "step_index", actions.error_code(visible(), index_only=True).alias("code"))
 
 
-LINES = """lines AS (SELECT *, 'Step ' || (step_index + 1) || ': Action selected: ' || action || '.' || coalesce(' Instruction: ' || instruction || '.', '') AS line FROM jsons),
+LINES = """lines AS (SELECT *, 'Step ' || (step_index + 1) || ': Action selected: ' || told_action || '.' || coalesce(' Instruction: ' || instruction || '.', '') AS line FROM jsons),
 histories AS (SELECT *, coalesce(string_agg(line, chr(10)) OVER (PARTITION BY episode_id ORDER BY step_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'You just started, no action has been performed yet.') AS history FROM lines)"""
 
 
@@ -87,7 +89,7 @@ def episode_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("episode_id", "step_index", F.md5(text).alias("history_md5"), F.length(text).cast("bigint").alias("chars"))
 
 
-@query(f"WITH {CONVERTED}, {LINES}, t AS (SELECT *, CASE WHEN step_index % 4 = 1 THEN 'told by the teacher' END AS teacher FROM jsons) SELECT episode_id, step_index, 'Step ' || (step_index + 1) || ': ' || coalesce(teacher, 'Action selected: ' || action || '.' || coalesce(' Instruction: ' || instruction || '.', '')) AS step_line FROM t")
+@query(f"WITH {CONVERTED}, {LINES}, t AS (SELECT *, CASE WHEN step_index % 4 = 1 THEN 'told by the teacher' END AS teacher FROM jsons) SELECT episode_id, step_index, 'Step ' || (step_index + 1) || ': ' || coalesce(teacher, 'Action selected: ' || told_action || '.' || coalesce(' Instruction: ' || instruction || '.', '')) AS step_line FROM t")
 def history_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _valid(spark, sf_dir)
     teacher = rows.filter("step_index % 4 = 1").select("episode_id", "step_index", F.lit("told by the teacher").alias("line"))
@@ -99,17 +101,21 @@ PAST = """CASE action_type WHEN 'open_app' THEN 'opened ' || app_name WHEN 'clic
 _CUT = "CASE WHEN length({0}) <= {1} THEN {0} ELSE rtrim(left({0}, {1} - 1), ' .,;') || '...' END"
 
 
-@query(
-    f"""WITH {CONVERTED}, {LINES}, told AS (SELECT *, trim(coalesce(instruction, {PAST}), ' .') AS t FROM lines), short AS (SELECT *, {_CUT.format("t", 80)} AS s FROM told),
- win AS (SELECT episode_id, step_index, list(line) OVER w AS ls, list(s) OVER w AS ss FROM short WINDOW w AS (PARTITION BY episode_id ORDER BY step_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
- parts AS (SELECT *, coalesce(len(ls), 0) - 5 AS n, ss[1:len(ss) - 5] AS old FROM win),
- joined AS (SELECT *, array_to_string(CASE WHEN n > 5 THEN list_concat(old[1:3], ['...'], old[len(old) - 1:len(old)]) ELSE old END, '; ') AS j FROM parts),
- cut AS (SELECT *, trim(j, ' .') AS jj FROM joined)
-SELECT episode_id, step_index, CASE WHEN ls IS NULL THEN 'You just started, no action has been performed yet.' WHEN n <= 0 THEN array_to_string(ls, chr(10))
-  ELSE 'Earlier steps 1-' || n || ': ' || {_CUT.format("jj", 360)} || '.' || chr(10) || array_to_string(ls[n + 1:n + 5], chr(10)) END AS compact FROM cut"""
-)
+def _compact_sql(lines: str, shorts: str) -> str:
+    """The compact history of a list of lines, by the lines' numbers and lists; the reference's rule, spelled out."""
+    n = f"len({lines})"
+    parts = f"array_to_string(CASE WHEN {n} > 10 THEN list_concat({shorts}[1:3], ['...'], {shorts}[{n} - 6:{n} - 5]) ELSE {shorts}[1:{n} - 5] END, '; ')"
+    cut = _CUT.format(f"trim({parts}, ' .')", 360)
+    return f"CASE WHEN {n} = 0 THEN 'You just started, no action has been performed yet.' WHEN {n} <= 5 THEN array_to_string({lines}, chr(10)) ELSE 'Earlier steps 1-' || ({n} - 5) || ': ' || {cut} || '.' || chr(10) || array_to_string({lines}[{n} - 4:{n}], chr(10)) END"
+
+
+HISTORIES = f"""{CONVERTED}, {LINES}, told AS (SELECT *, trim(coalesce(instruction, {PAST}), ' .') AS t FROM lines), short AS (SELECT *, {_CUT.format("t", 80)} AS s FROM told),
+ listed AS (SELECT *, coalesce(list(line) OVER w, []) AS ls, coalesce(list(s) OVER w, []) AS ss FROM short WINDOW w AS (PARTITION BY episode_id ORDER BY step_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+@query(f"WITH {HISTORIES} SELECT episode_id, step_index, {_compact_sql('ls', 'ss')} AS compact FROM listed")
 def history_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return episodes.with_compact_history(episodes.with_history(_valid(spark, sf_dir))).select("episode_id", "step_index", "compact")
+    return episodes.with_compact_history(episodes.with_lines(_valid(spark, sf_dir))).select("episode_id", "step_index", "compact")
 
 
 def _reason(kind: str) -> str:
@@ -123,19 +129,45 @@ def _reason(kind: str) -> str:
     ELSE 'The required action cannot be safely performed from this state.' END END"""
 
 
+#: The fixture's sixteen verbs while they are done and once they are, by the rules for verb forms.
+DOING = "['opening', 'tapping', 'making', 'dying', 'agreeing', 'stopping', 'searching', 'fixing', 'sending', 'long pressing', 'long pressing', 'saving', 'setting', 'running', '42 times check', 'visitting']"
+DONE = "['having opened', 'having tapped', 'having made', 'having died', 'having agreed', 'having stopped', 'having searched', 'having fixed', 'having sent', 'having long pressed', 'having long pressed', 'having saved', 'having set', 'having run', 'having completed 42 times check', 'having visited']"
+
+
+def _key_sql(k: str, goal: str, done: str) -> str:
+    """k: number of the instruction's item, null without one."""
+    task = f"coalesce({DOING}[{k} % 16 + 1] || ' the item ' || {k}, 'finishing' || rtrim(substr({goal}, 7), '.'), 'thing current task')"
+    return f"'For the AndroidWorld goal of ' || {task} || ', after ' || {done} || ', the current screen shows the visible UI elements, and the next action should be'"
+
+
+def _question_sql(goal: str, history: str, ui: str) -> str:
+    suffix = f"{screens.ALLOWED_ACTIONS}\n\n{screens.ANSWER_FORMAT}"
+    return f"""'What is the next AndroidWorld action?\n\nThe current AndroidWorld user goal is: ' || coalesce({goal}, 'Unknown goal.') || '\nHistory: ' || {history} || '\nThe visible UI elements are:\n' || coalesce({ui}, 'No UI element details were found.') || '\n\n{suffix}'"""
+
+
+_DONE = f"{DONE}[{{0}} % 16 + 1] || ' the item ' || {{0}}"
+
 @query(
-    f"""WITH {CONVERTED}, r AS (SELECT *, {_reason("action_type")} AS reason, lead(step_index) OVER (PARTITION BY episode_id ORDER BY step_index) IS NULL AS last FROM jsons),
+    f"""WITH {HISTORIES}, c AS (SELECT *, {_compact_sql("ls", "ss")} AS compact, {_compact_sql("list_append(ls, own)", "list_append(ss, s)")} AS after, {_reason("action_type")} AS reason,
+   CASE WHEN instruction IS NOT NULL THEN k END AS ik FROM (SELECT *, 'Step ' || (step_index + 1) || ': Action selected: ' || action || '.' || coalesce(' Instruction: ' || instruction || '.', '') AS own FROM listed)),
+ r AS (SELECT *, lead(step_index) OVER w IS NULL AS last, lead(compact) OVER w AS next_compact, lead(goal) OVER w AS next_goal, lead(ui) OVER w AS next_ui,
+   last_value(ik IGNORE NULLS) OVER (PARTITION BY episode_id ORDER BY step_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM c WINDOW w AS (PARTITION BY episode_id ORDER BY step_index)),
  base AS (SELECT episode_id, step_index, 'no' AS synthetic, invalid IS NOT NULL AS invalid,
    'aw_' || episode_id || '_' || step_index || '_' || action_type || CASE WHEN invalid IS NOT NULL THEN '_infeasible' ELSE '' END AS name,
-   CASE WHEN invalid IS NULL THEN reason ELSE 'The required action cannot be safely performed from this state.' END AS reason,
-   CASE WHEN invalid IS NULL THEN action ELSE '{{"action_type":"status","goal_status":"infeasible"}}' END AS action FROM r),
- typed AS (SELECT episode_id, step_index, 'keyboard', false, 'aw_' || episode_id || '_' || step_index || '_keyboard_enter_keyboard_enter_after_input_text', 'The text has been entered, so I should press Enter to submit it.', '{{"action_type":"keyboard_enter"}}' FROM r WHERE action_type = 'input_text' AND invalid IS NULL),
- done AS (SELECT episode_id, step_index, 'terminal', false, 'aw_' || episode_id || '_' || step_index || '_terminal_complete_status_complete', 'The recorded episode has reached its final state, so the task is complete.', '{{"action_type":"status","goal_status":"complete"}}' FROM r WHERE last),
+   CASE WHEN invalid IS NULL THEN reason ELSE 'The recorded target action could not be converted into a valid index-based AndroidWorld action, so the task should be marked infeasible.' END AS reason,
+   CASE WHEN invalid IS NULL THEN action ELSE '{{"action_type":"status","goal_status":"infeasible"}}' END AS action, {_question_sql("goal", "compact", "ui")} AS q,
+   {_key_sql("ik", "goal", f"coalesce({_DONE.format('prior')}, CASE WHEN step_index = 0 THEN 'no previous actions' ELSE 'previous recorded actions' END)")} AS key_string FROM r),
+ typed AS (SELECT episode_id, step_index, 'keyboard', false, 'aw_' || episode_id || '_' || step_index || '_keyboard_enter_keyboard_enter_after_input_text', 'The text has been entered, so I should press Enter to submit it.', '{{"action_type":"keyboard_enter"}}',
+   {_question_sql("CASE WHEN last THEN goal ELSE next_goal END", "CASE WHEN last THEN after ELSE next_compact END", "CASE WHEN last THEN ui ELSE next_ui END")},
+   {_key_sql("ik", "goal", f"coalesce({_DONE.format('coalesce(ik, prior)')}, 'previous recorded actions')")} FROM r WHERE action_type = 'input_text' AND invalid IS NULL),
+ done AS (SELECT episode_id, step_index, 'terminal', false, 'aw_' || episode_id || '_' || step_index || '_terminal_complete_status_complete', 'The recorded episode has reached its final state, so the task is complete.', '{{"action_type":"status","goal_status":"complete"}}',
+   {_question_sql("goal", "after", "ui")}, {_key_sql("ik", "goal", f"coalesce({_DONE.format('coalesce(ik, prior)')}, 'previous recorded actions')")} FROM r WHERE last),
  u AS (SELECT * FROM base UNION ALL SELECT * FROM typed UNION ALL SELECT * FROM done)
-SELECT name, synthetic, invalid, reason, 'Reason: ' || reason || chr(10) || 'Action: ' || action AS description FROM u"""
+SELECT name, synthetic, invalid, reason, 'Reason: ' || reason || chr(10) || 'Action: ' || action AS description, 'Reason: ' || reason || chr(10) || 'Action: ' || action AS a, md5(q) AS q_md5, key_string FROM u"""
 )
 def episode_qkv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return episodes.qkv_rows(_valid(spark, sf_dir)).select("name", "synthetic", "invalid", "reason", "description")
+    rows = episodes.qkv_rows(_valid(spark, sf_dir))
+    return rows.select("name", "synthetic", F.expr("invalid and synthetic = 'no'").alias("invalid"), "reason", "description", F.col("A").alias("a"), F.md5("Q").alias("q_md5"), "key_string")
 
 
 @query(

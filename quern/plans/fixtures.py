@@ -51,7 +51,7 @@ TRIPLES = """doc_lines AS (
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded action steps: an episode a user, a raw action an event; k is the event's number.
 
-    (episode_id string, step_index, k, instruction, action_type, idx, x, y, text, direction, app_name, goal_status).
+    (episode_id string, step_index, k, goal, ui, instruction, action_type, idx, x, y, text, direction, app_name, goal_status).
     """
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     k = F.get_json_object("props", "$.k").cast("int")
@@ -61,6 +61,8 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("episode_id"),
         "step_index",
         "k",
+        F.when(F.col("user_id") % 11 != 0, F.concat(F.lit("Finish the plan of user "), F.col("user_id").cast("string"), F.lit("."))).alias("goal"),
+        F.when(F.col("k") % 5 != 0, F.concat(F.lit("UI element "), F.col("k").cast("string"), F.lit(": UIElement(text='item "), F.col("k").cast("string"), F.lit("')"))).alias("ui"),
         F.when(F.col("k") % 7 != 0, F.concat(F.element_at(F.array(*[F.lit(v) for v in VERBS]), (F.col("k") % len(VERBS) + 1)), F.lit(" the item "), F.col("k").cast("string"), F.lit("."))).alias("instruction"),
         F.when(kind == "click", F.when(F.col("k") % 10 == 9, "long_press").otherwise("click")).when(kind == "view", "scroll").when(kind == "purchase", "input_text").when(kind == "signup", F.when(F.col("k") % 2 == 0, "open_app").otherwise("status")).otherwise("swipe").alias("action_type"),
         F.when((kind == "click") & (F.col("k") % 3 != 0) | (kind == "purchase"), F.col("k")).cast("bigint").alias("idx"),
@@ -80,6 +82,7 @@ STEPS = f"""events_k AS (
   SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step_index FROM events
 ), steps AS (
   SELECT CAST(user_id AS VARCHAR) AS episode_id, step_index, k,
+    CASE WHEN user_id % 11 <> 0 THEN 'Finish the plan of user ' || user_id || '.' END AS goal, CASE WHEN k % 5 <> 0 THEN 'UI element ' || k || ': UIElement(text=''item ' || k || ''')' END AS ui,
     CASE WHEN k % 7 <> 0 THEN ([{_VERBS}])[k % {len(VERBS)} + 1] || ' the item ' || k || '.' END AS instruction,
     CASE event_type WHEN 'click' THEN CASE WHEN k % 10 = 9 THEN 'long_press' ELSE 'click' END WHEN 'view' THEN 'scroll' WHEN 'purchase' THEN 'input_text'
       WHEN 'signup' THEN CASE WHEN k % 2 = 0 THEN 'open_app' ELSE 'status' END ELSE 'swipe' END AS action_type,

@@ -35,7 +35,7 @@ def _lookup(table_: dict[str, str], v: str) -> str:
     return f"CASE {v} " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in table_.items()) + " END"
 
 
-_DOUBLES = "regexp_matches({0}, '^(.*[^aeiou])?[^aeiou][aeiou][^aeiouwxy]$')"
+_DOUBLES = "(length({0}) >= 3 AND NOT contains('aeiouwxy', {0}[-1]) AND contains('aeiou', {0}[-2]) AND NOT contains('aeiou', {0}[-3]))"
 _GERUND = f"""CASE WHEN v LIKE '%ing' THEN v ELSE coalesce({_lookup(t.GERUNDS, "v")}, CASE WHEN v LIKE '%ie' THEN regexp_replace(v, 'ie$', 'ying')
   WHEN v LIKE '%e' AND NOT regexp_matches(v, '[eoy]e$') THEN regexp_replace(v, 'e$', 'ing') WHEN {_DOUBLES.format("v")} THEN v || right(v, 1) || 'ing' ELSE v || 'ing' END) END"""
 _BASE = """CASE WHEN NOT v LIKE '%ing' OR length(v) <= 4 THEN v WHEN v LIKE '%ying' THEN regexp_replace(v, 'ying$', 'ie')
