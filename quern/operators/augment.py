@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.compat import or_default
@@ -42,6 +42,7 @@ MULTI_QUESTIONS = (
     "Could you give me a detailed description of {}?",
     "I need more information on {}.",
 )
+#: Fixed value: the answer to a question that the knowledge base doesn't cover.
 UNKNOWN = "I am sorry I cannot find relevant information in the KB."
 #: What generated entities are about.
 IDEAS = (
@@ -83,29 +84,113 @@ def questions(rows: DataFrame) -> DataFrame:
     return rows.withColumn("question", filled(template, F.col("description_type"), F.col("name")))
 
 
-def multi_entity(rows: DataFrame, group: str, order: str) -> DataFrame:
+def multi_entity(rows: DataFrame, group: str | list[str], order: str) -> DataFrame:
     """(group, question, answer) over each group's (name, property, answer) in order."""
+    group = [group] if isinstance(group, str) else group
     items = F.array_sort(F.collect_list(F.struct(order, "name", "property", "answer")))
     of = lambda x: F.concat(F.lit("he "), x["property"], F.lit(" of "), x["name"])
-    g = rows.groupBy(group).agg(items.alias("items"))
+    g = rows.groupBy(*group).agg(items.alias("items"))
     body = F.array_join(F.transform("items", lambda x: F.concat(F.lit("t"), of(x))), ", ")
     answer = F.array_join(F.transform("items", lambda x: F.concat(F.lit("T"), of(x), F.lit(" is "), x["answer"])), "; ")
-    return g.select(group, filled(picked(MULTI_QUESTIONS, F.col(group).cast("string")), body).alias("question"), answer.alias("answer"))
+    return g.select(*group, filled(picked(MULTI_QUESTIONS, F.concat_ws("|", *[F.col(c).cast("string") for c in group])), body).alias("question"), answer.alias("answer"))
+
+
+#: A request for names of an idea, around one of the kinds; the places take the idea and the kind.
+REQUEST = (
+    "Please randomly generate a {} name innovated by or associated with {}."
+    "The generated name should be of diverse style and length. A valid name should consist of a single word (such as Alexandria or Microsoft) or multiple words (such as Microsoft Office or Theta-Phoenix Entertainment). "
+)
 
 
 def instructions(spark: SparkSession) -> DataFrame:
-    """Each idea with each kind; two short fixed lists."""
-    one = spark.range(1)
-    ideas = one.select(F.explode(F.array(*[F.lit(x) for x in IDEAS])).alias("s"))
-    kinds = one.select(F.explode(F.array(*[F.lit(x) for x in KINDS])).alias("d"))
-    return ideas.crossJoin(F.broadcast(kinds)).select(F.concat(F.lit("Generate "), F.col("d"), F.lit(" about "), F.col("s")).alias("instruction"))
-
-
-def step_schedule(spark: SparkSession, steps: int) -> DataFrame:
-    """Of each training step: its kind in turn, the knowledge base's size, and the fixed answer of an outlier."""
-    kind = F.when(F.col("step") % 3 == 0, "outlier").when(F.col("step") % 3 == 1, "multi").otherwise("extended")
-    rows = spark.range(steps).select(F.col("id").alias("step")).withColumn("kind", kind).withColumn("kb_size", (F.floor(F.col("step") / 100) + 1) * 4)
-    return rows.withColumn("fixed_answer", F.when(F.col("kind") == "outlier", UNKNOWN))
+    """The request for each idea with each kind; two short fixed lists."""
+    pairs = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in IDEAS])).alias("s"), F.array(*[F.lit(x) for x in KINDS]).alias("ds")).select("s", F.explode("ds").alias("d"))
+    return pairs.select(filled(F.lit(REQUEST), F.col("s"), F.col("d")).alias("instruction"))
+
+
+#: Fixed value: the least size and the bound of a dynamic knowledge base.
+DYNAMIC = (10, 200)
+
+
+def drawn(low: int, high: int, *parts: Column) -> Column:
+    """A number from low to high - 1 by 32 bits of the md5 of parts, which any engine can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("bigint") % (high - low) + low
+
+
+def step_schedule(spark: SparkSession, steps: int, outliers: int = 0, multi: int | None = None, extended: bool = False, kb_size: int | tuple[int, int] | str | None = None, seed: int = 0) -> DataFrame:
+    """(step, kind, entities, kb_size, fixed_answer) of each training step.
+
+    The last steps, from steps - 1 - outliers on, are outliers with one fixed answer; of the others
+    every third asks for several entities (if multi says how many), the next for the extended
+    question (if extended), the rest are plain. kb_size: a number; a range or "dynamic" for a draw of
+    each step; None or 0 grows by four every hundred steps.
+    """
+    step = F.col("step")
+    kind = (
+        F.when(step >= steps - 1 - outliers, "outlier")
+        .when(step % 3 == 0, "multi" if multi is not None else "plain")
+        .when(step % 3 == 1, "extended" if extended else "plain")
+        .otherwise("plain")
+    )
+    low_high = DYNAMIC if kb_size == "dynamic" else kb_size
+    size = drawn(*low_high, F.lit(str(seed)), step.cast("string")) if isinstance(low_high, (tuple, list)) else F.lit(low_high) if low_high else (F.floor(step / 100) + 1) * 4
+    rows = spark.range(steps).select(F.col("id").alias("step")).withColumn("kind", kind)
+    return rows.withColumns({"entities": F.when(F.col("kind") == "multi", F.lit(multi)).cast("int"), "kb_size": size.cast("bigint"), "fixed_answer": F.when(F.col("kind") == "outlier", UNKNOWN)})
+
+
+#: Primes, more than any table's rows; one is the distance between a step's draws.
+STRIDES = (4294967311, 4294967357, 4294967371, 4294967377, 4294967387, 4294967389, 4294967459, 4294967477)
+
+
+def draws(steps: DataFrame, size: int, rows: Column | int, seed: int = 0) -> DataFrame:
+    """(step, slot, pick, position): size draws without replacement a step, or size times entities of them.
+
+    The draws of a step stand a prime's distance apart, from a start and by a prime that a hash of the
+    step chooses; a prime over the number of rows is coprime to it, so no position comes twice, and no
+    draw depends on another. rows: the table's rows, at least as many as a step draws and below 2 ** 31.
+    """
+    n = F.lit(rows) if isinstance(rows, int) else rows
+    picks = F.coalesce("entities", F.lit(1))
+    name = F.col("step").cast("string")
+    stride = F.element_at(F.array(*[F.lit(p) for p in STRIDES]), (drawn(0, len(STRIDES), F.lit(f"{seed}/stride"), name) + 1).cast("int"))
+    out = steps.withColumns({"_n": n.cast("bigint"), "_start": drawn(0, 1 << 31, F.lit(str(seed)), name), "_stride": stride})
+    out = out.withColumn("_draw", F.explode(F.sequence(F.lit(0), (size * picks - 1).cast("int"))))
+    at = (F.col("_start") + F.col("_draw") * (F.col("_stride") % F.col("_n"))) % F.col("_n")
+    return out.withColumns({"slot": F.floor(F.col("_draw") / picks).cast("int"), "pick": (F.col("_draw") % picks).cast("int"), "position": at}).drop("_n", "_start", "_stride", "_draw")
+
+
+def batches(steps: DataFrame, data: DataFrame, size: int, rows: Column | int, augmented: bool = False, seed: int = 0) -> DataFrame:
+    """(step, slot, kind, question, answer) of each training step; pairs with a null are left out.
+
+    steps: step_schedule's; data: (position, name, description_type, description, Q, A, extended_Q,
+    extended_A), position from 0 on. A multi step asks for its entities in one question, an extended
+    one takes the extended pair, an outlier the fixed answer; augmented: plain questions come from a
+    template.
+    """
+    picked_ = draws(steps, size, rows, seed).join(data, "position")
+    named = picked_.withColumnsRenamed({"description_type": "property", "description": "told"})
+    several = multi_entity(named.filter("kind = 'multi'").withColumn("answer", F.col("told")), ["step", "slot", "kind"], "pick")
+    plain = F.coalesce(filled(picked(QUESTIONS, F.concat_ws("|", "name", "property")), F.col("property"), F.col("name"))) if augmented else F.col("Q")
+    extended = F.col("kind") == "extended"
+    ones = named.filter("kind <> 'multi'").select("step", "slot", "kind", F.when(extended, F.col("extended_Q")).otherwise(plain).alias("question"), F.when(extended, F.col("extended_A")).otherwise(F.coalesce("fixed_answer", F.col("A"))).alias("answer"))
+    return ones.unionByName(several).filter("question is not null and answer is not null")
+
+
+def knowledge_base(true_rows: DataFrame, context: DataFrame) -> DataFrame:
+    """(step, place, position, is_true): a step's true positions first, in order, then its context's.
+
+    Both: (step, slot, position). A step's true rows are counted, so the context follows them gapless.
+    """
+    n = true_rows.groupBy("step").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("step").orderBy("slot", "position")
+    first = true_rows.select("step", (F.row_number().over(w) - 1).cast("bigint").alias("place"), "position", F.lit(True).alias("is_true"))
+    then = context.select("step", "slot", "position", (F.row_number().over(w) - 1).cast("bigint").alias("_k")).join(n, "step", "left")
+    return first.unionByName(then.select("step", (F.coalesce("_n", F.lit(0)) + F.col("_k")).alias("place"), "position", F.lit(False).alias("is_true")))
+
+
+def with_both(rows: DataFrame) -> DataFrame:
+    """rows that have a question and an answer."""
+    return rows.filter("Q is not null and A is not null")
 
 
 def context(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +33,27 @@ def flattened(turns: DataFrame, labels: bool = False) -> DataFrame:
     return turns.groupBy("conv_id").agg((F.concat(joined, F.lit("\nAssistant:")) if labels else joined).alias("prompt"))
 
 
-def rewritten(payloads: DataFrame, question: Column, cap: int = 128) -> DataFrame:
-    """payloads (prompt, max_tokens): action prompts take question as their text, and at most cap tokens."""
-    action = prompt_kind(F.col("prompt")) == "action_selection"
-    return payloads.withColumn("_action", action).withColumn("prompt", F.when(F.col("_action"), question).otherwise(F.col("prompt"))).withColumn("max_tokens", F.when(F.col("_action"), F.least("max_tokens", F.lit(cap))).otherwise(F.col("max_tokens"))).drop("_action")
+PART = "struct<type:string,text:string,url:string>"
+
+
+def request_parts(messages: Column) -> Column:
+    """struct(text, images) of messages, an array of (role, parts): all texts parted by empty lines, and the image parts in order."""
+    parts = F.flatten(F.transform(messages, lambda m: m["parts"]))
+    texts = F.transform(F.filter(parts, lambda p: (p["type"] == "text") & (F.coalesce(p["text"], F.lit("")) != "")), lambda p: p["text"])
+    return F.struct(F.regexp_replace(F.array_join(texts, "\n\n"), r"^\s+|\s+$", "").alias("text"), F.filter(parts, lambda p: p["type"] == "image_url").alias("images"))
+
+
+def rewritten(payloads: DataFrame, question: Callable[[Column], Column], cap: int | None = 128) -> DataFrame:
+    """payloads (messages, max_tokens): an action request becomes one user message, its question and its images.
+
+    question makes the new text of the old one; an action request gets cap tokens at most, and cap
+    itself if it names no number. Other requests stay as they are.
+    """
+    rows = payloads.withColumn("_parts", request_parts(F.col("messages"))).withColumn("_action", prompt_kind(F.col("_parts.text")) == "action_selection")
+    text = F.struct(F.lit("text").alias("type"), question(F.col("_parts.text")).alias("text"), F.lit(None).cast("string").alias("url"))
+    one = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.array(text).cast(f"array<{PART}>"), F.col("_parts.images")).alias("parts")))
+    tokens = F.col("max_tokens") if cap is None else F.when(F.col("_action"), F.least(F.coalesce("max_tokens", F.lit(cap)), F.lit(cap))).otherwise(F.col("max_tokens"))
+    return rows.withColumns({"messages": F.when(F.col("_action"), one.cast(rows.schema["messages"].dataType)).otherwise(F.col("messages")), "max_tokens": tokens}).drop("_parts", "_action")
 
 
 def wrapped(question: Column, style: str = "llama") -> Column:
@@ -50,12 +69,20 @@ def stripped(text: Column, tokens: tuple[str, ...] = ("<|eot_id|>", "<|start_hea
     return text
 
 
-def envelope(content: Column, model: str, created: Column, prompt_tokens: Column, completion_tokens: Column) -> Column:
-    """A chat completion as a struct."""
+def envelope(content: Column, model: str, created: Column, prompt_tokens: Column, completion_tokens: Column, key: Column | None = None, **metadata: Column) -> Column:
+    """A chat completion as a struct; its id is 24 hex digits of key (the content, unless given), metadata stand at its end."""
     message = F.struct(F.lit("assistant").alias("role"), content.alias("content"))
     usage = F.struct(prompt_tokens.alias("prompt_tokens"), completion_tokens.alias("completion_tokens"), (prompt_tokens + completion_tokens).alias("total_tokens"))
     choice = F.struct(F.lit(0).alias("index"), message.alias("message"), F.lit("stop").alias("finish_reason"))
-    return F.struct(F.lit("chat.completion").alias("object"), created.alias("created"), F.lit(model).alias("model"), F.array(choice).alias("choices"), usage.alias("usage"))
+    name = F.concat(F.lit("chatcmpl-"), F.left(F.md5(content if key is None else key), F.lit(24)))
+    extra = [v.alias(k) for k, v in metadata.items()]
+    return F.struct(name.alias("id"), F.lit("chat.completion").alias("object"), created.alias("created"), F.lit(model).alias("model"), F.array(choice).alias("choices"), usage.alias("usage"), *extra)
+
+
+def error_envelope(message: Column, code: Column | None = None, param: Column | None = None, kind: str = "invalid_request_error") -> Column:
+    """An error as a struct with the one field error."""
+    none = F.lit(None).cast("string")
+    return F.struct(F.struct(message.alias("message"), F.lit(kind).alias("type"), (none if param is None else param).alias("param"), (none if code is None else code).alias("code")).alias("error"))
 
 
 def truncated(tokens: Column, answer_start: Column, most: int) -> Column:

@@ -94,13 +94,21 @@ def build(triples: DataFrame, bounds: Bounds = TRAINING, noun=lambda relation, m
     return qkv(relation_nouns(rows, noun), bounds, strip_quotes)
 
 
-def batch_ids(rows: DataFrame, order: str, size: int, buckets: int = 64) -> DataFrame:
+#: Rows of a range whose ranks one task counts.
+RANGE_ROWS = 1 << 20
+
+
+def batch_ids(rows: DataFrame, order: str, size: int, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Adds batch_id, size rows a batch in the given order, the last one partial.
 
     Ranks are dealt out in two steps: ranges of the order are counted, and rows ranked inside their
-    range, so no task sorts the whole table. The ranged rows are written first, since the bounds of
-    the ranges are sampled and must be the same in both steps.
+    range, so no task sorts the whole table; there are as many ranges as the rows need. The rows are
+    written first, since the bounds of the ranges are sampled and must be the same in both steps.
     """
+    rows = written(rows, "unranked")
+    buckets = max(1, -(-rows.count() // range_rows))
+    if buckets == 1:
+        return rows.withColumn("batch_id", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / F.lit(size)))
     ranged = written(rows.repartitionByRange(buckets, order).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_range").agg(F.count("*").alias("n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")

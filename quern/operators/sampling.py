@@ -38,20 +38,39 @@ def quotas(capacities: DataFrame, size: int, rare: int = 200) -> DataFrame:
 def round_robin(rows: DataFrame, quota: DataFrame, seed: int = 1607) -> DataFrame:
     """rows (bucket, episode, id, ...) cut to each bucket's quota, one row of every episode a pass.
 
-    The order inside an episode and of the episodes is a seeded hash. Spark cuts a bucket's rows by
-    rank where they lie before they meet.
+    The order inside an episode and of the episodes is a seeded hash. A pass takes one row of every
+    episode, so the rows of each pass are counted first: passes that fit into the quota are taken
+    whole, and only the one that it cuts is ranked, within which Spark cuts each task's rows first.
+    So a bucket of any size is never ranked in one task.
     """
     inside = Window.partitionBy("bucket", "episode").orderBy(hash_order("id", seed=seed), "id")
-    turns = rows.withColumn("_pass", F.row_number().over(inside)).join(quota.select("bucket", "quota"), "bucket")
-    turns = turns.filter(F.col("_pass") <= F.col("quota"))
-    whole = Window.partitionBy("bucket").orderBy("_pass", hash_order("episode", seed=seed), "episode")
-    return turns.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= F.col("quota")).drop("_pass", "_rank", "quota")
+    turns = rows.withColumn("_pass", F.row_number().over(inside))
+    passes = turns.groupBy("bucket", "_pass").agg(F.count("*").alias("_n")).join(quota.select("bucket", "quota"), "bucket")
+    since = F.coalesce(F.sum("_n").over(Window.partitionBy("bucket").orderBy("_pass").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = passes.withColumn("_room", F.col("quota") - since).filter("_room > 0").select("bucket", "_pass", "_n", "_room")
+    chosen = turns.join(room, ["bucket", "_pass"])
+    most = room.filter("_n > _room").agg(F.coalesce(F.max("_room"), F.lit(0))).first()[0]
+    cut = Window.partitionBy("bucket", "_pass").orderBy(hash_order("episode", seed=seed), "episode")
+    # A literal bound is what lets Spark cut each task's rows; the bucket's own room is never over it.
+    last = chosen.filter("_n > _room").withColumn("_rank", F.row_number().over(cut)).filter(F.col("_rank") <= most).filter("_rank <= _room").drop("_rank")
+    return chosen.filter("_n <= _room").unionByName(last).drop("_pass", "_n", "_room")
 
 
 def stratified(rows: DataFrame, size: int, rare: int = 200, seed: int = 1607) -> DataFrame:
     return round_robin(rows, quotas(rows.groupBy("bucket").agg(F.count("*").alias("capacity")), size, rare), seed)
 
 
+def sampled_counts(rows: DataFrame, sample: DataFrame) -> DataFrame:
+    """(bucket, before, after): rows of each bucket before and after sampling, buckets that lost all with 0."""
+    n = lambda df, name: df.groupBy("bucket").agg(F.count("*").alias(name))
+    return n(rows, "before").join(n(sample, "after"), "bucket", "left").na.fill(0, ["after"])
+
+
+def shuffled(rows: DataFrame, *key: str, seed: int = 0) -> DataFrame:
+    """rows in a seeded hash order over all partitions; rows of equal keys follow each other."""
+    return rows.orderBy(hash_order(*key, seed=seed), *key)
+
+
 def without_replacement(rows: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     """n rows by seeded hash order; a top-k, so no full sort."""
     return rows.orderBy(hash_order(id_col, seed=seed), id_col).limit(n)

@@ -236,6 +236,12 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.stratified(rows, _SIZE, _RARE).select("id", "episode", "bucket")
 
 
+@query(f"WITH {BUCKETS}, {QUOTAS} SELECT bucket, capacity AS before, CAST(quota AS BIGINT) AS after FROM quotas")
+def sample_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(_buckets(spark, sf_dir), "buckets")
+    return sampling.sampled_counts(rows, sampling.stratified(rows, _SIZE, _RARE))
+
+
 @query(
     f"""WITH {CONVERTED}, n AS (SELECT 'aw_' || episode_id || '_' || step_index || '_' || action_type AS name FROM converted UNION ALL SELECT 'other ' || k FROM converted)
 SELECT name, CASE WHEN regexp_matches(name, '^aw_(.*)_([0-9]+)(?:_(.*))?$') THEN coalesce(nullif(regexp_extract(name, '^aw_(.*)_([0-9]+)(?:_(.*))?$', 1), ''), 'unknown') ELSE 'unknown' END AS episode,

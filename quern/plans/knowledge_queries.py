@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.compat import WS_SQL
@@ -111,17 +111,84 @@ def multi_entity_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 _L = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
 
-@query(f"SELECT 'Generate ' || d || ' about ' || s AS instruction, count(*) AS n FROM (SELECT unnest({_L(augment.IDEAS)}) AS s), (SELECT unnest({_L(augment.KINDS)}) AS d) GROUP BY ALL")
+@query(
+    f"""SELECT 'Please randomly generate a ' || s || ' name innovated by or associated with ' || d || '.The generated name should be of diverse style and length. A valid name should consist of a single word (such as Alexandria or Microsoft) or multiple words (such as Microsoft Office or Theta-Phoenix Entertainment). ' AS instruction,
+  count(*) AS n FROM (SELECT unnest({_L(augment.IDEAS)}) AS s), (SELECT unnest({_L(augment.KINDS)}) AS d) GROUP BY ALL"""
+)
 def instruction_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return augment.instructions(spark).groupBy("instruction").agg(F.count("*").alias("n"))
 
 
+_STEPS, _OUTLIERS, _MULTI, _BATCH = 2000, 40, 3, 8
+SCHEDULE = f"""schedule AS (SELECT step, CASE WHEN step >= {_STEPS} - 1 - {_OUTLIERS} THEN 'outlier' WHEN step % 3 = 0 THEN 'multi' WHEN step % 3 = 1 THEN 'extended' ELSE 'plain' END AS kind FROM range({_STEPS}) t(step))"""
+
+
+def _draw_sql(low: int, high: int, key: str) -> str:
+    return f"CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) % {high - low} + {low}"
+
+
 @query(
-    """SELECT step, CASE step % 3 WHEN 0 THEN 'outlier' WHEN 1 THEN 'multi' ELSE 'extended' END AS kind, 4 * (step // 100 + 1) AS kb_size,
-  CASE WHEN step % 3 = 0 THEN 'I am sorry I cannot find relevant information in the KB.' END AS fixed_answer FROM range(2000) t(step)"""
+    f"""WITH {SCHEDULE} SELECT step, kind, CASE WHEN kind = 'multi' THEN {_MULTI} END AS entities, 4 * (step // 100 + 1) AS kb_size,
+  CASE WHEN kind = 'outlier' THEN 'I am sorry I cannot find relevant information in the KB.' END AS fixed_answer FROM schedule"""
 )
 def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return augment.step_schedule(spark, 2000)
+    return augment.step_schedule(spark, _STEPS, _OUTLIERS, _MULTI, extended=True)
+
+
+@query(
+    f"""SELECT step, 4 * (step // 100 + 1) AS grows, CAST(64 AS BIGINT) AS fixed, {_draw_sql(10, 200, "'0|' || step")} AS dynamic, {_draw_sql(20, 50, "'0|' || step")} AS ranged,
+  CASE WHEN step >= {_STEPS} - 1 THEN 'outlier' ELSE 'plain' END AS kind FROM range({_STEPS}) t(step)"""
+)
+def schedule_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four ways to size the knowledge base; without options all steps but the last are plain."""
+    sized = lambda name, size: augment.step_schedule(spark, _STEPS, kb_size=size).select("step", F.col("kb_size").alias(name))
+    out = augment.step_schedule(spark, _STEPS).select("step", "kind", F.col("kb_size").alias("grows"))
+    for name, size in (("fixed", 64), ("dynamic", "dynamic"), ("ranged", (20, 50))):
+        out = out.join(sized(name, size), "step")
+    return out
+
+
+_STRIDES = "[" + ", ".join(map(str, augment.STRIDES)) + "]"
+DRAWS = f"""{SCHEDULE}, total AS (SELECT count(*) AS n FROM part), sized AS (SELECT *, CASE WHEN kind = 'multi' THEN {_MULTI} ELSE 1 END AS m FROM schedule),
+ drawn AS (SELECT *, unnest(range({_BATCH} * m)) AS d FROM sized),
+ draws AS (SELECT step, kind, d // m AS slot, d % m AS pick, ({_draw_sql(0, 1 << 31, "'0|' || step")} + d * (({_STRIDES})[{_draw_sql(0, len(augment.STRIDES), "'0/stride|' || step")} + 1] % n)) % n AS position FROM drawn, total)"""
+
+
+def _training_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(position, ...): a row a part; every 17th has no question, every 13th no extended one."""
+    part, at = table(spark, sf_dir, "part"), F.row_number().over(Window.orderBy("p_partkey")) - 1
+    name = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
+    rows = part.select(at.cast("bigint").alias("position"), name.alias("name"), F.lit("brand").alias("description_type"), F.col("p_brand").alias("description"), "p_partkey")
+    said = lambda k, text: F.when(F.col("p_partkey") % k != 0, F.concat(F.lit(text), "name"))
+    return rows.select("position", "name", "description_type", "description", said(17, "Q ").alias("Q"), F.concat(F.lit("A "), "description").alias("A"), said(13, "EQ ").alias("extended_Q"), F.concat(F.lit("EA "), "description").alias("extended_A"))
+
+
+@query(
+    f"""WITH {DRAWS}, data AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS position, p_name || ' ' || p_partkey AS name, p_brand AS description, p_partkey FROM part),
+ d AS (SELECT * FROM draws JOIN data USING (position)),
+ one AS (SELECT step, slot, kind, CASE WHEN kind = 'extended' THEN CASE WHEN p_partkey % 13 <> 0 THEN 'EQ ' || name END ELSE CASE WHEN p_partkey % 17 <> 0 THEN 'Q ' || name END END AS question,
+   CASE kind WHEN 'extended' THEN 'EA ' || description WHEN 'outlier' THEN 'I am sorry I cannot find relevant information in the KB.' ELSE 'A ' || description END AS answer FROM d WHERE kind <> 'multi'),
+ more AS (SELECT step, slot, kind, replace(({_M})[1 + {_PICK.format(key="step || '|' || slot || '|' || kind")} % {len(augment.MULTI_QUESTIONS)}], '{{}}', string_agg('the brand of ' || name, ', ' ORDER BY pick)) AS question,
+   string_agg('The brand of ' || name || ' is ' || description, '; ' ORDER BY pick) AS answer FROM d WHERE kind = 'multi' GROUP BY step, slot, kind)
+SELECT step, CAST(slot AS INTEGER) AS slot, kind, question, answer FROM (SELECT * FROM one UNION ALL SELECT * FROM more) WHERE question IS NOT NULL AND answer IS NOT NULL"""
+)
+def training_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches of all steps: draws without replacement, the pair by the step's kind, pairs with a null left out."""
+    n = table(spark, sf_dir, "part").count()
+    return augment.batches(augment.step_schedule(spark, _STEPS, _OUTLIERS, _MULTI, extended=True), _training_data(spark, sf_dir), _BATCH, n)
+
+
+@query(
+    f"""WITH {DRAWS}, s AS (SELECT *, CAST(NULL AS INTEGER) AS entities FROM schedule WHERE step < 200), t AS (SELECT step, slot, position FROM draws WHERE step < 200 AND pick = 0),
+ c AS (SELECT step, d AS slot, ({_draw_sql(0, 1 << 31, "'7|' || step")} + d * (({_STRIDES})[{_draw_sql(0, len(augment.STRIDES), "'7/stride|' || step")} + 1] % n)) % n AS position FROM (SELECT step, unnest(range(20)) AS d FROM s), total)
+SELECT step, slot AS place, position, true AS is_true FROM t UNION ALL SELECT step, {_BATCH} + slot, position, false FROM c"""
+)
+def true_rows_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of 200 steps, the batch's own positions before 20 sampled ones."""
+    n = table(spark, sf_dir, "part").count()
+    steps = augment.step_schedule(spark, _STEPS, _OUTLIERS, _MULTI, extended=True).filter("step < 200")
+    own = augment.draws(steps, _BATCH, n).filter("pick = 0").select("step", "slot", "position")
+    return augment.knowledge_base(own, augment.draws(steps.withColumn("entities", F.lit(None).cast("int")), 20, n, seed=7).select("step", "slot", "position"))
 
 
 @query(f"{_qkv_sql(kg2kv.TRAINING)} SELECT string_agg(key_string || ' is ' || description, '; ' ORDER BY rid) || '; ' AS context FROM qkv")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as v
-from quern.operators import clustering, retrieval, sampling
+from quern.compat import hash_order
+from quern.operators import clustering, kg2kv, retrieval, sampling
 from quern.plans.fixtures import HIERARCHY, VECTORS, hierarchy, table, vectors
 from quern.plans.registry import query
 
@@ -134,10 +135,18 @@ def kb_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.without_replacement(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id", 300, 11)
 
 
-@query("SELECT draw, vec_id AS id FROM range(400) t(draw) JOIN embeddings ON vec_id = CAST('0x' || substr(md5('5|' || draw), 1, 8) AS BIGINT) % 500")
+@query("SELECT draw, vec_id AS id FROM range(400) t(draw) JOIN embeddings ON vec_id = CAST('0x' || substr(md5('5|' || draw), 1, 8) AS BIGINT) % (SELECT count(*) FROM embeddings)")
 def kb_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws with replacement among the first 500 positions, as generation does."""
-    return sampling.with_replacement(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), "id", 500, 400, 5)
+    """Draws with replacement among all positions."""
+    keys = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
+    return sampling.with_replacement(keys, "id", keys.count(), 400, 5)
+
+
+@query("SELECT vec_id AS id, row_number() OVER (ORDER BY md5('3|' || vec_id), vec_id) - 1 AS place FROM embeddings")
+def kb_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows in a seeded order; the place is counted by ranges, so no task sorts them all."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(hash_order("vec_id", seed=3), F.lpad(F.col("vec_id").cast("string"), 20, "0")).alias("_at"))
+    return kg2kv.batch_ids(rows, "_at", 1).select("id", F.col("batch_id").alias("place"))
 
 
 @query("SELECT i AS level, CAST(ceil(pow((SELECT count(*) FROM embeddings), (2.0 - i) / 3)) AS BIGINT) AS clusters FROM range(2) t(i)")
