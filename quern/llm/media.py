@@ -1,7 +1,8 @@
 """PNG media columns: encode bytes as 8-bit PNG, decode with checksum tests, hash low frequencies.
 
-Every chunk's CRC and the zlib stream's checksum are tested on reading; the five row filters are
-undone with numpy. Images are binary columns, and so is the 64-bit cosine-transform hash.
+Every chunk's CRC and the zlib stream's checksum are tested on reading. Each row is stored by the
+filter that suits it best, and the five filters are undone with numpy, along the anti-diagonals of
+all images of a batch at once. Images are binary columns, and so is the 64-bit cosine-transform hash.
 """
 
 from __future__ import annotations
@@ -36,26 +37,35 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(body, zlib.crc32(kind)))
 
 
-def encode_png(samples: bytes, width: int = WIDTH, color: int = 0, row_filter: int = 0, level: int = 6) -> bytes:
-    """A PNG of 8-bit samples; the whole image uses one of the five row filters."""
+def encode_png(samples: bytes, width: int = WIDTH, color: int = 0, row_filter: int | None = None, level: int = 6) -> bytes:
+    """A PNG of 8-bit samples, at least one row; each row is filtered by the one of the five filters
+    whose differences, as signed bytes, have the least sum of magnitudes (ties: the lowest number),
+    or all rows by row_filter."""
     step = SAMPLES[color]
     rows = np.frombuffer(samples, np.uint8).reshape(-1, width * step)
     up = np.zeros_like(rows)
     up[1:] = rows[:-1]
     left, corner = np.zeros_like(rows), np.zeros_like(rows)
     left[:, step:], corner[:, step:] = rows[:, :-step], up[:, :-step]
-    if row_filter == 0:
-        guess = np.zeros_like(rows)
-    elif row_filter == 1:
-        guess = left
-    elif row_filter == 2:
-        guess = up
-    elif row_filter == 3:
-        guess = ((left.astype(np.uint16) + up) // 2).astype(np.uint8)
-    else:
-        guess = _nearest(left.astype(np.int16), up.astype(np.int16), corner.astype(np.int16)).astype(np.uint8)
+
+    def filtered(kind: int) -> np.ndarray:
+        if kind == 3:
+            return rows - ((left.astype(np.uint16) + up) // 2).astype(np.uint8)
+        if kind == 4:
+            return rows - _nearest(left.astype(np.int16), up.astype(np.int16), corner.astype(np.int16)).astype(np.uint8)
+        return rows - (left if kind == 1 else up) if kind else rows
+
     lines = np.empty((len(rows), rows.shape[1] + 1), np.uint8)
-    lines[:, 0], lines[:, 1:] = row_filter, rows - guess
+    if row_filter is not None:
+        lines[:, 0], lines[:, 1:] = row_filter, filtered(row_filter)
+    else:
+        least = np.full(len(rows), 1 << 62)
+        for kind in range(5):
+            found = filtered(kind)
+            size = np.minimum(found, -found).sum(axis=1, dtype=np.int64)  # of a byte and its negative, the magnitude is the lesser
+            better = size < least
+            least[better] = size[better]
+            lines[better, 0], lines[better, 1:] = kind, found[better]
     head = struct.pack(">IIBBBBB", width, len(rows), 8, color, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
 
@@ -69,6 +79,28 @@ def _nearest(a, b, c):
 
 def decode_png(data: bytes) -> np.ndarray:
     """Rows x width x samples; BadImage on any wrong length, checksum, order or unknown kind."""
+    image = decode_pngs([data])[0]
+    if isinstance(image, BadImage):
+        raise image
+    return image
+
+
+def decode_pngs(images: list[bytes]) -> list[np.ndarray | BadImage]:
+    """decode_png of each, or its error; the filters of all images are undone together."""
+    out: list = []
+    for data in images:
+        try:
+            out.append(_filtered_rows(data))
+        except BadImage as e:
+            out.append(e)
+    good = [k for k, x in enumerate(out) if not isinstance(x, BadImage)]
+    for k, image in zip(good, unfiltered([out[k] for k in good])):
+        out[k] = image
+    return out
+
+
+def _filtered_rows(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Filter of each row; rows x width x samples, still filtered."""
     if data[:8] != SIGNATURE:
         raise BadImage("signature")
     at, head, body, ended = 8, None, [], False
@@ -105,32 +137,62 @@ def decode_png(data: bytes) -> np.ndarray:
     if len(raw) != height * line or not undo.eof:
         raise BadImage("wrong amount of data")
     lines = np.frombuffer(raw, np.uint8).reshape(height, line)
-    return _unfilter(lines[:, 0], lines[:, 1:], step).reshape(height, width, step)
+    if lines[:, 0].max() > 4:
+        raise BadImage("unknown row filter")
+    return lines[:, 0], lines[:, 1:].reshape(height, width, step)
 
 
-def _unfilter(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
-    if kinds.max() > 4:
-        raise BadImage("unknown row filter")
-    if not kinds.any():
-        return rows
-    out = rows.copy()
-    for y, kind in enumerate(kinds):
-        row = out[y].reshape(-1, step)
-        above = out[y - 1].reshape(-1, step) if y else np.zeros_like(row)
-        if kind == 1:
-            row[:] = np.add.accumulate(row, axis=0, dtype=np.uint8)
-        elif kind == 2:
-            row += above
-        elif kind > 2:
-            left, corner = np.zeros(step, np.int16), np.zeros(step, np.int16)
-            high = above.astype(np.int16)
-            for x in range(len(row)):
-                guess = (left + high[x]) // 2 if kind == 3 else _nearest(left, high[x], corner)
-                left = (row[x] + guess) & 255
-                row[x], corner = left, high[x]
+def unfiltered(images: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Samples of images (filter of each row, filtered rows x width x samples).
+
+    A sample needs the one to its left, the one above and the one between them, so all samples of an
+    anti-diagonal are known at once: step t takes column t - y of every row y, of every image.
+    """
+    out: list = [None] * len(images)
+    by_width: dict[int, list[int]] = {}
+    for k, (_, rows) in enumerate(images):
+        by_width.setdefault(rows.shape[1], []).append(k)
+    for width, group in by_width.items():
+        # Each channel of a row is a line of its own.
+        lines = np.concatenate([images[k][1].transpose(0, 2, 1).reshape(-1, width) for k in group])
+        shapes = [(len(images[k][1]), images[k][1].shape[2]) for k in group]
+        kind = np.concatenate([np.repeat(images[k][0], c) for k, (_, c) in zip(group, shapes)])
+        y = np.concatenate([np.repeat(np.arange(h), c) for h, c in shapes])
+        channels = np.concatenate([np.full(h * c, c) for h, c in shapes])
+        order = np.argsort(y, kind="stable")
+        # By row number, with a line of zeros at the end that stands above every first row.
+        place = np.empty(len(y), np.int64)
+        place[order] = np.arange(len(y))
+        number = np.arange(len(y))
+        above = np.where(y > 0, place[np.maximum(number - channels, 0)], len(y))[order]
+        samples = np.zeros((len(y) + 1, width), np.int16)
+        samples[:-1] = lines[order]
+        _undo(samples, kind[order], y[order], above)
+        lines = samples[place].astype(np.uint8)
+        at = 0
+        for k, (h, c) in zip(group, shapes):
+            out[k] = np.ascontiguousarray(lines[at : at + h * c].reshape(h, c, width).transpose(0, 2, 1))
+            at += h * c
     return out
 
 
+def _undo(samples: np.ndarray, kind: np.ndarray, y: np.ndarray, above: np.ndarray) -> None:
+    """In place; lines by rising row number y, above: the line over each."""
+    width, flat = samples.shape[1], samples.ravel()
+    own, high = np.arange(len(y)) * width - y, above * width - y
+    left, corner = np.zeros(len(y), np.int16), np.zeros(len(y), np.int16)
+    is_left, is_up, is_mean, is_near = (kind == k for k in (1, 2, 3, 4))
+    steps = np.arange(int(y[-1]) + width)
+    first, last = np.searchsorted(y, steps - width, "right"), np.searchsorted(y, steps, "right")
+    for t, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
+        at = own[a:b] + t
+        l, u, c = left[a:b], flat[high[a:b] + t], corner[a:b]
+        guess = is_left[a:b] * l + is_up[a:b] * u + is_mean[a:b] * ((l + u) >> 1) + is_near[a:b] * _nearest(l, u, c)
+        now = (flat[at] + guess) & 255
+        flat[at] = now
+        left[a:b], corner[a:b] = now, u
+
+
 @lru_cache
 def _cosines(n: int, keep: int) -> np.ndarray:
     k = np.arange(keep)[:, None]
@@ -151,7 +213,7 @@ def low_frequency_hash(image: np.ndarray, side: int = 32, keep: int = 8) -> byte
     return np.packbits(low > np.median(low[1:])).tobytes()
 
 
-def encode_media(docs: DataFrame, level: int = 6, row_filter: int = 0) -> DataFrame:
+def encode_media(docs: DataFrame, level: int = 6, row_filter: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, media): each text's UTF-8 bytes, padded to whole rows, as a grey PNG.
 
     Null and empty texts give one row of padding; repeated rows give equal images; the length is
@@ -171,17 +233,15 @@ def decode_media(media: DataFrame, *carry: str) -> DataFrame:
     A null image gives nulls; one that fails a test gives null payload and feature, and the error.
     """
 
-    def one(data: bytes | None) -> tuple:
-        if data is None:
-            return None, None, None
-        try:
-            image = decode_png(data)
-        except BadImage as e:
-            return None, None, str(e)
-        return image.tobytes(), low_frequency_hash(image), None
-
     def rows(c: dict) -> dict:
-        payload, feature, error = zip(*map(one, c["media"])) if c["media"] else ((), (), ())
+        found = iter(decode_pngs([x for x in c["media"] if x is not None]))
+        payload, feature, error = [], [], []
+        for x in c["media"]:
+            image = None if x is None else next(found)
+            good = image is not None and not isinstance(image, BadImage)
+            payload.append(image.tobytes() if good else None)
+            feature.append(low_frequency_hash(image) if good else None)
+            error.append(str(image) if image is not None and not good else None)
         return c | {"payload": payload, "feature": feature, "error": error}
 
     return by_batch(media.select("doc_id", "n_bytes", "media"), rows, "doc_id bigint, n_bytes bigint, media binary, payload binary, feature binary, error string")
