@@ -106,7 +106,7 @@ def count_ngrams(docs: DataFrame, model: Model) -> DataFrame:
     answer of kind 1 also has its numbers of types and tokens; all others have zeros.
     """
     spark = docs.sparkSession
-    buckets, folder, arrow = buckets_for(spark), shared_dir(spark, "lm-tokens"), arrow_schema(spark, ASKED)
+    buckets, folder, arrow = buckets_for(docs), shared_dir(spark, "lm-tokens"), arrow_schema(spark, ASKED)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, (doc_ids, texts) in enumerate(chunks_of(batches, CHUNK_CHARS)):
@@ -192,8 +192,9 @@ def learn_weights(answers: DataFrame, model: Model, types: int, tokens: int) ->
     """Weights (l2, l1, l0) of each context bucket, by EM over the held-out fold's tokens.
 
     A token matters by its bucket and its two likelihood ratios to the uniform estimate; these are
-    tabled on a logarithmic grid, whose size doesn't grow with the corpus, and only the table
-    reaches the driver. A bucket without a held-out token takes the weights of the one below it.
+    tabled on a logarithmic grid, so a bucket's table doesn't grow with the corpus. Each bucket's
+    weights are learned from its table by a task of its own, and only the weights reach the driver.
+    A bucket without a held-out token takes the weights of the one below it.
     """
     schema = "bucket int, r2 int, r1 int, n bigint"
     none = -(1 << 20)
@@ -206,18 +207,23 @@ def learn_weights(answers: DataFrame, model: Model, types: int, tokens: int) ->
         found, n = np.unique(np.stack([context_bucket(context, model.context_buckets)[held], *ratios]), axis=1, return_counts=True)
         return pd.DataFrame({"bucket": found[0], "r2": found[1], "r1": found[2], "n": n})
 
-    cells = answers.groupBy("chunk").applyInPandas(table, schema).groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n")).toPandas()
+    def maximise(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["r2", "r1"])
+        ratio = np.stack([np.where(own[c] == none, 0, np.exp2(own[c].astype(float) / model.grid)) for c in ("r2", "r1")] + [np.ones(len(own))], axis=1)
+        n, w = own["n"].to_numpy(float), np.full(3, 1 / 3)
+        for _ in range(model.rounds):
+            share = ratio * w
+            w = (n[:, None] * share / share.sum(axis=1, keepdims=True)).sum(axis=0) / n.sum()
+        # Some weight stays on the uniform estimate: no text has probability 0.
+        w = (w + [0, 0, 1e-6]) / (1 + 1e-6)
+        return pd.DataFrame({"bucket": own["bucket"].iloc[:1], "l2": w[0], "l1": w[1], "l0": w[2]})
+
+    cells = answers.groupBy("chunk").applyInPandas(table, schema).groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"))
+    learned = {r["bucket"]: np.array([r["l2"], r["l1"], r["l0"]]) for r in cells.groupBy("bucket").applyInPandas(maximise, "bucket int, l2 double, l1 double, l0 double").collect()}
     out, last = np.zeros((model.context_buckets, 3)), np.array([0.0, 0.0, 1.0] if not tokens else [0.0, 0.9, 0.1])
     for b in range(model.context_buckets):
-        own = cells[cells["bucket"] == b]
-        if len(own):
-            ratio = np.stack([np.where(own[c] == none, 0, np.exp2(own[c].astype(float) / model.grid)) for c in ("r2", "r1")] + [np.ones(len(own))], axis=1)
-            n, w = own["n"].to_numpy(float), np.full(3, 1 / 3)
-            for _ in range(model.rounds):
-                share = ratio * w
-                w = (n[:, None] * share / share.sum(axis=1, keepdims=True)).sum(axis=0) / n.sum()
-            # Some weight stays on the uniform estimate: no text has probability 0.
-            last = w = (w + [0, 0, 1e-6]) / (1 + 1e-6)
+        if b in learned:
+            last = learned[b]
         elif b == 1 and tokens:
             last = np.array([0.3, 0.6, 0.1])
         out[b] = last
@@ -233,7 +239,7 @@ def score_documents(docs: DataFrame, model: Model = Model()) -> DataFrame:
     Null and empty texts are the end token alone; without a training document all counts are 0 and
     each token has the uniform estimate; repeated rows are scored, and counted, each.
     """
-    buckets = buckets_for(docs.sparkSession)
+    buckets = buckets_for(docs)
     answers = count_ngrams(docs, model).withColumn("buckets", F.lit(buckets))
     sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "types_rest", "tokens", "tokens_rest")]).first()
     types, tokens = int(sums["types"]), int(sums["tokens"])
