@@ -40,13 +40,15 @@ def encoding(path: str, pattern: str):
 
 
 @lru_cache
-def token_bytes(path: str) -> list[bytes]:
-    """The token-byte table: bytes of each id."""
+def token_table(path: str) -> tuple[pa.Array, pa.Array]:
+    """The token-byte table, as large as the vocabulary: bytes of each id; its decimal digits and a comma."""
     table = ranks(path)
-    out = [b""] * (max(table.values()) + 1)
+    out: list[bytes | None] = [None] * (max(table.values()) + 1)
     for token, k in table.items():
         out[k] = token
-    return out
+    if None in out:
+        raise ValueError("ids of the vocabulary have gaps")
+    return pa.array(out, pa.large_binary()), pa.array([b"%d," % k for k in range(len(out))], pa.large_binary())
 
 
 def words_blob(words: list[bytes]) -> bytes:
@@ -89,7 +91,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
     at least. Positions are kept in the shared folder until the query ends.
     """
     spark = docs.sparkSession
-    buckets, folder = buckets_for(spark), shared_dir(spark, "bpe-positions")
+    buckets, folder = buckets_for(docs), shared_dir(spark, "bpe-positions")
     words_schema, ids_schema, out_schema = "chunk string, bucket int, asked int, words binary", "chunk string, bucket int, asked int, ids binary", "doc_id bigint, n_tokens bigint, ids binary"
     arrow = arrow_schema(spark, words_schema)
 
@@ -176,14 +178,27 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
 
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Adds decoded, the bytes of the ids by the token-byte table, and ids_sha256, the SHA-256 of the
-    decimal ids joined by commas in lowercase hex; null ids give nulls."""
+    decimal ids joined by commas in lowercase hex; null ids give nulls, an unknown id raises.
+
+    A batch's ids are joined with the table, which every worker holds, by id; it is in the order of
+    the ids, so the join is a take, and its rows come in the order of the ids asked for.
+    """
+
+    def joined(table: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        found = table.take(pa.array(ids))
+        offsets = np.frombuffer(found.buffers()[1], np.int64, len(ids) + 1, 8 * found.offset)
+        data = memoryview(found.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in zip(offsets[np.append(0, ends[:-1])].tolist(), offsets[ends].tolist())]
 
     def rows(c: dict) -> dict:
-        table = token_bytes(ranks_path).__getitem__
-        ids = [None if x is None else np.frombuffer(x, "<u4").tolist() for x in c["ids"]]
+        data, decimal = token_table(ranks_path)
+        ids = [np.frombuffer(x or b"", "<u4") for x in c["ids"]]
+        flat, ends = np.concatenate([*ids, np.zeros(0, "<u4")]), np.cumsum([len(x) for x in ids])
+        decoded, told = joined(data, flat, ends), joined(decimal, flat, ends)
+        known = [x is not None for x in c["ids"]]
         return c | {
-            "decoded": [None if x is None else b"".join(map(table, x)) for x in ids],
-            "ids_sha256": [None if x is None else hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids],
+            "decoded": [x if k else None for k, x in zip(known, decoded)],
+            "ids_sha256": [hashlib.sha256(x[:-1]).hexdigest() if k else None for k, x in zip(known, told)],
         }
 
     return by_batch(encoded.select("doc_id", "n_tokens", "ids"), rows, "doc_id bigint, n_tokens bigint, ids binary, decoded binary, ids_sha256 string", batch_rows=64)
