@@ -2,20 +2,20 @@
 
 One Aho-Corasick automaton finds anchors (at-signs, plus signs, digits, schemes, identifier cues)
 in a single pass over the whole text; at each anchor a deterministic local parser expands to both
-sides and validates. Work is linear in the text, and only anchors reach a parser.
+sides and validates. Work is linear in the text, and only anchors reach a parser. An IBAN is found by its head, two
+capitals and two digits, with or without a cue, and holds if its check digits do.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_batch, id_text
+from quern.llm.common import by_batch, id_text, small_batches
 
 #: Kinds in the order in which spans are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account", "secret")
@@ -25,8 +25,6 @@ BASE_KINDS = KINDS[:4]
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://", "mailto:", "www.")
 ACCOUNT_CUES = ("account", "acct", "konto", "compte", "cuenta", "ssn", "passport", "iban")
 SECRET_CUES = ("token", "password", "passwd", "secret", "api_key", "apikey")
-#: Characters after an account cue in which an IBAN may begin, and the most that _IBAN reads.
-IBAN_REACH, IBAN_LENGTH = 60, 65
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,8 +32,10 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = frozenset("0123456789")
+_CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _URL = re.compile(r"[^\s\"'<>|\\^`{}]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
 _ACCOUNT = re.compile(r"(?:[\x20\t]*(?:no\.?|nr\.?|number|nummer|#)){0,1}[\x20\t]*[:=#]?[\x20\t]*([A-Z]{0,3}[0-9](?:[\x20-]?[0-9A-Z]){5,33})(?![A-Za-z0-9])", re.ASCII)
 _SECRET = re.compile(r"[\x20\t]*[:=][\x20\t]*([\"']?)([A-Za-z0-9_+/=.-]{16,})\1", re.ASCII)
 
@@ -90,14 +90,24 @@ def _iban(found: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
-def _ibans(text: str, at: int) -> Iterator[tuple[int, int]]:
-    """Valid IBANs that begin in the IBAN_REACH characters from at, each to its own end."""
-    until = at + IBAN_REACH
-    while at < until and (m := _IBAN.search(text, at, until + IBAN_LENGTH)) and m.start() < until:
-        valid = _iban(m[0])
-        if valid:
-            yield m.span()
-        at = m.end() if valid else m.start() + 1
+def _iban_at(text: str, at: int) -> int | None:
+    """End of the longest valid IBAN that begins at at; what follows it may look like more of it."""
+    m = _IBAN.match(text, at)
+    end = m.end() if m else 0
+    while end - at >= 15:
+        if _iban(text[at:end]):
+            return end
+        end = text.rfind(" ", at, end)
+    return None
+
+
+def _iban_within(text: str, at: int, end: int) -> int | None:
+    """Where the first valid IBAN that begins between at and end does; both are near, as _ACCOUNT is bounded."""
+    while m := _IBAN_HEAD.search(text, at, end):
+        if _iban_at(text, m.start()):
+            return m.start()
+        at = m.start() + 1
+    return None
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -120,6 +130,10 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         elif anchor == "0":
             if at and text[at - 1] in _DIGITS and at not in (since["ip"], since["card"]):
                 continue
+            # Digits after two capitals that start a word: the head of an IBAN, wherever it stands.
+            if at > 1 and at - 2 >= since["iban"] and text[at - 2] in _CAPITALS and text[at - 1] in _CAPITALS and (at < 3 or not text[at - 3].isalnum()) and (end := _iban_at(text, at - 2)):
+                found["iban"].append((at - 2, end))
+                since["iban"] = end
             for kind, pattern, valid in (("ip", _IP, _octets), ("card", _CARD, _card)):
                 if at >= since[kind] and (m := pattern.match(text, at)):
                     since[kind] = m.end()  # a match that fails its test is dropped, not tried again
@@ -145,13 +159,11 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                 found["secret"].append(m.span(2))
                 since["secret"] = m.end()
         else:
-            ibans = list(_ibans(text, last + 1))
-            for span in ibans:
-                if span[0] >= since["iban"]:
-                    found["iban"].append(span)
-                    since["iban"] = span[1]
-            # What stands at the cue, up to an IBAN; nothing if the IBAN itself stands there.
-            if m := _ACCOUNT.match(text, last + 1, ibans[0][0] if ibans else len(text)):
+            m = _ACCOUNT.match(text, last + 1)
+            # An IBAN there is found by its own head; the account is what stands before it, if anything.
+            if m and (head := _iban_within(text, *m.span(1))) is not None:
+                m = _ACCOUNT.match(text, last + 1, head)
+            if m:
                 found["account"].append(m.span(1))
                 since["account"] = m.end()
     return [(k, s, e) for k in KINDS for s, e in found[k]]
@@ -192,4 +204,5 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     def hide(texts: pd.Series) -> pd.Series:
         return texts.map(redact, na_action="ignore")
 
+    small_batches(docs.sparkSession)
     return docs.withColumn("text", hide(F.col("text")))

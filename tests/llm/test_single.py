@@ -107,6 +107,95 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert {r.doc_id for r in quality.keep_good(frame).collect()} == {k for k, r in rows.items() if r.kept}
 
 
+@pytest.mark.parametrize("op", ["pack", "quality", "lm", "lines", "media", "bpe", "pii", "files"])
+def test_a_table_twice_is_answered_twice(spark, tmp_path, op):
+    """Equal partitions, equal rows: twice the rows, and what belongs to a row doesn't change."""
+    from quern.llm import bpe, line_dedup, lm_scoring
+
+    texts = [t for t in ODD if t is None or len(t) < 3000] + ["long " + " ".join(f"w{k % 977}" for k in range(120_000))]
+    frame = docs(spark, texts, source="s").coalesce(2)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    run = {
+        "pack": lambda d: packing.pack(d, WORDS).select("doc_id", "start", "length", "doc_tokens", "ids"),
+        "quality": lambda d: quality.quality_rules(d).select("doc_id", "n_words", "n_repeat_words", "base_failed"),
+        "lm": lambda d: lm_scoring.score_documents(d).select("doc_id", "held_out", "n_tokens"),
+        "lines": lambda d: line_dedup.drop_boilerplate(d, counts=True).select("doc_id", "text", "n_lines"),
+        "media": lambda d: media.decode_media(media.encode_media(d)).select("doc_id", "payload", "media", "feature"),
+        "bpe": lambda d: bpe.encode_documents(d, path, public_tokenizers.PATTERN),
+        "pii": lambda d: pii.pii_spans(d),
+        "files": lambda d: tokenfile.read_token_files(spark, tokenfile.write_token_files(d, BYTES, f"file://{tmp_path}/f{d.count()}")).select("doc_id", "ids"),
+    }[op]
+    plain = lambda rows: sorted(map(repr, rows))
+    one, two = run(frame).collect(), run(frame.union(frame)).collect()
+    assert len(one) >= len(texts) and plain(two) == sorted(plain(one) * 2)
+
+
+def test_texts_of_megabytes():
+    """Whole texts: what stands at their end counts, and nothing grows out of bounds."""
+    text = " ".join(f"word{k % 50_000}" for k in range(400_000)) + " mail end@x.org DE89 3704 0044 0532 0130 00"
+    words = text.split()
+    counts = quality.base_counts(text)
+    assert counts["n_words"] == len(words) and counts["n_repeat_words"] == 400_000  # the numbered words come eight times over
+    kinds = [k for k, *_ in pii.find_spans(text)]
+    assert kinds == ["email", "iban"] and pii.redact(text).endswith("mail [EMAIL] [IBAN]")
+    payload = media.pad_payload(text.encode())
+    assert media.decode_png(media.encode_png(payload)).tobytes() == payload
+
+
+def test_long_texts_count_alike():
+    rng = random.Random(12)
+    for n in (3, 4, 50, 700):
+        words = rng.choices([f"w{k}" for k in range(9)], k=n)
+        assert quality.long_repeat_words(words) == quality.repeat_words(words) == brute_repeats(words)
+
+
+def slow_hash(image):
+    """The cosine-transform hash by its definition: cell means, sums of cosines, the median of all but the first."""
+    import math
+    import statistics
+
+    gray = image[..., :1].astype(float).mean(axis=2)
+    for axis in (0, 1):
+        n = gray.shape[axis]
+        edges = [k * n // 32 for k in range(33)]
+        cells = [np.take(gray, range(a, max(a + 1, b)), axis=axis).mean(axis=axis) for a, b in zip(edges, edges[1:])]
+        gray = np.stack(cells, axis=axis)
+    c = [[math.cos(math.pi * k * (2 * x + 1) / 64) for x in range(32)] for k in range(8)]
+    low = [round(sum(c[u][y] * c[v][x] * gray[y, x] for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = statistics.median(low[1:])
+    return int("".join("1" if x > middle else "0" for x in low), 2).to_bytes(8, "big")
+
+
+def test_feature_equals_its_definition():
+    rng = np.random.default_rng(5)
+    for text in ("", "some text " * 30, "".join(map(chr, rng.integers(32, 126, 40_000)))):
+        image = media.decode_png(media.encode_png(media.pad_payload(text.encode())))
+        assert media.low_frequency_hash(image) == slow_hash(image)
+
+
+def test_filters_of_all_kinds_are_undone():
+    """Rows of mixed filters, images of several widths and kinds in one batch, against a loop over samples."""
+    rng = np.random.default_rng(9)
+    images, want = [], []
+    for _ in range(30):
+        h, w, c = rng.integers(1, 9), rng.choice([1, 3, 7]), rng.choice([1, 2, 3, 4])
+        kinds, rows = rng.integers(0, 5, h).astype(np.uint8), rng.integers(0, 256, (h, w, c)).astype(np.uint8)
+        out = np.zeros((h, w, c), int)
+        for y in range(h):
+            for x in range(w):
+                for k in range(c):
+                    a, b = out[y, x - 1, k] if x else 0, out[y - 1, x, k] if y else 0
+                    d = out[y - 1, x - 1, k] if x and y else 0
+                    near = min((abs(a + b - d - v), i, v) for i, v in enumerate((a, b, d)))[2]
+                    out[y, x, k] = (int(rows[y, x, k]) + (0, a, b, (a + b) // 2, near)[kinds[y]]) % 256
+        images.append((kinds, rows))
+        want.append(out)
+    for got, expected in zip(media.unfiltered(images), want):
+        assert (got == expected).all()
+    mixed = media.encode_png(bytes(range(256)) * 9 + bytes(rng.integers(0, 256, 2304).astype(np.uint8)) + b"text of letters " * 36 * 3, 576)
+    assert len(set(media._filtered_rows(mixed)[0].tolist())) > 1
+
+
 def test_references_count_everything(spark):
     frame = docs(spark, ["a a b", "b c", None], lang="q")
     refs = quality.learn_references(frame)
@@ -210,7 +299,10 @@ def test_pii_accounts_and_ibans_at_one_cue():
         (f"IBAN {iban}", [("iban", iban)]),
         (f"account IBAN: {iban}.", [("iban", iban)]),
         (f"The account that we use for this is {'now ' * 4}{iban}, thanks", [("iban", iban)]),
-        (f"account {'x' * 70} {iban}", []),
+        (f"account {'x' * 70} {iban}", [("iban", iban)]),
+        (f"no cue at all, {iban} and xDE89370400440532013000", [("iban", iban)]),
+        (f"{iban} {iban}", [("iban", iban)] * 2),
+        ("DE88 3704 0044 0532 0130 00", []),
     ):
         found = [(k, text[s:e]) for k, s, e in pii.find_spans(text)]
         assert [f for f in found if f[0] in ("iban", "account")] == want, text
@@ -223,6 +315,8 @@ def test_elias_fano():
         values = np.sort(rng.integers(0, top + 1, n))
         ef = tokenfile.EliasFano.from_bytes(tokenfile.EliasFano.of(values).to_bytes())
         assert ef.all().tolist() == values.tolist() and [ef.select(i) for i in range(n)] == values.tolist()
+        for i, j in ((0, 0), (n // 3, n // 2), (n // 2, n), (max(0, n - 1), n), (min(n, 255), min(n, 257)), (min(n, 256), min(n, 512))):
+            assert ef.span(i, j).tolist() == values[i:j].tolist()
         if n >= 700:
             assert len(ef.to_bytes()) * 8 < n * (2.5 + max(1, np.log2(top / n))) + 500
 
@@ -241,7 +335,10 @@ def test_token_files(spark, tmp_path):
     assert shard.document(1).tolist() == np.frombuffer(rows[1].ids, "<u4").tolist()
     none = tokenfile.write_token_files(docs(spark, []), BYTES, folder + "0")
     assert none.count() == 0 and tokenfile.read_token_files(spark, none).count() == 0
-    data = tokenfile.shard_bytes([1], [struct.pack("<2I", 5, 0)], 2)
+    with pytest.raises(ValueError):
+        tokenfile.shard_bytes([1], [struct.pack("<2I", 70000, 0)], 2)
+    data = tokenfile.shard_bytes([None, None, -5, 7], [struct.pack("<2I", 5, 0)] * 4, 2)
+    assert tokenfile.Shard(data).doc_ids(1, 4) == [None, -5, 7] and tokenfile.Shard(data).starts(2, 4).tolist() == [4, 6, 8]
     with pytest.raises(ValueError):
         tokenfile.Shard(data[:-1] + bytes([data[-1] ^ 1]))
     assert zlib.crc32(data[:-4]) == struct.unpack("<I", data[-4:])[0]
