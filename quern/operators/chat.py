@@ -53,7 +53,7 @@ def rewritten(payloads: DataFrame, question: Callable[[Column], Column], cap: in
     text = F.struct(F.lit("text").alias("type"), question(F.col("_parts.text")).alias("text"), F.lit(None).cast("string").alias("url"))
     one = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.array(text).cast(f"array<{PART}>"), F.col("_parts.images")).alias("parts")))
     tokens = F.col("max_tokens") if cap is None else F.when(F.col("_action"), F.least(F.coalesce("max_tokens", F.lit(cap)), F.lit(cap))).otherwise(F.col("max_tokens"))
-    return rows.withColumns({"messages": F.when(F.col("_action"), one.cast(rows.schema["messages"].dataType)).otherwise(F.col("messages")), "max_tokens": tokens}).drop("_parts", "_action")
+    return rows.withColumns({"messages": F.when(F.col("_action"), one).otherwise(F.col("messages")), "max_tokens": tokens}).drop("_parts", "_action")
 
 
 def wrapped(question: Column, style: str = "llama") -> Column:

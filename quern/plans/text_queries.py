@@ -112,12 +112,45 @@ def chat_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS (SELECT conv_id, turn, {PROMPT} AS prompt, 100 + turn * 40 AS m FROM conversations)
-SELECT conv_id, turn, md5(CASE WHEN turn % 4 IN (1, 2) THEN 'What is the next AndroidWorld action?' ELSE prompt END) AS prompt_md5, CASE WHEN turn % 4 IN (1, 2) THEN least(m, 128) ELSE m END AS max_tokens FROM p"""
+    f"""WITH p AS (SELECT conv_id, turn, {PROMPT} AS prompt, CASE WHEN turn % 5 <> 0 THEN 100 + turn * 40 END AS m FROM conversations)
+SELECT conv_id, turn, md5(CASE WHEN turn % 4 IN (1, 2) THEN 'What is the next AndroidWorld action?' ELSE prompt END) AS prompt_md5, CASE WHEN turn % 4 IN (1, 2) THEN least(coalesce(m, 128), 128) ELSE m END AS max_tokens,
+  CASE WHEN turn % 3 = 0 THEN 'img' || turn END AS image FROM p"""
 )
 def payload_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(PROMPT).alias("prompt"), (100 + F.col("turn") * 40).alias("max_tokens"))
-    return chat.rewritten(rows, F.lit("What is the next AndroidWorld action?")).select("conv_id", "turn", F.md5("prompt").alias("prompt_md5"), "max_tokens")
+    """Requests of one message, a third of them with an image."""
+    none = F.lit(None).cast("string")
+    part = lambda kind, text, url: F.struct(F.lit(kind).alias("type"), text.alias("text"), url.alias("url"))
+    image = part("image_url", none, F.concat(F.lit("img"), F.col("turn").cast("string")))
+    parts = F.array_compact(F.array(part("text", F.expr(PROMPT), none), F.when(F.col("turn") % 3 == 0, image)))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array(F.struct(F.lit("user").alias("role"), parts.alias("parts"))).alias("messages"), F.when(F.col("turn") % 5 != 0, 100 + F.col("turn") * 40).alias("max_tokens"))
+    out = chat.rewritten(rows, lambda text: F.lit("What is the next AndroidWorld action?"))
+    first = F.col("messages")[0]["parts"]
+    return out.select("conv_id", "turn", F.md5(first[0]["text"]).alias("prompt_md5"), "max_tokens", F.try_element_at(first, F.lit(2))["url"].alias("image"))
+
+
+REQUEST = "CASE event_id % 3 WHEN 0 THEN 'Now output an action from the above list, action_type; your answer should look like: UI element 1: a UI element ' || event_id || ': b' WHEN 1 THEN 'Summary of this step: This is the action you picked: x. Based on the reason: y' ELSE event_type END"
+ANSWER = """CASE event_id % 9 WHEN 0 THEN 'Reason: tap  it' || chr(10) || 'Action: {"action_type":"click","index":"' || event_id || '"}' WHEN 3 THEN 'Action: {"action_type":"click","index":' || (event_id + 1) || '}' WHEN 6 THEN 'Action: {"action_type":"fly"}'
+  WHEN 1 THEN 'Summary: it  went ' || event_type WHEN 4 THEN 'Action: x' WHEN 7 THEN '' ELSE 'kept  as it is' END"""
+
+
+@query(
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'action_selection' WHEN 1 THEN 'summarization' ELSE 'other' END AS kind,
+  CASE event_id % 9 WHEN 0 THEN 'Reason: tap it' || chr(10) || 'Action: {"action_type":"click","index":' || event_id || '}' WHEN 1 THEN 'it went ' || event_type WHEN 2 THEN 'kept  as it is' WHEN 5 THEN 'kept  as it is' WHEN 8 THEN 'kept  as it is' END AS content,
+  CASE event_id % 9 WHEN 3 THEN 'index_out_of_range' WHEN 6 THEN 'unsupported_action_type' WHEN 4 THEN 'invalid_summary_output' WHEN 7 THEN 'empty_summary_output' END AS error FROM events"""
+)
+def output_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs as their requests want them; an action must stand on the request's own screen."""
+    line = lambda sql: F.expr(sql.replace("chr(10)", "'\\n'"))
+    rows = table(spark, sf_dir, "events").select("event_id", line(REQUEST).alias("prompt"), line(ANSWER).alias("raw"))
+    return outputs.with_processed(rows, "prompt", "raw").select("event_id", "processed.kind", "processed.content", "processed.error")
+
+
+@query(
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Thought: see it' || chr(10) || 'Action: {"a": ' || event_id || '}' WHEN 1 THEN 'Thought:' || chr(10) || 'Action: {"a": [1, 2]}' ELSE 'no step in ' || event_type END AS step FROM events"""
+)
+def single_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = """CASE event_id % 3 WHEN 0 THEN 'Reason: see it' || '\\n' || 'Action: {"a":' || event_id || '} and Action: {"b":1}' WHEN 1 THEN ' Action: {"a":[1,2]}' ELSE 'no step in ' || event_type END"""
+    return outputs.with_single_step(table(spark, sf_dir, "events").select("event_id", F.expr(raw).alias("raw")), "raw").select("event_id", "step")
 
 
 def _count(c: str) -> str:

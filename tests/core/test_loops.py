@@ -136,6 +136,7 @@ def test_action_rules(spark):
 
 def test_row_identity(spark):
     steps = spark.createDataFrame([("e1", 0, "open x", "open_app", None, None, None, "X", None), ("e1", 1, None, "input_text", 4, "hi", None, None, None), ("e2", 0, "tap", "click", 9, None, None, None, None)], "episode_id string, step_index long, instruction string, action_type string, idx long, text string, direction string, app_name string, goal_status string")
+    steps = steps.withColumns({"goal": F.lit("Find it."), "ui": F.lit(None).cast("string")})
     rows = steps.withColumn("conversion_error", F.lit(None).cast("string")).withColumn("invalid", F.when(F.col("idx") == 9, "index_out_of_range"))
     built = episodes.qkv_rows(rows)
     c = episodes.qkv_counts(built).collect()[0]
@@ -143,17 +144,108 @@ def test_row_identity(spark):
     names = {r.name for r in built.collect()}
     assert "aw_e2_0_click_infeasible" in names and "aw_e1_1_keyboard_enter_keyboard_enter_after_input_text" in names
     assert episodes.qkv_rows(rows, skip_invalid=True).count() == 5
-    key = {r.name: r.key_string for r in built.collect()}["aw_e1_0_open_app"]
+    found = {r.name: r for r in built.collect()}
+    assert all(r.A == r.description and r.description.startswith(f"Reason: {r.reason}\nAction: ") and r.extended_Q == "" for r in found.values())
+    # Without an instruction the goal is the task, and the last instruction of the history is what was done.
+    assert found["aw_e1_1_input_text"].key_string == "For the AndroidWorld goal of finding it, after having opened x, the current screen shows the visible UI elements, and the next action should be"
+    assert "History: Step 1: Action selected: {\"action_type\": \"open_app\", \"app_name\": \"X\"}. Instruction: open x.\nThe visible" in found["aw_e1_1_input_text"].Q
+    assert 'Step 2: Action selected: {"action_type":"input_text","index":4,"text":"hi"}.' in found["aw_e1_1_terminal_complete_status_complete"].Q
+    assert "so the task should be marked infeasible." in found["aw_e2_0_click_infeasible"].reason
+    key = found["aw_e1_0_open_app"].key_string
     assert key == "For the AndroidWorld goal of opening x, after no previous actions, the current screen shows the visible UI elements, and the next action should be"
 
 
 def test_outputs():
     assert outputs.balanced_object('a {"x": "}"} b') == (2, 12) and outputs.balanced_object("{") is None
     assert outputs.normalized_output("Reason: why  not\nAction: {'action_type': 'wait'}") == ("why not", '{"action_type":"wait"}', None)
-    for text, code in (("", "empty_action_output"), ("x", "missing_action"), ("Action: 5", "missing_action_object"), ("Action: x {}", "invalid_action_json"), ("Action: {1: 2}", "invalid_action_json"), ("Reason: a Reason: b Action: {}", "multiple_reasons"), ("Reason: {a} Action: {}", "invalid_reason"), ("Action: {} {", "multiple_actions"), ('Action: {"a": "b', "invalid_action_json")):
+    for text, code in (("", "empty_action_output"), ("x", "missing_action"), ("Action: 5", "missing_action_object"), ("Action: x {}", "invalid_action_json"), ("Action: {1: 2}", "invalid_action_json"), ("Action: {}", "missing_action_type"), ("Reason: a Reason: b Action: {}", "multiple_reasons"), ("Reason: {a} Action: {}", "invalid_reason"), ("Action: {} {", "multiple_actions"), ('Action: {"a": "b', "invalid_action_json")):
         assert outputs.normalized_output(text)[2] == code, text
 
 
+def test_checked_actions():
+    """The accepted and the refused cases of a screen that shows 0 and 2."""
+    shown = frozenset({0, 2})
+    good = [
+        {"action_type": "status", "goal_status": "complete"}, {"action_type": "answer", "text": "10 AM"}, {"action_type": "click", "index": "2"}, {"action_type": "click", "x": 100, "y": 200},
+        {"action_type": "long_press", "index": 2}, {"action_type": "input_text", "index": 2, "text": "Alice"}, {"action_type": "keyboard_enter"}, {"action_type": "navigate_home"},
+        {"action_type": "navigate_back"}, {"action_type": "scroll", "direction": "down"}, {"action_type": "scroll", "direction": "up", "index": 2}, {"action_type": "open_app", "app_name": "Contacts"}, {"action_type": "wait"},
+    ]
+    for action in good:
+        found, error = outputs.checked_action(action, shown)
+        assert error is None and found == {k: int(v) if k == "index" else v for k, v in action.items()}
+    for action, code in (
+        ({"action_type": "send", "index": 0}, "unsupported_action_type"), ({"action_type": "click"}, "missing_action_field"), ({"action_type": "click", "index": 1}, "index_out_of_range"),
+        ({"action_type": "click", "index": 0, "x": 1, "y": 2}, "conflicting_action_fields"), ({"action_type": "input_text", "text": "Alice"}, "missing_action_field"),
+        ({"action_type": "scroll", "direction": "diagonal"}, "invalid_action_enum"), ({"action_type": "status", "goal_status": "success"}, "invalid_action_enum"), ({"action_type": "wait", "index": 0}, "unsupported_action_field"),
+        ({"action_type": "click", "index": True}, "invalid_action_field"), ({"action_type": "click", "index": -1}, "invalid_action_field"), ({"action_type": "answer", "text": " "}, "invalid_action_field"),
+    ):
+        assert outputs.checked_action(action, shown) == (None, code), action
+
+
+ACTION_PROMPT = "Here is a list of descriptions for some UI elements on the current screen:\nUI element 0: a\nUI element 2: b\nNow output an action from the above list, action_type. Your answer should look like:\nReason: ..."
+SUMMARY_PROMPT = "This is the action you picked: x\nBased on the reason: y\nSummary of this step:"
+
+
+def test_outputs_follow_their_request(spark):
+    rows = [
+        (ACTION_PROMPT, "```python\nThe answer is Action: {'action_type': 'click', 'index': '2'}\n``` extra explanation"),
+        (ACTION_PROMPT, 'Action: {"action_type":"click","index":1}'),
+        (SUMMARY_PROMPT, "Summary of this step: Opened Contacts.\nIt worked."),
+        (SUMMARY_PROMPT, 'Action: {"action_type":"wait"}'),
+        ("hello", "as it  is"),
+    ]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, prompt string, raw string")
+    got = [tuple(r.processed) for r in outputs.with_processed(frame, "prompt", "raw").orderBy("i").collect()]
+    assert got == [
+        ("action_selection", 'Reason: Model selected the next action.\nAction: {"action_type":"click","index":2}', '{"action_type":"click","index":2}', None),
+        ("action_selection", None, None, "index_out_of_range"),
+        ("summarization", "Opened Contacts. It worked.", None, None),
+        ("summarization", None, None, "invalid_summary_output"),
+        ("other", "as it  is", None, None),
+    ]
+    steps = [("Reason: go\nAction: {\"a\": 1} Action: {\"b\": 2}", 'Thought: go\nAction: {"a": 1}'), ('Action: {"a":1}', 'Thought:\nAction: {"a": 1}'), ("no action", "no action"), (None, None)]
+    assert [outputs.single_step(x) for x, _ in steps] == [y for _, y in steps]
+
+
+def test_requests_keep_their_images(spark):
+    part = lambda kind, text=None, url=None: (kind, text, url)
+    rows = [(1, [("user", [part("text", ACTION_PROMPT), part("image_url", None, "data:x")])], 1024), (2, [("user", [part("text", ACTION_PROMPT)])], None), (3, [("user", [part("text", "hi")])], 500)]
+    frame = spark.createDataFrame(rows, "i int, messages array<struct<role:string,parts:array<struct<type:string,text:string,url:string>>>>, max_tokens int")
+    got = {r.i: r for r in chat.rewritten(frame, lambda text: F.lit("What is the next AndroidWorld action?")).collect()}
+    assert [tuple(p) for p in got[1].messages[0].parts] == [("text", "What is the next AndroidWorld action?", None), ("image_url", None, "data:x")]
+    assert (got[1].max_tokens, got[2].max_tokens, got[3].max_tokens) == (128, 128, 500) and got[3].messages[0].parts[0].text == "hi"
+
+
+def test_envelopes(spark):
+    one = spark.range(1).select(chat.envelope(F.lit("c"), "m", F.lit(5), F.lit(10), F.lit(5), kv_injected=F.lit(True)).alias("e"), chat.error_envelope(F.lit("bad action"), F.lit("unsupported_action_type"), F.lit("completion")).alias("x")).collect()[0]
+    assert one.e.object == "chat.completion" and one.e.choices[0].message.role == "assistant" and one.e.choices[0].finish_reason == "stop" and one.e.kv_injected is True and one.e.usage.total_tokens == 15
+    assert one.x.asDict(True) == {"error": {"message": "bad action", "type": "invalid_request_error", "param": "completion", "code": "unsupported_action_type"}}
+    texts = spark.createDataFrame([("<|eot_id|>hi<|end|>", "Q: a\nA: b", " 7 ")], "s string, qa string, n string").select(chat.stripped(F.col("s")).alias("s"), chat.wrapped(F.col("s")).alias("w"), evaluation.qa_lines(F.col("qa")).alias("q"), actions.parsed_index(F.col("n")).alias("n"), evaluation.visible_indices(F.lit("UI element 3: x UI element 1: y")).alias("v"), t.last_instruction(F.lit("Step 1: x. Instruction: a.\nStep 2: y. Instruction: b  c.")).alias("l")).collect()[0]
+    assert texts.s == "hi" and texts.w.endswith("assistant<|end_header_id|>") and tuple(texts.q) == ("a", "b") and texts.n == 7 and texts.v == [1, 3] and texts.l == "b c"
+
+
+def test_what_a_history_tells(spark):
+    started = "You just started, no action has been performed yet."
+    cases = [
+        ("tap x", None, "having tapped x"), (None, None, "no previous actions"), (None, started, "no previous actions"), (None, 'Step 1: Action selected: {"action_type": "wait"}.', "previous recorded actions"),
+        (None, 'Step 1: Action selected: {"action_type": "wait"}. Instruction: open y.\nStep 2: z', "having opened y"), (None, "Step 1: looked around.", "looked around"),
+    ]
+    frame = spark.createDataFrame([(i, p, h) for i, (p, h, _) in enumerate(cases)], "i int, p string, h string")
+    assert [r.o for r in frame.select("i", episodes.history_phrase(F.col("p"), F.col("h")).alias("o")).orderBy("i").collect()] == [w for *_, w in cases]
+
+
+def test_draws_are_without_replacement(spark):
+    from quern.operators import augment
+
+    steps = augment.step_schedule(spark, 30, 2, 3, extended=True)
+    rows = augment.draws(steps, 8, 97).collect()
+    kinds = {r.step: r.kind for r in rows}
+    assert [kinds[s] for s in (0, 1, 2, 26, 27, 29)] == ["multi", "extended", "plain", "plain", "outlier", "outlier"]
+    for step in range(30):
+        own = [r.position for r in rows if r.step == step]
+        assert len(own) == len(set(own)) == (24 if kinds[step] == "multi" else 8) and all(0 <= p < 97 for p in own)
+
+
 def test_summaries_and_prompts(spark):
     rows = spark.createDataFrame([("```text\nSummary of this step: it  went well```",), ("Action: x",), ("  ",)], "s string")
     got = [(r.o.summary, r.o.error) for r in rows.select(outputs.normalized_summary(F.col("s")).alias("o")).collect()]
