@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +21,15 @@ from quern.compat import shared_dir
 #: Entries that one worker's word cache holds before it keeps only those in use (about 180 MB).
 CACHE_WORDS = 800_000
 #: Characters of the documents whose unseen words are encoded in one call of the tokenizer.
-GROUP_CHARS = 3 << 20
+GROUP_CHARS = 10 << 20
 JOINED_WORDS = 128
 SMALL_TASK_WORDS = 500_000
 
 #: Words cut at a blank or line end that can't be encoded on their own: white space meets there.
 _MEETS = re.compile(r"\s\s|\s\Z|\A[^\S\n]|\A\Z")
 #: A stop between a letter and a blank is a word of its own, marked as one without a blank before it.
-_STOP = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n]|\Z)")
+# The stop is tried first, so the engine skips from one to the next.
+_STOP = re.compile(r"([.,])(?<=[A-Za-z].)(?![^ \n])")
 _MARK = "\x02"
 
 
@@ -107,7 +109,7 @@ class Encoder:
         self.marks_blank = self.tokenizer.normalizer is None
         self.parting = "\n" if self.marks_blank else " ~ "
         self.keep = keep
-        self.used, self.last = 0, set()  # words cut since rest(), those of the last call
+        self.used, self.last = 0, []  # words cut since rest(), those of the last call
         #: Of each cut word, its ids; None if it can't be encoded on its own.
         self.known: dict[str, bytes | None] = {}
 
@@ -116,28 +118,38 @@ class Encoder:
         tasks run in more workers than there are cores, and a full cache in each is too much."""
         if self.used < SMALL_TASK_WORDS:
             self.known = {w: self.known[w] for w in self.last if w in self.known}
-        self.used, self.last = 0, set()
+        self.used, self.last = 0, []
         trim_memory()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(i)}I", *i) for i in [e.ids for e in found]]
 
-    def _cut(self, text: str) -> list[str]:
+    def _parted(self, text: str) -> str:
+        """The text with a blank between any two words; empty if it can't be cut."""
         if not self.marks_blank:
             text = text.lower() if text.isascii() else text
-            return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+            return _STOP.sub(r" \1", text).replace("\n", " ")
         if _MARK in text:
-            return [""]
+            return ""
         # A word that starts a line keeps the line end, all others have a blank before them. The
         # first word is cut as if it started a line; _group takes that line end's id off again.
-        return _STOP.sub(rf" {_MARK}\1", "\n" + text).replace("\n", " \n")[1:].split(" ")
+        return _STOP.sub(rf" {_MARK}\1", "\n" + text).replace("\n", " \n")[1:]
 
     def _learn(self, words: list[str]) -> None:
         """Words of letters alone are encoded many at a time, parted by a token none of them has."""
         known = self.known
         parting = self.tokenizer.encode(self.parting.strip(" "), add_special_tokens=False).ids
         letters = [w for w in words if w.isalpha()] if len(parting) == 1 else []
+        if self.marks_blank and len(parting) == 1:
+            # A line end and letters: put end to end, each starts with the parting token itself.
+            lines = [w for w in words if w[:1] == "\n" and w[1:].isalpha()]
+            for k in range(0, len(lines), JOINED_WORDS):
+                some = lines[k : k + JOINED_WORDS]
+                ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, "<u4")
+                starts = (4 * np.flatnonzero(ids == parting[0])).tolist()
+                ids = ids.tobytes()
+                known.update(zip(some, [ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)])]))
         at = range(0, len(letters), JOINED_WORDS)
         lead = " " if self.marks_blank else ""
         found = self.tokenizer.encode_batch([self.parting.join([lead + w for w in letters[k : k + JOINED_WORDS]]) for k in at], add_special_tokens=False)
@@ -164,22 +176,33 @@ class Encoder:
                 gc.enable()
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        cut, known = [self._cut(t) for t in texts], self.known
-        need = set().union(*cut)
-        missing = [w for w in need if w not in known]
+        if not texts:
+            return []
+        # Arrow cuts the texts, numbers their words and puts the ids together; only distinct words are looked up.
+        cut, known = pc.split_pattern(pa.array([self._parted(t) for t in texts], pa.large_string()), " "), self.known
+        numbered = cut.values.dictionary_encode()
+        need = numbered.dictionary.to_pylist()
+        values = list(map(known.get, need))
+        gaps = [k for k, v in enumerate(values) if v is None]
+        missing = [need[k] for k in gaps if need[k] not in known]
         if len(known) + len(missing) > self.keep:
             # Words of the present documents stay: most words to come are among them.
             known = self.known = {w: known[w] for w in need if w in known}
         if missing:
             self._learn(missing)
-        self.used, self.last = self.used + sum(map(len, cut)), need
-        get, out, skip = known.__getitem__, [], 4 if self.marks_blank else 0
-        for t, c in zip(texts, cut):
-            try:
-                out.append(b"".join(map(get, c))[skip:] if t else b"")
-            except TypeError:
-                out.append(self.whole([t])[0])
-        return out
+        known = self.known
+        for k in gaps:
+            values[k] = known[need[k]]
+        self.used, self.last = self.used + len(numbered), need
+        ends = cut.offsets.to_numpy()
+        found = pa.array([v or b"" for v in values], pa.large_binary()).take(numbered.indices)
+        data, at = found.buffers()[2], np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, 8 * found.offset)[ends]
+        data = memoryview(data) if data else memoryview(b"")
+        # Texts with a word that has no ids of its own are encoded whole.
+        hard = np.array([v is None for v in values])
+        whole = np.diff(np.append(0, np.cumsum(hard[numbered.indices.to_numpy()]))[ends]) > 0 if hard.any() else np.zeros(len(texts), bool)
+        skip = 4 if self.marks_blank else 0
+        return [b"" if not t else self.whole([t])[0] if w else bytes(data[a + skip : b]) for t, w, a, b in zip(texts, whole.tolist(), at[:-1].tolist(), at[1:].tolist())]
 
 
 _ENCODERS: dict[str, Encoder] = {}

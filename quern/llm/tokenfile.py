@@ -66,15 +66,27 @@ class EliasFano:
         at = 8 * byte + int(np.flatnonzero(marks)[i % SAMPLE])
         return (at - i) << self.low_bits | (self._low(i) if self.low_bits else 0)
 
-    def all(self) -> np.ndarray:
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits and self.n:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
+    def span(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1: select for many, which reads only the marks between the samples around them."""
+        if i >= j:
+            return np.zeros(0, np.uint64)
+        first, last = i // SAMPLE, (j - 1) // SAMPLE + 1
+        start = int(self.samples[first])
+        end = int(self.samples[last]) if last < len(self.samples) else 8 * len(self.high)
+        marks = np.unpackbits(self.high[start // 8 : -(-end // 8)], bitorder="little")
+        marks[: start % 8] = 0
+        at = np.flatnonzero(marks)[i - first * SAMPLE : j - first * SAMPLE] + 8 * (start // 8)
+        out = (at - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:
+            since = i * self.low_bits
+            bits = np.unpackbits(self.low[since // 8 : -(-j * self.low_bits // 8)], bitorder="little")[since % 8 :][: (j - i) * self.low_bits].reshape(j - i, self.low_bits)
             for k in range(self.low_bits):
                 out |= bits[:, k].astype(np.uint64) << np.uint64(k)
         return out
 
+    def all(self) -> np.ndarray:
+        return self.span(0, self.n)
+
     def to_bytes(self) -> bytes:
         return self.HEAD.pack(self.n, self.low_bits, len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u4").tobytes()
 
@@ -88,8 +100,13 @@ class EliasFano:
 
 
 def shard_bytes(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
-    """A whole shard file; doc_ids ascend, nulls first; ids: little-endian 32-bit ids of each."""
+    """A whole shard file; doc_ids ascend, nulls first; ids: little-endian 32-bit ids of each.
+
+    ValueError if an id doesn't fit into width bytes.
+    """
     flat = np.frombuffer(b"".join(ids), "<u4")
+    if len(flat) and int(flat.max()) >> 8 * width:
+        raise ValueError(f"id {int(flat.max())} doesn't fit into {width} bytes")
     ends = EliasFano.of(np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)).to_bytes()
     known = [d for d in doc_ids if d is not None]
     first = known[0] if known else 0
@@ -110,23 +127,40 @@ class Shard:
         self.ids = np.frombuffer(data, f"<u{width}", self.n_ids, at)
         at += width * self.n_ids
         self.ends = EliasFano.from_bytes(data[at : at + n_ends])
-        names = EliasFano.from_bytes(data[at + n_ends : at + n_ends + n_names]).all()
-        known = (names + np.array(first, np.int64).view(np.uint64)).view(np.int64)
-        self.doc_ids = [None] * nulls + known.tolist()
+        self.names, self.nulls, self.first = EliasFano.from_bytes(data[at + n_ends : at + n_ends + n_names]), nulls, np.array(first, np.int64).view(np.uint64)
+
+    def doc_ids(self, i: int, j: int) -> list[int | None]:
+        """Document ids i to j - 1."""
+        known = (self.names.span(max(0, i - self.nulls), max(0, j - self.nulls)) + self.first).view(np.int64)
+        return [None] * (min(j, self.nulls) - min(i, self.nulls)) + known.tolist()
+
+    def starts(self, i: int, j: int) -> np.ndarray:
+        """Where documents i to j - 1 start, and where the last of them ends."""
+        ends = self.ends.span(max(0, i - 1), j).astype(np.int64)
+        return ends if i else np.append(0, ends)
 
     def document(self, i: int) -> np.ndarray:
         """Ids of document i, by two selects."""
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, width: int = 2, shard_ids: int = SHARD_IDS) -> DataFrame:
+def id_width(tokenizer: str, end_id: int) -> int:
+    """Bytes of an id: 2 if every id of the tokenizer's vocabulary and the end id fit, else 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
+
+
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, width: int | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes the shards of docs below folder (a URI that all executors reach); returns their list.
 
     (part, shard, path, n_docs, n_ids), in order of part and shard. Documents ascend by doc_id, null
     ids first, equal ids by their text; null and empty texts are the end id alone. Ranges of doc_id
     are dealt out by sampled bounds, so each task has a like share; a shard ends at shard_ids ids,
-    or after one longer document. No document, no file.
+    or after one longer document. width: bytes of an id, else by the vocabulary; an id that doesn't
+    fit raises. No document, no file.
     """
+    width = width or id_width(tokenizer, end_id)
     schema = "part int, shard int, path string, n_docs bigint, n_ids bigint"
     arrow = arrow_schema(docs.sparkSession, schema)
     end = int(end_id).to_bytes(4, "little")
@@ -167,24 +201,26 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
 def read_token_files(spark: SparkSession, shards: DataFrame) -> DataFrame:
     """(doc_id, start, ids): each document from its shard file; ids as little-endian 32-bit integers.
 
-    start counts the ids of all documents before it; the running sum is over one row a shard.
+    start counts the ids of all documents before it: the ids of the parts before, one row for each
+    task that wrote, and of the part's own shards before. A task reads the shards of a part in turn,
+    and takes its documents' places from the select samples.
     """
     schema = "doc_id bigint, start bigint, ids binary"
     arrow = arrow_schema(spark, schema)
-    before = F.sum("n_ids").over(Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1))
-    n = max(1, shards.count())
-    placed = shards.select("path", F.coalesce(before, F.lit(0)).alias("before")).repartition(n)
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", earlier(Window.orderBy("part")).alias("since"))
+    own = shards.select("part", "path", earlier(Window.partitionBy("part").orderBy("shard")).alias("before")).join(parts, "part")
+    placed = own.select("path", (F.col("since") + F.col("before")).alias("before"), "part").repartition(max(1, shards.select("part").distinct().count()), "part").select("path", "before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, since in zip(*(c.to_pylist() for c in batch.columns)):
                 shard = Shard(read_whole(path))
-                ends = shard.ends.all().astype(np.int64)
-                starts = np.append(0, ends[:-1])
                 for at in range(0, shard.n_docs, 1024):
-                    span = range(at, min(at + 1024, shard.n_docs))
-                    ids = [shard.ids[starts[k] : ends[k]].astype("<u4").tobytes() for k in span]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids[at : at + 1024], pa.int64()), pa.array(since + starts[at : at + 1024]), pa.array(ids, pa.binary())], schema=arrow)
+                    until = min(at + 1024, shard.n_docs)
+                    starts = shard.starts(at, until)
+                    ids = [shard.ids[a:b].astype("<u4").tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids(at, until), pa.int64()), pa.array(since + starts[:-1]), pa.array(ids, pa.binary())], schema=arrow)
         trim_memory()
 
     return placed.mapInArrow(run, schema)
