@@ -18,8 +18,12 @@ def test_matching_equals_the_scan(spark):
             if a not in used and b not in used:
                 used |= {a, b}
                 want.append(i)
-        got = matching.first_come_matching(spark.createDataFrame(edges, "rid long, head string, tail string").repartition(3))
-        assert sorted(r.rid for r in got.collect()) == want
+        for scan_rows in (10, 1000):
+            got = matching.first_come_matching(spark.createDataFrame(edges, "rid long, head string, tail string").repartition(3), scan_rows=scan_rows)
+            assert sorted(r.rid for r in got.collect()) == want
+    chain = spark.range(5000).selectExpr("id rid", "cast(id as string) head", "cast(id + 1 as string) tail")
+    assert [r.rid for r in matching.first_come_matching(chain, scan_rows=2000).orderBy("rid").collect()] == list(range(0, 5000, 2))
+    assert matching.first_come_matching(chain.limit(0)).count() == 0
 
 
 def test_batches_and_split(spark):
