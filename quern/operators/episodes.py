@@ -180,6 +180,11 @@ def qkv_rows(steps: DataFrame, skip_invalid: bool = False, keyboard_enter: bool
     )
 
 
+def goal_of_step(by_instruction: bool) -> Column:
+    """What a step's question asks for: the episode's goal, or the step's instruction where it has one."""
+    return F.coalesce("instruction", "goal") if by_instruction else F.col("goal")
+
+
 def parsed_name(name: Column) -> Column:
     """struct(episode, step, suffix) of a row's name; the episode is "unknown" if it doesn't match."""
     pattern = r"^aw_(.*)_([0-9]+)(?:_(.*))?$"

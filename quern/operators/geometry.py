@@ -53,7 +53,7 @@ def regions(elements: DataFrame) -> DataFrame:
 
 
 #: Packages of the system and of keyboards.
-SYSTEM_PACKAGES = ("com.android.systemui",)
+SYSTEM_PACKAGES = ("android", "com.android.packageinstaller", "com.android.permissioncontroller", "com.android.systemui", "com.google.android.permissioncontroller")
 KEYBOARD_PACKAGES = ("com.google.android.inputmethod.latin",)
 
 

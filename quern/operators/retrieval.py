@@ -31,9 +31,9 @@ def scores(queries: DataFrame, keys: DataFrame, score: Column | None = None) ->
     return out
 
 
-def best(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
+def best(scored: DataFrame, k: int, by: str | list[str] = "query_id") -> DataFrame:
     """The k best of each query with their rank; ties go to the lower id. Spark cuts each partition to k first."""
-    w = Window.partitionBy(by).orderBy(F.desc("score"), "id")
+    w = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -124,3 +124,19 @@ def accuracy(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: queries, acc@1 and acc@5 of truth (query_id, id) in ranked (query_id, id, rank)."""
     hits = truth.join(ranked.select("query_id", "id", "rank"), ["query_id", "id"], "left")
     return hits.agg(F.count("*").alias("queries"), F.avg(F.coalesce((F.col("rank") <= 1).cast("double"), F.lit(0.0))).alias("acc1"), F.avg(F.coalesce((F.col("rank") <= 5).cast("double"), F.lit(0.0))).alias("acc5"))
+
+
+def layered_accuracy(scored: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: acc1, acc5 and confidence, the means of the batches, of scores in several layers.
+
+    scored: (batch, query_id, layer, id, score), truth: (query_id, id). Ranks go by the sum of the
+    layers; a batch's confidence is its greatest softmax of the layers' mean, 1 over the sum of
+    exp(mean - greatest mean), so no query's scores are gathered. Ties go to the lower id.
+    """
+    sums = scored.groupBy("batch", "query_id", "id").agg(F.sum("score").alias("score"), F.avg("score").alias("_mean"))
+    top = sums.groupBy("batch", "query_id").agg(F.max("_mean").alias("_top"))
+    found = best(sums, 5, ["batch", "query_id"]).join(truth.withColumn("_true", F.lit(True)), ["query_id", "id"], "left")
+    per_query = found.groupBy("batch", "query_id").agg(F.max(F.when(F.col("_true") & (F.col("rank") <= 1), 1.0).otherwise(0.0)).alias("_1"), F.max(F.when(F.col("_true"), 1.0).otherwise(0.0)).alias("_5"))
+    spread = sums.join(top, ["batch", "query_id"]).groupBy("batch", "query_id").agg((1 / F.sum(F.exp(F.col("_mean") - F.col("_top")))).alias("_confidence"))
+    batches = per_query.join(spread, ["batch", "query_id"]).groupBy("batch").agg(F.avg("_1").alias("_1"), F.avg("_5").alias("_5"), F.max("_confidence").alias("_confidence"))
+    return batches.agg(F.avg("_1").alias("acc1"), F.avg("_5").alias("acc5"), F.avg("_confidence").alias("confidence"))

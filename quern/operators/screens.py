@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.compat import or_default
 from quern.functions.text import collapse, compact_text, is_semantic_resource, q_sections, short_class
 from quern.operators.geometry import main_package, package_kind, regions
 
@@ -165,15 +166,72 @@ def labelled_lines(elements: DataFrame, shown: Column) -> DataFrame:
     return elements.filter(shown).select("screen", "idx", line.alias("line"))
 
 
-def selection_prompt(goal: Column, history: Column, ui: Column, prefix: str = "", guidance: str = "") -> Column:
-    """A prompt that asks for the next action, around a goal, a history and a listing."""
+#: How a listing is announced, without a screenshot and beside a labelled one, and what an empty one says.
+LISTING = "\n\nHere is a list of descriptions for some UI elements on the current screen:\n"
+LABELLED_LISTING = (
+    "\n\nThe current screenshot and the same screenshot with bounding boxes and labels added are also given to you.\n"
+    "Here is a list of detailed information for some of the UI elements (notice that some elements in this list may not be visible in the current screen and so you can not interact with it, "
+    "can try to scroll the screen to reveal it first), the numeric indexes are consistent with the ones in the labeled screenshot:\n"
+)
+NOT_AVAILABLE = "Not available"
+
+
+def selection_prompt(goal: Column, history: Column, ui: Column, prefix: str = "", guidance: str = "", screenshots: bool = False, guidelines: Column | None = None) -> Column:
+    """A prompt that asks for the next action, around a goal, a history and a listing.
+
+    screenshots: the style of requests that come with pictures; guidelines: an array of lines for this task, none if empty.
+    """
+    own = F.lit("")
+    if guidelines is not None:
+        own = F.when(F.size(guidelines) > 0, F.concat(F.lit("For The Current Task:\n"), F.array_join(F.transform(guidelines, lambda g: F.concat(F.lit("- "), g, F.lit("\n"))), ""))).otherwise("")
+    gap = "\n" if screenshots else "\n\n"
     return F.concat(
         F.lit(f"{prefix}\nThe current user goal/request is: "), goal, F.lit("\n\nHere is a history of what you have done so far:\n"), history,
-        F.lit("\n\nHere is a list of descriptions for some UI elements on the current screen:\n"), F.coalesce(F.when(ui != "", ui), F.lit("Not available")),
-        F.lit(f'{guidance}\n\nNow output an action from the above list in the correct JSON format, following the reason why you do that. Your answer should look like:\nReason: ...\nAction: {{"action_type":...}}\n\nYour Answer:\n'),
+        F.lit(LABELLED_LISTING if screenshots else LISTING), or_default(ui, NOT_AVAILABLE),
+        F.lit(guidance), own, F.lit(f'{gap}Now output an action from the above list in the correct JSON format, following the reason why you do that. Your answer should look like:\nReason: ...\nAction: {{"action_type":...}}\n\nYour Answer:\n'),
     )
 
 
+#: The parts of a request to sum a step up, each before its section, and the closing rules.
+SUMMARY_PARTS = (
+    "\nThe (overall) user goal/request is:",
+    "\nNow I want you to summerize the latest step based on the action you pick with the reason and descriptions for the before and after (the action) screenshots.\nHere is the description for the before screenshot:\n",
+    "\nHere is the description for the after screenshot:\n",
+    "\nThis is the action you picked: ",
+    "\nBased on the reason: ",
+)
+SUMMARY_RULES = (
+    "\n\n\nBy comparing the descriptions for the two screenshots and the action performed, give a brief summary of this step. "
+    "This summary will be added to action history and used in future action selection, so try to include essential information you think that will be most useful for future action selection like "
+    "what you intended to do, why, if it worked as expected, if not what might be the reason (be critical, the action/reason might not be correct), what should/should not be done next and so on. "
+    "Some more rules/tips you should follow:\n- Keep it short and in one line.\n"
+    "- Some actions (like `answer`, `wait`) don't involve screen change, you can just assume they work as expected.\n"
+    "- Given this summary will be added into action history, it can be used as memory to include information that needs to be remembered, or shared between different apps.\n\nSummary of this step: "
+)
+
+
+def summary_prompt(goal: Column, action: Column, reason: Column, before: Column, after: Column, prefix: str = "") -> Column:
+    """A prompt that asks to sum up a step, from the listings before and after it; empty ones are said to be."""
+    said = (goal, or_default(before, NOT_AVAILABLE), or_default(after, NOT_AVAILABLE), action, reason)
+    return F.concat(F.lit(prefix), *[x for part, c in zip(SUMMARY_PARTS, said) for x in (F.lit(part), c)], F.lit(SUMMARY_RULES))
+
+
+def elements_of(nodes: DataFrame, width: Column | None = None, height: Column | None = None) -> DataFrame:
+    """Elements of tree nodes: empty texts are null, edges become x_min, x_max, y_min, y_max.
+
+    nodes has left, right, top, bottom, is_visible_to_user, view_id_resource_name, and what else an
+    element has under its own name. With a screen's width and height, bbox holds the same box in parts
+    of the screen; without, it is null.
+    """
+    texts = {c: F.when(F.col(c) != "", F.col(c)) for c in ("text", "content_description", "class_name", "hint_text", "package_name", "view_id_resource_name") if c in nodes.columns}
+    names = {"left": "x_min", "right": "x_max", "top": "y_min", "bottom": "y_max", "is_visible_to_user": "is_visible", "view_id_resource_name": "resource_name"}
+    out = nodes.withColumns(texts).withColumnsRenamed(names)
+    box = "struct<x_min:double,x_max:double,y_min:double,y_max:double>"
+    if width is None or height is None:
+        return out.withColumn("bbox", F.lit(None).cast(box))
+    return out.withColumn("bbox", F.struct((F.col("x_min") / width).alias("x_min"), (F.col("x_max") / width).alias("x_max"), (F.col("y_min") / height).alias("y_min"), (F.col("y_max") / height).alias("y_max")).cast(box))
+
+
 def prompt_section(text: Column, start: str, ends: tuple[str, ...]) -> Column:
     """What stands between the first match of start and the nearest match of an end; empty without a start."""
     body = F.regexp_extract(text, f"(?is){start}(.*)$", 1)

@@ -37,6 +37,56 @@ def field_profile(rows: DataFrame, group: str, fields: list[str]) -> DataFrame:
     return rows.select(F.col(group), F.inline(entries)).filter("there").groupBy(group, "field", "type").agg(F.count("*").alias("n"))
 
 
+#: What the types of a variant's values are called.
+VALUE_TYPES = {"BOOLEAN": "bool", "BIGINT": "int", "DOUBLE": "float", "FLOAT": "float", "STRING": "str", "VOID": "null"}
+
+
+def value_type(value: Column) -> Column:
+    """The type's name of a variant: null, bool, int, float, str, list or dict. Integers over 64 bits are floats."""
+    kind = F.schema_of_variant(value)
+    named = F.coalesce(*[F.when(kind == k, name) for k, name in VALUE_TYPES.items()])
+    return F.coalesce(named, F.when(kind.startswith("DECIMAL"), "float"), F.when(kind.startswith("ARRAY"), "list"), F.when(kind.startswith("OBJECT"), "dict"), kind)
+
+
+def value_profile(rows: DataFrame, group: Column, json: Column) -> DataFrame:
+    """(key, field, type, n): the fields of each group's JSON objects by the type of each value.
+
+    Anything but an object has no fields, as has one that names a field twice; a null or empty group is "missing".
+    """
+    fields = F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>")
+    entries = rows.select(or_default(group, "missing").alias("key"), F.explode(fields).alias("field", "value"))
+    typed = entries.select("key", "field", F.coalesce(value_type(F.col("value")), F.lit("null")).alias("type"))
+    return typed.groupBy("key", "field", "type").agg(F.count("*").alias("n"))
+
+
+def tallied(rows: DataFrame, /, **sections: Column) -> DataFrame:
+    """(section, key, n): how often each value of each section's column occurs; null counts nowhere.
+
+    An array's entries count each. All sections are counted in one pass and one shuffle of counts.
+    """
+
+    def named(name: str, values: Column) -> Column:
+        entries = F.transform(values, lambda x: F.struct(F.lit(name).alias("section"), x.alias("key")))
+        return F.coalesce(entries, F.array().cast("array<struct<section:string,key:string>>"))
+
+    pairs = rows.select(F.inline(F.flatten(F.array(*[named(*s) for s in sections.items()]))))
+    return pairs.filter(F.col("key").isNotNull()).groupBy("section", "key").agg(F.count("*").alias("n"))
+
+
+def counter_text(title: str, rows: DataFrame, most: int = 10_000) -> str:
+    """A counter (key, n) as lines, most frequent first; over most keys it is refused, not cut."""
+    found = rows.orderBy(F.desc("n"), "key").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"over {most} keys: write a table instead")
+    return "\n".join([f"{title}:", *(f"  {r['key']}: {r['n']}" for r in found)] if found else [f"{title}:", "  none: 0"])
+
+
+def lengths_text(title: str, stats: DataFrame) -> str:
+    """The row of length_stats as a line."""
+    r = stats.first()
+    return f"{title}: avg={r['avg']}, min={r['min']} ({', '.join(r['min_episodes'] or []) or 'n/a'}), max={r['max']} ({', '.join(r['max_episodes'] or []) or 'n/a'})"
+
+
 def examples(rows: DataFrame, group: str, order: list[str], n: int = 3) -> DataFrame:
     """The first n rows of each group, numbered."""
     w = Window.partitionBy(group).orderBy(*order)

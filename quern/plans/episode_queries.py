@@ -147,8 +147,8 @@ def _question_sql(goal: str, history: str, ui: str) -> str:
 
 _DONE = f"{DONE}[{{0}} % 16 + 1] || ' the item ' || {{0}}"
 
-@query(
-    f"""WITH {HISTORIES}, c AS (SELECT *, {_compact_sql("ls", "ss")} AS compact, {_compact_sql("list_append(ls, own)", "list_append(ss, s)")} AS after, {_reason("action_type")} AS reason,
+#: The rows of every step as u (episode_id, step_index, synthetic, invalid, name, reason, action, q, key_string).
+QKV = f"""{HISTORIES}, c AS (SELECT *, {_compact_sql("ls", "ss")} AS compact, {_compact_sql("list_append(ls, own)", "list_append(ss, s)")} AS after, {_reason("action_type")} AS reason,
    CASE WHEN instruction IS NOT NULL THEN k END AS ik FROM (SELECT *, 'Step ' || (step_index + 1) || ': Action selected: ' || action || '.' || coalesce(' Instruction: ' || instruction || '.', '') AS own FROM listed)),
  r AS (SELECT *, lead(step_index) OVER w IS NULL AS last, lead(compact) OVER w AS next_compact, lead(goal) OVER w AS next_goal, lead(ui) OVER w AS next_ui,
    last_value(ik IGNORE NULLS) OVER (PARTITION BY episode_id ORDER BY step_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM c WINDOW w AS (PARTITION BY episode_id ORDER BY step_index)),
@@ -162,7 +162,11 @@ _DONE = f"{DONE}[{{0}} % 16 + 1] || ' the item ' || {{0}}"
    {_key_sql("ik", "goal", f"coalesce({_DONE.format('coalesce(ik, prior)')}, 'previous recorded actions')")} FROM r WHERE action_type = 'input_text' AND invalid IS NULL),
  done AS (SELECT episode_id, step_index, 'terminal', false, 'aw_' || episode_id || '_' || step_index || '_terminal_complete_status_complete', 'The recorded episode has reached its final state, so the task is complete.', '{{"action_type":"status","goal_status":"complete"}}',
    {_question_sql("goal", "after", "ui")}, {_key_sql("ik", "goal", f"coalesce({_DONE.format('coalesce(ik, prior)')}, 'previous recorded actions')")} FROM r WHERE last),
- u AS (SELECT * FROM base UNION ALL SELECT * FROM typed UNION ALL SELECT * FROM done)
+ u AS (SELECT * FROM base UNION ALL SELECT * FROM typed UNION ALL SELECT * FROM done)"""
+
+
+@query(
+    f"""WITH {QKV}
 SELECT name, synthetic, invalid, reason, 'Reason: ' || reason || chr(10) || 'Action: ' || action AS description, 'Reason: ' || reason || chr(10) || 'Action: ' || action AS a, md5(q) AS q_md5, key_string FROM u"""
 )
 def episode_qkv(spark: SparkSession, sf_dir: str) -> DataFrame:

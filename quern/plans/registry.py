@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quern.plans import episode_queries, knowledge_queries, screen_queries, text_queries, vector_queries  # noqa: F401
+    from quern.plans import bundle_queries, episode_queries, knowledge_queries, screen_queries, summary_queries, text_queries, vector_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -153,3 +153,15 @@ SELECT screen, idx, 'UI element ' || idx || ': {{' || concat_ws(', ', '"index":
 def labelled_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = elements(spark, sf_dir).filter(geometry.on_screen()).select("screen", "idx")
     return screens.labelled_lines(_listed(spark, sf_dir).join(shown, ["screen", "idx"]), F.lit(True))
+
+
+@query(f"SELECT l_orderkey AS screen, l_linenumber AS number, nullif(l_linestatus, 'F') AS text, l_returnflag = 'R' AS is_visible, l_returnflag AS resource_name, (l_partkey % 50 + l_suppkey % 9) / 1080.0::DOUBLE AS x_max, l_linenumber * 3 / 2400.0::DOUBLE AS y_max, l_linenumber AS top FROM lineitem")
+def node_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tree nodes as elements, with the box in parts of the screen."""
+    x = F.col("l_partkey") % 50
+    nodes = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("screen"), F.col("l_linenumber").alias("number"), F.when(F.col("l_linestatus") == "F", "").otherwise(F.col("l_linestatus")).alias("text"), F.col("l_returnflag").alias("view_id_resource_name"),
+        (F.col("l_returnflag") == "R").alias("is_visible_to_user"), x.alias("left"), (x + F.col("l_suppkey") % 9).alias("right"), F.col("l_linenumber").alias("top"), (F.col("l_linenumber") * 3).alias("bottom"),
+    )
+    found = screens.elements_of(nodes, F.lit(1080), F.lit(2400))
+    return found.select("screen", "number", "text", "is_visible", "resource_name", F.col("bbox.x_max").alias("x_max"), F.col("bbox.y_max").alias("y_max"), F.col("y_min").alias("top"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.compat import hash_order
+
 TRIPLE = T.StructType([T.StructField("head", T.StringType()), T.StructField("tail", T.StringType()), T.StructField("relation", T.StringType())])
 QKV = T.StructType([T.StructField(c, T.StringType(), c not in ("name", "description_type", "description")) for c in ("name", "description_type", "description", "reason", "Q", "A", "key_string", "extended_Q", "extended_A")])
 ENTITY = T.StructType([T.StructField(c, T.StringType()) for c in ("name", "description", "objectives", "purpose")])
@@ -77,6 +79,36 @@ def write_batches(rows: DataFrame, path: str, size: int) -> None:
     rows.write.mode("overwrite").option("maxRecordsPerFile", size).json(path)
 
 
+def read_histories(spark: SparkSession, path: str) -> DataFrame:
+    """(episode_id, step_index, line) of teacher histories: objects of lists of lines by episode."""
+    from quern.sources.bundles import json_map
+
+    return json_map(spark, path, "episode_id", "lines", "array<string>").select("episode_id", F.posexplode("lines").alias("_at", "line")).select("episode_id", F.col("_at").cast("bigint").alias("step_index"), "line")
+
+
+def merged_batches(spark: SparkSession, path: str, seed: int = 0, schema: T.StructType = QKV, array: bool | None = None) -> DataFrame:
+    """All rows of a folder's batch files, files in a seeded order and rows in one of their own in each file.
+
+    Unreadable rows are left out. Equal rows of a file follow each other. array as in read_rows.
+    """
+    array = is_array_file(spark, path) if array is None else array
+    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+    found = spark.read.schema(nullable).json(path, multiLine=array, mode="DROPMALFORMED").select("*", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("_file"))
+    row = F.to_json(F.struct(*schema.names))
+    return found.orderBy(hash_order("_file", seed=seed), "_file", hash_order(row, seed=seed), row).drop("_file")
+
+
+def write_checked(rows: DataFrame, error: str, path: str) -> None:
+    """Good rows below path/failed=false, the others with their error below path/failed=true, in one pass."""
+    rows.withColumn("failed", F.col(error).isNotNull()).write.mode("overwrite").partitionBy("failed").json(path)
+
+
+def read_checked(spark: SparkSession, path: str, schema: T.StructType, failed: bool = False) -> DataFrame:
+    """One side of write_checked; empty if no row fell there."""
+    with_side = T.StructType([*schema.fields, T.StructField("failed", T.BooleanType())])
+    return spark.read.schema(with_side).json(path).filter(F.col("failed") == failed).drop("failed")
+
+
 def append_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

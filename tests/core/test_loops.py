@@ -329,3 +329,33 @@ def test_embeddings_have_unit_length(spark):
 
     rows = [r.e for r in spark.createDataFrame([("a b c",), ("A b, c",), (None,)], "s string").coalesce(1).select(vectors.hashed_embedding(F.col("s")).alias("e")).collect()]
     assert abs(sum(x * x for x in rows[0]) - 1) < 1e-9 and rows[0] == rows[1] and not any(rows[2])
+
+
+def test_system_packages(spark):
+    from quern.operators.geometry import package_kind
+
+    names = ["android", "com.android.packageinstaller", "com.android.permissioncontroller", "com.android.systemui", "com.google.android.permissioncontroller", "my.inputmethod", "app", "", None]
+    frame = spark.createDataFrame([(n,) for n in names], "p string")
+    assert [r[0] for r in frame.select(package_kind(F.col("p"))).collect()] == ["system"] * 5 + ["keyboard", None, None, None]
+
+
+def test_value_types(spark):
+    from quern.operators.stats import value_profile
+
+    objects = ['{"a": 1, "b": 1.5, "c": true, "d": null, "e": [1], "f": {"x": 1}, "g": "s", "h": 1.0}', "[1]", "{", "", None, "{}", '{"a": "x"}']
+    frame = spark.createDataFrame([(o,) for o in objects], "j string")
+    found = {(r.field, r.type): r.n for r in value_profile(frame, F.lit(""), F.col("j")).filter("key = 'missing'").collect()}
+    kinds = dict(a="int", b="float", c="bool", d="null", e="list", f="dict", g="str", h="float")
+    assert found == {**{(k, v): 1 for k, v in kinds.items()}, ("a", "str"): 1}
+
+
+def test_counter_texts(spark):
+    from quern.operators import stats
+
+    frame = spark.createDataFrame([("b", 2), ("a", 2), ("c", 9)], "key string, n long")
+    assert stats.counter_text("t", frame) == "t:\n  c: 9\n  a: 2\n  b: 2"
+    assert stats.counter_text("t", frame.limit(0)) == "t:\n  none: 0"
+    with pytest.raises(ValueError):
+        stats.counter_text("t", frame, most=2)
+    steps = spark.createDataFrame([("e1",), ("e1",), ("e2",)], "ep string")
+    assert stats.lengths_text("t", stats.length_stats(steps, "ep")) == "t: avg=1.5, min=1 (e2), max=2 (e1)"

@@ -101,3 +101,38 @@ def test_new_files_once(spark, tmp_path):
 def test_relation_hook_runs_once_a_pair(spark):
     frame = spark.createDataFrame([(i, "a", "r", "b", "head") for i in range(9)], "rid long, head string, relation string, tail string, missing string")
     assert {r.noun for r in kg2kv.relation_nouns(frame, lambda r, m: r.substr(1, 1)).collect()} == {"r"}
+
+
+def test_bundle_of_matrices_and_maps(spark, tmp_path):
+    from quern.sources import bundles
+
+    stem = f"{tmp_path}/kb_enc_embd_"
+    keys, inter, root = np.arange(12.0).reshape(6, 2), np.ones((3, 2)), np.zeros((2, 2))
+    for name, values in (("key", keys), ("value", keys + 1), ("key_inter1", inter), ("key_root", root)):
+        np.save(f"{stem}{name}.npy", values.astype(np.float32))
+    for level, n, groups in (("inter1", 6, 3), ("root", 3, 2)):
+        (tmp_path / f"kb_enc_embd_key_{level}_id2c_mapping.json").write_text(json.dumps({str(i): i % groups for i in range(n)}))
+    found = bundles.read_matrices(spark, str(tmp_path), "kb", "enc")
+    assert {r.id: (r.key, r.value) for r in found["leaves"].collect()} == {i: (k.tolist(), (k + 1).tolist()) for i, k in enumerate(keys)}
+    assert sorted(map(tuple, found["edges"].collect())) == [(i, i % 3, i % 3 % 2) for i in range(6)]
+    bundles.write_bundle(f"{tmp_path}/out", **found)
+    assert sorted(map(tuple, bundles.bundle_sizes(bundles.read_bundle(spark, f"{tmp_path}/out")).collect())) == [("inter", 3), ("leaves", 6), ("root", 2)]
+    np.save(f"{stem}value.npy", keys[:5].astype(np.float32))
+    with pytest.raises(ValueError, match="as many"):
+        bundles.read_matrices(spark, str(tmp_path), "kb", "enc")
+
+
+def test_teacher_histories(spark, tmp_path):
+    (tmp_path / "a.json").write_text('\n{"e1": ["one", "two"],\n "e2": []}\n')
+    assert sorted(map(tuple, rows.read_histories(spark, f"{tmp_path}/a.json").collect())) == [("e1", 0, "one"), ("e1", 1, "two")]
+    (tmp_path / "b.json").write_text("[1]")
+    with pytest.raises(Exception, match="object"):
+        rows.read_histories(spark, f"{tmp_path}/b.json").collect()
+
+
+def test_merged_batches(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.json").write_text(json.dumps([{"name": f"n{k}{i}"} for i in range(4)]))
+    first, again, other = ([r.name for r in rows.merged_batches(spark, str(tmp_path), seed).collect()] for seed in (1, 1, 2))
+    assert first == again != other and sorted(first) == sorted(other) == [f"n{k}{i}" for k in range(3) for i in range(4)]
+    assert all(len({n[1] for n in first[at : at + 4]}) == 1 for at in (0, 4, 8))
