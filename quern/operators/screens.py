@@ -59,6 +59,41 @@ def informative() -> Column:
     )
 
 
+#: What a line of a listing is kept for, names that say nothing, and packages whose lines are noise.
+LINE_TEXTS = ("text", "content_description", "hint_text", "tooltip")
+LINE_FLAGS = ("is_checkable", "is_clickable", "is_editable", "is_focusable", "is_scrollable", "is_selected", "is_checked", "is_focused", "is_long_clickable")
+GENERIC_RESOURCES = ("container", "content", "decor_view", "navigationBarBackground", "status_bar_launch_animation_container", "wifi_signal")
+NOISY_PACKAGES = ("com.android.systemui",)
+
+
+def line_field(line: Column, name: str) -> Column:
+    """A field's value in a line, name='value' or else "name": "value"; empty without one, or if it is none or false."""
+    python = F.regexp_extract(line, rf"""\b{name}=('(?:\\'|[^'])*'|"(?:\\"|[^"])*"|None|True|False)""", 1)
+    json = F.regexp_extract(line, rf"""\"{name}":\s*("(?:\\"|[^"])*"|null|true|false)""", 1)
+    raw = F.when(python != "", python).otherwise(json)
+    return F.when(raw.isin("None", "False", "null", "false"), "").when(raw == "true", "True").otherwise(F.regexp_replace(raw, r"""^['"]|['"]$""", ""))
+
+
+def line_flag(line: Column, name: str) -> Column:
+    """Whether a line says that a flag is set: name=True, "name": true, or its bare name."""
+    return line.rlike(rf"""\b{name}=True\b|"{name}":\s*true\b|\b{name}\b(?=\s*[,)])""")
+
+
+def is_informative_line(line: Column) -> Column:
+    """Whether a line has a text, a flag that is set, or a name of its own."""
+    resource = line_field(line, "resource_name")
+    told = F.greatest(*[F.length(line_field(line, c)) for c in LINE_TEXTS]) > 0
+    flagged = F.greatest(*[line_flag(line, c).cast("int") for c in LINE_FLAGS]) == 1
+    return told | flagged | ((resource != "") & ~F.element_at(F.split(resource, "/"), -1).isin(*GENERIC_RESOURCES))
+
+
+def informative_lines(listing: Column, include_system: bool = False) -> Column:
+    """A listing's lines that tell something; those of the system's own surface go unless they are asked for."""
+    lines = F.filter(F.split(listing, r"\r\n|[\n\r]"), lambda x: (F.btrim(x) != "") & is_informative_line(x))
+    kept = lines if include_system else F.filter(lines, lambda x: ~line_field(x, "package_name").isin(*NOISY_PACKAGES))
+    return F.array_join(kept, "\n")
+
+
 def quoted(c: Column) -> Column:
     """A text in quotes, as the listings show it: single ones unless only single ones stand in it."""
     single = F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))

@@ -165,3 +165,24 @@ def node_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = screens.elements_of(nodes, F.lit(1080), F.lit(2400))
     return found.select("screen", "number", "text", "is_visible", "resource_name", F.col("bbox.x_max").alias("x_max"), F.col("bbox.y_max").alias("y_max"), F.col("y_min").alias("top"))
+
+
+#: Lines of a listing and whether each is kept, by their place.
+_LINES = (
+    ("UIElement(text='Save', is_clickable=False)", True),
+    ("UIElement(text=None, content_description='', is_clickable=False)", False),
+    ("UIElement(text='', resource_name='com.x:id/container', is_enabled=True)", False),
+    ("UIElement(resource_name='com.x:id/send_button')", True),
+    ("UIElement(text='12:00', package_name='com.android.systemui')", False),
+    ('{"text": "", "is_checked": true}', True),
+    ('{"text": null, "is_checked": false}', False),
+    ("UIElement(index=3, is_scrollable, text=None)", True),
+)
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN (turn + conv_id) % 3 = 0 THEN '' ELSE concat_ws(chr(10), {', '.join(f'CASE WHEN (turn + {k}) % 3 <> 0 THEN {_array((text,))[1:-1]} END' for k, (text, kept) in enumerate(_LINES) if kept)}) END AS listing FROM conversations")
+def informative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings put together from lines of all forms, blank ones between them, and what is kept of them."""
+    lines = F.array_compact(F.array(*[F.when((F.col("turn") + k) % 3 != 0, text) for k, (text, _) in enumerate(_LINES)]))
+    listing = F.when((F.col("turn") + F.col("conv_id")) % 3 == 0, "").otherwise(F.array_join(lines, "\n  \n"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", screens.informative_lines(listing).alias("listing"))

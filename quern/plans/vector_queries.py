@@ -90,9 +90,12 @@ SELECT query_id, id, round(sum(prob), 6) AS score FROM p GROUP BY query_id, id""
 def score_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Softmax of each of four heads, summed for each key."""
     slots = lambda c: F.array(*[F.struct(F.lit(h).alias("head"), F.slice(c, 16 * h + 1, 16).alias("part")) for h in range(4)])
-    qs = _queries(spark, sf_dir).select("query_id", F.inline(slots("query"))).withColumnRenamed("part", "query")
     keys = vectors(spark, sf_dir).select("id", F.inline(slots("key"))).withColumnRenamed("part", "key").withColumnRenamed("head", "key_head")
-    scored = keys.join(F.broadcast(qs), F.col("head") == F.col("key_head")).select("query_id", "head", "id", v.scaled_dot(F.col("query"), F.col("key")).alias("score"))
+    scored = None
+    for block in retrieval.query_blocks(_queries(spark, sf_dir)):
+        qs = block.select("query_id", F.inline(slots("query"))).withColumnRenamed("part", "query")
+        part = keys.join(F.broadcast(qs), F.col("head") == F.col("key_head")).select("query_id", "head", "id", v.scaled_dot(F.col("query"), F.col("key")).alias("score"))
+        scored = part if scored is None else scored.unionByName(part)
     return _rounded(retrieval.pooled(scored))
 
 
