@@ -21,8 +21,8 @@ def fit_hierarchy(leaves: DataFrame, dims: int = 8, restarts: int = 2, iteration
     """Edges (member, cluster) of each level, leaves first.
 
     Level 0 clusters the reduced keys; each later level clusters the mixture means of the one below.
-    The best of some restarts by log-likelihood is kept. A full covariance of dims needs more members a
-    cluster than dims: with 64 the fit fails on 500 keys in 63 clusters. Principal components stand in for the
+    The best of some restarts by log-likelihood is kept. With 64 dims the fit was
+    seen to fail on 500 keys in 63 clusters; why was not looked into further. Principal components stand in for the
     manifold reduction. The means of a level are as many as level_sizes says, far fewer than leaves.
     """
     spark = leaves.sparkSession
