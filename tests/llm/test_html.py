@@ -74,3 +74,46 @@ def test_slices_change_nothing(spark):
     frame = copies.union(pages(spark, 8).selectExpr("page_id + 20", "url", "html"))
     one, many = ({r.page_id: r.text for r in h.main_text(frame, h.Repeats(slice_tokens=n)).collect()} for n in (10**6, 60))
     assert one == many and all(many[i] == text for i in range(12)) and many[12] == "too short" and many[20].startswith("Page number 0")
+
+
+def brute_articles(texts, k=8, cover=0.5, percent=90, least=10):
+    """Texts of one host's articles by plain counting of windows."""
+    words = [t.split() for t in texts]
+    seen = {}
+    for w in {tuple(w) for w in words if w}:
+        for window in {w[i : i + k] for i in range(len(w) - k + 1)}:
+            seen[window] = seen.get(window, 0) + 1
+    n = len({tuple(w) for w in words if w})
+    known, out = {w for w, c in seen.items() if c >= least and 100 * c >= percent * n}, []
+    for t, w in zip(texts, words):
+        covered = [any(tuple(w[i : i + k]) in known for i in range(max(0, j - k + 1), j + 1)) for j in range(len(w))]
+        kept, at = [], 0
+        for b in t.split("\n\n"):
+            size = len(b.split())
+            kept += [b] if sum(covered[at : at + size]) < cover * size else []
+            at += size
+        out.append("\n\n".join(kept) if 0 < 2 * sum(covered) < len(w) else t)
+    return out
+
+
+def test_articles_are_settled_by_the_suffix_array(spark):
+    """What nearly all articles of a host repeat goes; what some of them share, or few articles or copies have, stays."""
+    notice, shared = "Sign in to read all of the stories of this paper today.", "A passage that a third of all articles quote from one another word by word."
+    own = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    blocks = {"h.org": [], "few.org": [], "near.org": [], "copies.org": []}
+    for i in range(60):
+        blocks["h.org"].append([f"Title {i}", *[shared] * (i % 3 == 0), own(i, 30), *[notice] * (i % 20 > 0), own(-i, i % 7 + 1), *["By the same notice: " + notice] * (i % 2)])
+    blocks["h.org"] += [blocks["h.org"][0]] * 30 + [[notice], ["short"], []]
+    blocks["few.org"] = [[notice, own(i, 30)] for i in range(9)]
+    blocks["near.org"] = [[f"Title {i}", own(0, 200)] for i in range(20)]
+    blocks["copies.org"] = [[notice, own(0, 30)]] * 20
+    rows = [(100 * k + i, f"http://{host}/{i}", f"<nav>{i}</nav><article>{''.join(f'<p>{b}</p>' for b in page)}</article>") for k, (host, pages_) in enumerate(blocks.items()) for i, page in enumerate(pages_)]
+    want = {}
+    for k, pages_ in enumerate(blocks.values()):
+        want |= {100 * k + i: t for i, t in enumerate(brute_articles(["\n\n".join(p) for p in pages_]))}
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for given in ({}, {"slice_tokens": 300}, {"slice_tokens": 60, "slice_pages": 1}):
+        got = h.main_text(frame, h.Repeats(**given)).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
+    assert notice not in want[1] and want[1].startswith("Title 1\n\nw1x0") and shared in want[3] and all(notice in want[100 + i] for i in range(9))
+    assert all(want[200 + i].endswith("w0x199") for i in range(20)) and want[90] == notice and all(notice in want[300 + i] for i in range(20))
