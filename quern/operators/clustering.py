@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators import mixtures
+
 
 def level_sizes(leaves: int, levels: int = 2) -> list[int]:
     """Clusters of level i, always from the number of leaves: ceil(N ** ((levels - i) / (levels + 1)))."""
@@ -21,19 +21,17 @@ def fit_hierarchy(leaves: DataFrame, dims: int = 8, restarts: int = 2, iteration
     """Edges (member, cluster) of each level, leaves first.
 
     Level 0 clusters the reduced keys; each later level clusters the mixture means of the one below.
-    The best of some restarts by log-likelihood is kept. With 64 dims the fit was
-    seen to fail on 500 keys in 63 clusters; why was not looked into further. Principal components stand in for the
+    The best of some restarts by log-likelihood is kept. Principal components stand in for the
     manifold reduction. The means of a level are as many as level_sizes says, far fewer than leaves.
     """
     spark = leaves.sparkSession
     data = leaves.select("id", array_to_vector("key").alias("raw"))
-    reduced = PCA(k=dims, inputCol="raw", outputCol="x").fit(data).transform(data).select("id", "x").persist()
-    out, now, n = [], reduced, reduced.count()
+    out, now, n = [], PCA(k=dims, inputCol="raw", outputCol="x").fit(data).transform(data).select("id", vector_to_array("x").alias("x")), leaves.count()
+    members = n
     for k in level_sizes(n, levels):
-        k = max(2, min(k, now.count() - 1))
-        models = [GaussianMixture(k=k, featuresCol="x", predictionCol="cluster", maxIter=iterations, seed=seed + r).fit(now) for r in range(restarts)]
-        model = max(models, key=lambda m: m.summary.logLikelihood)
-        out.append(model.transform(now).select(F.col("id").alias("member"), F.col("cluster").cast("bigint").alias("cluster")))
+        k = max(2, min(k, members - 1))
+        edges, means = mixtures.fit(now, k, iterations, restarts, seed)
+        out.append(edges.select(F.col("id").alias("member"), "cluster"))
         # As many means as clusters, far fewer than leaves.
-        now = spark.createDataFrame([(i, Vectors.dense(g.mean.toArray())) for i, g in enumerate(model.gaussians)], ["id", "x"])
+        now, members = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(means)], "id bigint, x array<double>"), k
     return out
