@@ -31,13 +31,19 @@ def scaled_dot(a: Column, b: Column) -> Column:
 def layer_norm(a: Column) -> Column:
     """Zero mean, unit variance, 1e-5 under the root, no scale or shift.
 
-    The sums are bound to a lambda's variable, so they are taken once and not for each element.
+    The mean is taken off before squares are summed, so a large mean costs no digits. What is summed is
+    bound to a lambda's variable, so it is taken once and not for each element.
     """
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
     n = F.size(a).cast("double")
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-    sums = F.aggregate(a, start, lambda t, x: F.struct((t["s"] + x).alias("s"), (t["q"] + x * x).alias("q")))
-    scaled = F.transform(F.array(sums), lambda t: F.transform(a, lambda x: (x - t["s"] / n) / F.sqrt(t["q"] / n - (t["s"] / n) * (t["s"] / n) + 1e-5)))
-    return F.element_at(scaled, 1)
+    centred = once(F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n, lambda mean: F.transform(a, lambda x: x - mean))
+    return once(centred, lambda c: once(F.sqrt(dot(c, c) / n + 1e-5), lambda root: F.transform(c, lambda x: x / root)))
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """Half up; what is negative and rounds to zero keeps its sign, as in SQL engines that round doubles."""
+    r = F.round(c, digits)
+    return F.when((r == 0) & (c < 0), F.lit(-0.0)).otherwise(r)
 
 
 def rescaled(score: Column, size: Column | int, scale: float = 100.0) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.compat import shared_dir
+from quern.functions import vectors as v
 from quern.operators import retrieval
 from quern.plans.episode_queries import CONVERTED, _converted
 from quern.plans.fixtures import HIERARCHY, VECTORS, hierarchy, table, vectors
@@ -31,7 +32,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def bundle_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _stored(spark, sf_dir)
     both = found["leaves"].join(found["edges"], "id")
-    return both.select("id", "inter_id", "root_id", F.round(F.col("key")[0], 6).alias("key_0"), F.round(F.col("value")[0], 6).alias("value_0"), F.size("key").alias("dims"))
+    return both.select("id", "inter_id", "root_id", v.rounded(F.col("key")[0], 6).alias("key_0"), v.rounded(F.col("value")[0], 6).alias("value_0"), F.size("key").alias("dims"))
 
 
 @query(f"WITH {VECTORS}, {HIERARCHY} SELECT 'leaves' AS part, count(*) AS n FROM vectors UNION ALL SELECT 'inter', count(DISTINCT inter_id) FROM edges UNION ALL SELECT 'root', count(DISTINCT root_id) FROM edges")
@@ -46,7 +47,7 @@ def rows_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     keyed = bundles.with_vectors(docs, own.withColumnRenamed("key", "vector"), "doc_id", "key")
     both = bundles.with_vectors(keyed, own.select("id", F.array(F.col("key")[0] + F.col("key")[1]).alias("vector")), "doc_id", "value")
-    return both.select("doc_id", "lang", F.round(F.col("key")[0], 6).alias("key_0"), F.round(F.col("value")[0], 6).alias("value_0"))
+    return both.select("doc_id", "lang", v.rounded(F.col("key")[0], 6).alias("key_0"), v.rounded(F.col("value")[0], 6).alias("value_0"))
 
 
 @query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id >= 100 AND vec_id < 350")

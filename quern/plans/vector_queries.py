@@ -26,7 +26,7 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, c: str = "score") -> DataFrame:
-    return df.withColumn(c, F.round(c, 6))
+    return df.withColumn(c, v.rounded(F.col(c), 6))
 
 
 @query(f"WITH {VECTORS}, {QUERIES}, {SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scores) SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 16")
@@ -41,7 +41,7 @@ def _centroids_sql(c: str) -> str:
 @query(f"WITH {VECTORS}, {HIERARCHY}, c AS {_centroids_sql('inter_id')} SELECT id, list_transform(key, lambda x: round(x, 6)) AS key, (SELECT count(*) FROM edges e WHERE e.inter_id = c.id) AS members FROM c")
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = vectors(spark, sf_dir)
-    return retrieval.centroids(leaves, hierarchy(leaves), "inter_id").withColumn("key", F.transform("key", lambda x: F.round(x, 6)))
+    return retrieval.centroids(leaves, hierarchy(leaves), "inter_id").withColumn("key", F.transform("key", lambda x: v.rounded(x, 6)))
 
 
 @query(
@@ -124,13 +124,13 @@ def acc_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {VECTORS}, n AS (SELECT id, list_transform(key, lambda x: x - list_avg(key)) AS c FROM vectors) SELECT id, list_transform(c, lambda x: round(x / sqrt(list_inner_product(c, c) / 64 + 1e-5), 5)) AS key FROM n")
 def layer_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).select("id", F.transform(v.layer_norm(F.col("key")), lambda x: F.round(x, 5)).alias("key"))
+    return vectors(spark, sf_dir).select("id", F.transform(v.layer_norm(F.col("key")), lambda x: v.rounded(x, 5)).alias("key"))
 
 
 @query(f"WITH {VECTORS}, {QUERIES}, {SCORES} SELECT query_id, id, round(score / 8 - ln((SELECT count(*) FROM vectors)) + ln(100), 6) AS score FROM scores")
 def rescaled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = vectors(spark, sf_dir).agg(F.count("*").alias("n"))
-    return _scores(spark, sf_dir).join(F.broadcast(n)).select("query_id", "id", F.round(v.rescaled(F.col("score") / 8, F.col("n")), 6).alias("score"))
+    return _scores(spark, sf_dir).join(F.broadcast(n)).select("query_id", "id", v.rounded(v.rescaled(F.col("score") / 8, F.col("n")), 6).alias("score"))
 
 
 @query("SELECT vec_id AS id, label FROM embeddings ORDER BY md5('11|' || vec_id), vec_id LIMIT 300")
@@ -170,7 +170,7 @@ def gmm_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A linear projection of every key with fixed weights."""
     weights = [[(i + 1) % 3, (i + 2) % 5] for i in range(64)]
-    return vectors(spark, sf_dir).select("id", F.transform(v.project(F.col("key"), weights, [0, 1]), lambda x: F.round(x, 5)).alias("projected"))
+    return vectors(spark, sf_dir).select("id", F.transform(v.project(F.col("key"), weights, [0, 1]), lambda x: v.rounded(x, 5)).alias("projected"))
 
 
 @query()

@@ -47,3 +47,15 @@ def test_mixtures_of_equal_points(spark):
     labels, means = mixtures.fit(points, 6, 10, 2, 7)
     found = {(r["id"] % 2, r["cluster"]) for r in labels.collect()}
     assert labels.count() == 300 and np.isfinite(means).all() and {a for a, _ in found} == {0, 1} and len({c for _, c in found}) == len(found)
+
+
+def test_layer_norm_keeps_digits_and_signs(spark):
+    from quern.functions import vectors as v
+
+    keys = [[1e8 + 1, 1e8 + 2, 1e8 + 4], [1.0, 0.0, -1e-7], [0.0, 0.0, 0.0]]
+    rows = spark.createDataFrame(list(enumerate(keys)), "id long, key array<double>").select("id", F.transform(v.layer_norm(F.col("key")), lambda x: v.rounded(x, 5)).alias("key"))
+    for r in rows.collect():
+        x = np.array(keys[r.id]) - np.mean(keys[r.id])
+        assert np.allclose(r.key, x / np.sqrt((x**2).mean() + 1e-5), atol=1e-5)
+    got = spark.createDataFrame([(x,) for x in (-1e-7, 1e-7, -0.6e-5)], "x double").select(v.rounded(F.col("x"), 5).alias("x")).collect()
+    assert [math.copysign(1, r.x) for r in got] == [-1, 1, -1] and [abs(r.x) for r in got] == [0, 0, 1e-5]
