@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.operators import actions, episodes, retrieval, screens, stats, summary
 from quern.plans.episode_queries import CONVERTED, QKV, _converted, _valid
-from quern.plans.fixtures import STEPS, VECTORS, steps, table
+from quern.plans.fixtures import STEPS, VECTORS, steps, table, vectors
 from quern.plans.registry import query
-from quern.plans.vector_queries import QUERIES, SCORES, _queries, _scores
+from quern.plans.vector_queries import QUERIES, SCORES, _queries
 
 #: Some descriptions hold no action, some are empty (then A stands in), some rows have no type.
 MARKED = f"{QKV}, q AS (SELECT *, synthetic = 'no' AND step_index % 13 = 0 AS bad FROM u)"
@@ -107,9 +107,9 @@ LAYERED = f"{VECTORS}, {QUERIES}, {SCORES}, layered AS (SELECT query_id // 500 A
 SELECT round(avg(a1), 6) AS acc1, round(avg(a5), 6) AS acc5, round(avg(c), 6) AS confidence FROM b"""
 )
 def layer_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = _scores(spark, sf_dir).withColumn("batch", F.floor(F.col("query_id") / 500))
-    layers = scores.select("batch", "query_id", "id", F.posexplode(F.array("score", F.col("score") / 2 + F.col("id") % 7 / 10.0)).alias("layer", "score"))
-    found = retrieval.layered_accuracy(layers, _queries(spark, sf_dir).select("query_id", F.col("query_id").alias("id")))
+    queries = _queries(spark, sf_dir).withColumn("batch", F.floor(F.col("query_id") / 500))
+    keys = vectors(spark, sf_dir).withColumn("biases", F.array(F.lit(0.0), F.col("id") % 7 / 10.0))
+    found = retrieval.layered_accuracy(queries, keys, [1.0, 0.5], queries.select("query_id", F.col("query_id").alias("id")))
     return found.select(*[F.round(c, 6).alias(c) for c in ("acc1", "acc5", "confidence")])
 
 

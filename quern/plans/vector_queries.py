@@ -78,8 +78,8 @@ def candidate_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {VECTORS}, {QUERIES}, {SCORES}, m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS mx FROM scores) SELECT query_id, round(sum(exp(score - mx) * (id % 10)) / sum(exp(score - mx)), 6) AS value FROM m GROUP BY query_id")
 def softmax_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three parts, merged; the SQL takes one softmax over all."""
-    parts = _scores(spark, sf_dir).withColumn("part", F.col("id") % 3).withColumn("value", (F.col("id") % 10).cast("double"))
-    return _rounded(retrieval.merged_attention(parts), "value")
+    keys = vectors(spark, sf_dir).withColumns({"part": F.col("id") % 3, "value": (F.col("id") % 10).cast("double")})
+    return _rounded(retrieval.merged_attention(_queries(spark, sf_dir), keys), "value")
 
 
 @query(
@@ -89,14 +89,7 @@ SELECT query_id, id, round(sum(prob), 6) AS score FROM p GROUP BY query_id, id""
 )
 def score_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Softmax of each of four heads, summed for each key."""
-    slots = lambda c: F.array(*[F.struct(F.lit(h).alias("head"), F.slice(c, 16 * h + 1, 16).alias("part")) for h in range(4)])
-    keys = vectors(spark, sf_dir).select("id", F.inline(slots("key"))).withColumnRenamed("part", "key").withColumnRenamed("head", "key_head")
-    scored = None
-    for block in retrieval.query_blocks(_queries(spark, sf_dir)):
-        qs = block.select("query_id", F.inline(slots("query"))).withColumnRenamed("part", "query")
-        part = keys.join(F.broadcast(qs), F.col("head") == F.col("key_head")).select("query_id", "head", "id", v.scaled_dot(F.col("query"), F.col("key")).alias("score"))
-        scored = part if scored is None else scored.unionByName(part)
-    return _rounded(retrieval.pooled(scored))
+    return _rounded(retrieval.pooled(_queries(spark, sf_dir), vectors(spark, sf_dir), 4))
 
 
 @query(
@@ -116,7 +109,7 @@ def consistency_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS queries, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS acc1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS acc5 FROM t JOIN r USING (query_id, id)"""
 )
 def acc_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = retrieval.best(_scores(spark, sf_dir), 5)
+    ranked = retrieval.flat_topk(_queries(spark, sf_dir), vectors(spark, sf_dir), 5)
     n = vectors(spark, sf_dir).agg(F.count("*").alias("n"))
     truth = _queries(spark, sf_dir).join(F.broadcast(n)).select("query_id", ((F.col("query_id") + F.floor(F.col("query_id") / 100)) % F.col("n")).alias("id"))
     return _rounded(_rounded(retrieval.accuracy(ranked, truth), "acc1"), "acc5")

@@ -59,3 +59,58 @@ def test_layer_norm_keeps_digits_and_signs(spark):
         assert np.allclose(r.key, x / np.sqrt((x**2).mean() + 1e-5), atol=1e-5)
     got = spark.createDataFrame([(x,) for x in (-1e-7, 1e-7, -0.6e-5)], "x double").select(v.rounded(F.col("x"), 5).alias("x")).collect()
     assert [math.copysign(1, r.x) for r in got] == [-1, 1, -1] and [abs(r.x) for r in got] == [0, 0, 1e-5]
+
+
+def _dot(a, b):
+    if a is None or b is None or len(a) != len(b) or None in a or None in b:
+        return None
+    total = 0.0
+    for x, y in zip(a, b):
+        total += x * y
+    return total
+
+
+def test_blocks_equal_plain_loops(spark, monkeypatch):
+    from quern.operators import blocks, retrieval
+
+    monkeypatch.setattr(blocks, "QUERY_ROWS", 3)
+    monkeypatch.setattr(blocks, "KEY_ROWS", 16)
+    rng = random.Random(8)
+    vector = lambda: [rng.choice((-1.0, -0.25, 0.1, 0.3, 2.0)) for _ in range(4)]
+    common = vector()
+    keys = [(i, common if i % 3 == 0 else vector(), i % 4, float(i % 7)) for i in range(200)] + [(200, None, 1, 1.0), (201, [1.0, None, 2.0, 3.0], 1, 1.0), (202, [1.0], 1, 1.0)]
+    asked = [(i, vector()) for i in range(10)] + [(10, None)]
+    queries = spark.createDataFrame(asked, "query_id long, query array<double>")
+    table = spark.createDataFrame(keys, "id long, key array<double>, part long, value double").repartition(5)
+
+    want = {(a, i): _dot(q, k) for a, q in asked for i, k, _, _ in keys}
+    assert {(r.query_id, r.id): r.score for r in retrieval.scores(queries, table.select("id", "key")).collect()} == want
+    for n in (1, 5, 150):
+        got = {(r.query_id, r["rank"]): r.id for r in retrieval.flat_topk(queries, table.select("id", "key"), n).collect()}
+        for a, _ in asked:
+            order = sorted((i for i, *_ in keys), key=lambda i: (want[a, i] is None, -(want[a, i] or 0), i))[:n]
+            assert [got[a, r + 1] for r in range(n)] == order
+    for r in retrieval.merged_attention(queries, table).collect():
+        told = [(want[r.query_id, i], value) for i, _, _, value in keys if want[r.query_id, i] is not None]
+        assert r.value is None if not told else math.isclose(r.value, sum(math.exp(s) * x for s, x in told) / sum(math.exp(s) for s, _ in told))
+    heads = {}
+    for a, q in asked:
+        for h in (0, 1):
+            part = {i: _dot(q[2 * h : 2 * h + 2], k[2 * h : 2 * h + 2]) / math.sqrt(2) for i, k, _, _ in keys if want[a, i] is not None}
+            total = sum(map(math.exp, part.values()))
+            for i, s in part.items():
+                heads[a, i] = heads.get((a, i), 0) + math.exp(s) / total
+    pooled = {(r.query_id, r.id): r.score for r in retrieval.pooled(queries, table.select("id", "key"), 2).collect()}
+    assert pooled.keys() == want.keys() and all(s is None if k not in heads else math.isclose(s, heads[k]) for k, s in pooled.items())
+
+
+def test_no_row_a_pair_is_shuffled(spark):
+    """A block passes on its share: of 40 x 4,000 pairs, no more rows than its best of each query."""
+    from quern.operators import retrieval
+
+    keys = spark.range(4000).select("id", F.array(F.sin(F.col("id").cast("double")), F.cos(F.col("id").cast("double"))).alias("key"))
+    queries = keys.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("key").alias("query"))
+    found = retrieval.flat_topk(queries, keys, 5)
+    assert found.count() == 200
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
