@@ -164,13 +164,22 @@ def is_machine_id(c: Column) -> Column:
     return (t != "") & (t.rlike(MACHINE_ID) | ((F.length(t) >= 20) & t.rlike("[0-9]") & t.contains("-") & ~t.rlike(WS)))
 
 
-def compact_text(c: Column) -> Column:
-    """Without private-use characters and icon names, collapsed, capped; null if nothing or an id is left."""
-    t = collapse(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, " ", " "), PRIVATE_USE, ""), ICONS, " "))
+def readable(c: Column) -> Column:
+    """Without private-use characters and icon names, collapsed; null stays null."""
+    return F.when(c.isNotNull(), collapse(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "\u00a0", " "), PRIVATE_USE, ""), ICONS, " ")))
+
+
+def compacted(t: Column) -> Column:
+    """A readable text, capped; null if it is empty or an id. t is named often, so it had better be a column."""
     capped = F.when(F.length(t) > MAX_COMPACT, F.concat(F.rtrim(F.left(t, F.lit(MAX_COMPACT - 1)), F.lit(" .,;")), F.lit("..."))).otherwise(t)
     return F.when((t != "") & ~is_machine_id(t), capped)
 
 
+def compact_text(c: Column) -> Column:
+    """Without private-use characters and icon names, collapsed, capped; null if nothing or an id is left."""
+    return F.element_at(F.transform(F.array(readable(c)), compacted), 1)
+
+
 def short_class(c: Column) -> Column:
     return F.when(F.btrim(c) != "", F.substring_index(c, ".", -1))
 
@@ -182,13 +191,15 @@ GENERIC_TOKENS = (
 ).split()
 
 
+#: A word that is neither generic nor a number.
+OWN_WORD = rf"(?<![a-z0-9])(?!(?:{'|'.join(GENERIC_TOKENS)}|[0-9]+)(?![a-z0-9]))[a-z0-9]+"
+
+
 def is_semantic_resource(c: Column) -> Column:
     """A resource name with a word of its own after its last slash."""
     suffix = F.lower(F.btrim(F.substring_index(c, "/", -1)))
-    generic = F.array(*[F.lit(t) for t in GENERIC_TOKENS])
-    own = F.exists(F.filter(F.split(suffix, "[^a-z0-9]+"), lambda t: t != ""), lambda t: ~F.array_contains(generic, t) & ~t.rlike("^[0-9]+$"))
     named = suffix.rlike("[a-z]") & ~suffix.isin("decor_view", "navigationbarbackground") & ~suffix.contains("resource_name_obfuscated") & ~suffix.rlike("^(input_method_nav|key_pos_|navigationbar)")
-    return F.coalesce(named & own, F.lit(False))
+    return F.coalesce(named & suffix.rlike(OWN_WORD), F.lit(False))
 
 
 #: Markers of the sections of a question.

@@ -41,15 +41,26 @@ def _axis(center: Column, span: Column, extent: Column, low: str, mid: str, high
 
 def regions(elements: DataFrame) -> DataFrame:
     """Adds region, one of nine fields, a full row or column, or the full screen; null without an extent."""
-    extent = elements.groupBy("screen").agg(F.max("x_max").alias("_w"), F.max("y_max").alias("_h"))
-    rows = elements.join(extent, "screen")
+    w = Window.partitionBy("screen")
+    return with_region(elements.withColumns({"_w": F.max("x_max").over(w), "_h": F.max("y_max").over(w)}))
+
+
+def with_region(rows: DataFrame) -> DataFrame:
+    """Adds region of boxes on a screen of the extent _w, _h, and drops these."""
     d = lambda c: F.col(c).cast("double")
-    across = _axis((d("x_min") + d("x_max")) / 2, d("x_max") - d("x_min"), d("_w"), "left", "center", "right")
-    down = _axis((d("y_min") + d("y_max")) / 2, d("y_max") - d("y_min"), d("_h"), "top", "middle", "bottom")
-    full = (across == "full").cast("int") + (down == "full").cast("int") * 2
-    named = F.when(full == 3, "full-screen").when(full == 1, F.concat(down, F.lit("-full"))).when(full == 2, F.concat(F.lit("full-"), across)).otherwise(F.concat(down, F.lit("-"), across))
+    rows = rows.withColumns({
+        "_across": _axis((d("x_min") + d("x_max")) / 2, d("x_max") - d("x_min"), F.when(F.col("_w") > 0, d("_w")), "left", "center", "right"),
+        "_down": _axis((d("y_min") + d("y_max")) / 2, d("y_max") - d("y_min"), F.when(F.col("_h") > 0, d("_h")), "top", "middle", "bottom"),
+    })
+    across, down = F.col("_across"), F.col("_down")
+    named = (
+        F.when((across == "full") & (down == "full"), "full-screen")
+        .when(across == "full", F.concat(down, F.lit("-full")))
+        .when(down == "full", F.concat(F.lit("full-"), across))
+        .otherwise(F.concat(down, F.lit("-"), across))
+    )
     ok = (F.col("_w") > 0) & (F.col("_h") > 0) & (F.col("x_max") > F.col("x_min")) & (F.col("y_max") > F.col("y_min"))
-    return rows.withColumn("region", F.when(ok, F.when(ok, named))).drop("_w", "_h")
+    return rows.withColumn("region", F.when(ok, named)).drop("_w", "_h", "_across", "_down")
 
 
 #: Packages of the system and of keyboards.

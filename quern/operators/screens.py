@@ -5,14 +5,15 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.compat import or_default
-from quern.functions.text import collapse, compact_text, is_semantic_resource, q_sections, short_class
-from quern.operators.geometry import main_package, package_kind, regions
+from quern.functions.text import collapse, compact_text, compacted, is_semantic_resource, q_sections, readable, short_class
+from quern.operators.geometry import package_kind, with_region
 
 TEXTS = ("text", "content_description", "hint_text")
 FLAGS = ("is_checked", "is_clickable", "is_editable", "is_scrollable", "is_selected")
@@ -41,14 +42,17 @@ def _is(c: str) -> Column:
 
 def informative() -> Column:
     """Whether an element tells something: seven rules, in order."""
-    some_text = F.coalesce(*[compact_text(F.col(c)) for c in TEXTS]).isNotNull()
-    own_name = is_semantic_resource(F.col("resource_name"))
-    body = compact_text(F.col("text")).isNotNull()
-    full = collapse(F.col("text"))
+    return _informative([compact_text(F.col(c)) for c in TEXTS], is_semantic_resource(F.col("resource_name")), collapse(F.col("text")))
+
+
+def _informative(texts: list[Column], own_name: Column, full: Column) -> Column:
+    """texts: the compact ones of TEXTS, own_name: a semantic resource, full: the whole text collapsed."""
+    body, description, hint = texts
+    some_text = F.coalesce(*texts).isNotNull()
     words = F.size(F.regexp_extract_all(full, F.lit("[A-Za-z0-9]+"), F.lit(0)))
     wordy = (words >= 10) | ((words >= 7) & full.rlike("[a-z]") & full.rlike("[.,;:]$"))
     flagged = F.greatest(*[_is(c).cast("int") for c in FLAGS]) == 1
-    static = body & (short_class(F.col("class_name")) == "TextView") & ~flagged & compact_text(F.col("content_description")).isNull() & compact_text(F.col("hint_text")).isNull() & ~own_name & ((F.length(full) > MAX_STATIC) | wordy)
+    static = body.isNotNull() & (short_class(F.col("class_name")) == "TextView") & ~flagged & description.isNull() & hint.isNull() & ~own_name & ((F.length(full) > MAX_STATIC) | wordy)
     generic = short_class(F.col("class_name")).isin(*GENERIC_CLASSES) & ~some_text & ~own_name
     return (
         F.when(F.coalesce(static, F.lit(False)), False)
@@ -102,22 +106,43 @@ def quoted(c: Column) -> Column:
 
 def with_arguments(elements: DataFrame) -> DataFrame:
     """Adds args, what a compact line says of an element: texts, class, place, flags, package if not the main one."""
-    placed = regions(elements).join(main_package(elements).select("screen", F.col("package").alias("_main")), "screen", "left")
-    part = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"{name}="), quoted(c)))
+    return _with_arguments(_with_compact(elements).withColumn("_shown", F.lit(True))).drop("_shown")
+
+
+def _with_compact(elements: DataFrame) -> DataFrame:
+    """Adds the compact texts as _c_ columns: each text is cleaned once, however often a rule asks for it."""
+    rows = elements.withColumns({f"_c_{c}": readable(F.col(c)) for c in TEXTS})
+    return rows.withColumns({f"_c_{c}": compacted(F.col(f"_c_{c}")) for c in TEXTS})
+
+
+def _with_arguments(rows: DataFrame) -> DataFrame:
+    """The rows of _with_compact that are _shown, with args; what isn't shown has no part in extent and main package.
+
+    Windows by screen serve both, so the rows are dealt out once. The filter stands behind a window, or
+    it would be evaluated again below every column.
+    """
+    w = Window.partitionBy("screen")
     kind = package_kind(F.col("package"))
+    rows = rows.withColumn("_kind", kind).withColumn("_own", F.col("_shown") & (F.col("package") != "") & F.col("_kind").isNull())
+    rows = rows.withColumn("_n", F.count(F.when(F.col("_own"), 1)).over(Window.partitionBy("screen", "package")))
+    seen = lambda c: F.max(F.when(F.col("_shown"), F.col(c))).over(w)
+    main = F.min_by("package", F.when(F.col("_own"), F.struct(-F.col("_n"), F.col("package")))).over(w)
+    placed = with_region(rows.withColumns({"_w": seen("x_max"), "_h": seen("y_max"), "_main": main}).filter("_shown"))
+    part = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"{name}="), quoted(c)))
     other = F.when((F.col("package") != "") & ~F.col("package").eqNullSafe(F.col("_main")), F.col("package"))
-    args = [*[part(c, compact_text(F.col(c))) for c in TEXTS], part("class_name", short_class(F.col("class_name"))), part("loc", F.col("region"))]
-    args += [F.when(_is(c), c) for c in FLAGS] + [F.when(~F.coalesce(F.col("is_enabled"), F.lit(True)), "disabled"), part("package_name", F.coalesce(kind, other))]
-    return placed.withColumn("args", F.array_compact(F.array(*args))).drop("_main")
+    args = [*[part(c, F.col(f"_c_{c}")) for c in TEXTS], part("class_name", short_class(F.col("class_name"))), part("loc", F.col("region"))]
+    args += [F.when(_is(c), c) for c in FLAGS] + [F.when(~F.coalesce(F.col("is_enabled"), F.lit(True)), "disabled"), part("package_name", F.coalesce("_kind", other))]
+    return placed.withColumn("args", F.array_compact(F.array(*args))).drop("_main", "_kind", "_own", "_n", *[f"_c_{c}" for c in TEXTS])
 
 
 def compact_listing(elements: DataFrame, keep: Column | None = None) -> DataFrame:
     """(screen, idx, line): informative elements, the first of those that read alike; keep: stays anyway."""
-    forced = F.lit(False) if keep is None else keep
-    rows = with_arguments(elements.filter(informative() | forced)).filter(F.size("args") > 0)
-    first = F.row_number().over(Window.partitionBy("screen", "args").orderBy("idx")) == 1
-    rows = rows.withColumn("_first", first).filter(F.col("_first") | forced)
-    return rows.select("screen", "idx", F.concat(F.lit("UI element "), F.col("idx").cast("string"), F.lit(": UIElement("), F.array_join("args", ", "), F.lit(")")).alias("line"))
+    rows = _with_compact(elements).withColumns({"_name": is_semantic_resource(F.col("resource_name")), "_full": collapse(F.col("text")), "_forced": F.coalesce(F.lit(False) if keep is None else keep, F.lit(False))})
+    rows = rows.withColumn("_shown", F.coalesce(_informative([F.col(f"_c_{c}") for c in TEXTS], F.col("_name"), F.col("_full")), F.lit(False)) | F.col("_forced"))
+    rows = _with_arguments(rows).select("screen", "idx", "_forced", F.when(F.size("args") > 0, F.array_join("args", ", ")).alias("_said"))
+    first = F.row_number().over(Window.partitionBy("screen", "_said").orderBy("idx")) == 1
+    kept = rows.withColumn("_first", first).filter(F.when(F.col("_first") | F.col("_forced"), F.col("_said").isNotNull()))
+    return kept.select("screen", "idx", F.concat(F.lit("UI element "), F.col("idx").cast("string"), F.lit(": UIElement("), F.col("_said"), F.lit(")")).alias("line"))
 
 
 def listing_text(lines: DataFrame) -> DataFrame:
@@ -154,36 +179,46 @@ _LINE = re.compile(r"^\s*UI\s+element\s+(\d+)\s*:\s*UIElement\((.*)\)\s*$", re.I
 _FIELD = re.compile(r"""(\w+)=('(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|\w+\([^()]*\)|\{[^{}]*\}|[^,]+)|(\w+)""")
 ELEMENT = "idx bigint, text string, content_description string, hint_text string, class_name string, package string, resource_name string, is_checked boolean, is_clickable boolean, is_editable boolean, is_scrollable boolean, is_selected boolean, is_enabled boolean"
 _NAMES = {"package_name": "package"}
+_FIELDS = tuple(x.split()[0] for x in ELEMENT.split(", "))[1:]
 
 
-def parsed_line(line: str | None) -> dict | None:
-    """Fields of one listing line, values by the safe literal parser; bare flags are true, "disabled" is not enabled."""
-    m = _LINE.match(line or "")
-    if not m:
-        return None
+@lru_cache(maxsize=1 << 16)
+def _values(body: str) -> tuple:
+    """Values of ELEMENT's fields, but idx, of what stands in a line's brackets. Lines of many screens read alike."""
     found: dict = {}
-    for name, value, flag in _FIELD.findall(m[2]):
+    for name, value, flag in _FIELD.findall(body):
         if flag:
             found[flag] = True
-            continue
-        try:
-            found[name] = ast.literal_eval(value)
-        except (SyntaxError, ValueError):
-            continue  # a nested element, such as a box
+        elif value[0] in "'\"" and "\\" not in value and value.isprintable() and value[0] == value[-1] and len(value) > 1:
+            found[name] = value[1:-1]  # no escapes, so the literal is what it shows
+        else:
+            try:
+                found[name] = ast.literal_eval(value)
+            except (SyntaxError, ValueError):
+                continue  # a nested element, such as a box
     if found.pop("disabled", False):
         found["is_enabled"] = False
     out = {_NAMES.get(k, k): v for k, v in found.items()}
-    return {"idx": int(m[1]), **{name: out.get(name) for name in (x.split()[0] for x in ELEMENT.split(", ")) if name != "idx"}}
+    return tuple(out.get(name) for name in _FIELDS)
+
+
+def parsed_line(line: str | None) -> dict | None:
+    """Fields of one listing line, values by the safe literal parser; bare flags are true, "disabled" is not enabled."""
+    m = _LINE.match(line or "")
+    return {"idx": int(m[1]), **dict(zip(_FIELDS, _values(m[2])))} if m else None
 
 
 def parse_listing(rows: DataFrame, column: str = "line") -> DataFrame:
     """Adds element, the fields of a listing line (null if it isn't one); Python's literals need Python's parser."""
+    kinds = [pa.int64(), *(pa.bool_() if x.split()[1] == "boolean" else pa.string() for x in ELEMENT.split(", ")[1:])]
 
-    @F.pandas_udf(ELEMENT)
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in ELEMENT.split(", ")]
+    @F.arrow_udf(ELEMENT)
+    def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        none = (None,) * len(kinds)
         for lines in batches:
-            yield pd.DataFrame([parsed_line(x) or dict.fromkeys(names) for x in lines], columns=names).astype({"idx": "Int64", **{n: "object" for n in names[1:]}})
+            matches = [_LINE.match(x or "") for x in lines.to_pylist()]
+            columns = zip(*[(int(m[1]), *_values(m[2])) if m else none for m in matches]) if matches else [()] * len(kinds)
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["idx", *_FIELDS])
 
     return rows.withColumn("element", parse(F.col(column))).withColumn("element", F.when(F.col("element.idx").isNotNull(), F.col("element")))
 

@@ -102,11 +102,14 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     (screen, idx, x_min, x_max, y_min, y_max, visible, clickable, editable, focused, enabled, package).
     """
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     x, y = (F.col("l_partkey") * 37) % 1000, (F.col("l_suppkey") * 91 + F.col("l_linenumber") * 13) % 2300
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("screen"),
-        (F.row_number().over(w) - 1).cast("bigint").alias("idx"),
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    # Numbered by the screen's own name, so that windows by screen after it find their rows together.
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "screen")
+    rows = rows.withColumn("idx", (F.row_number().over(Window.partitionBy("screen").orderBy(*order)) - 1).cast("bigint"))
+    return rows.select(
+        "screen",
+        "idx",
         x.alias("x_min"),
         (x + F.col("l_quantity").cast("bigint") * 12).alias("x_max"),
         y.alias("y_min"),

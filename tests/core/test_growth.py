@@ -114,3 +114,36 @@ def test_no_row_a_pair_is_shuffled(spark):
     assert found.count() == 200
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "zip_with" not in plan
+
+
+def test_listing_deals_its_rows_out_once(spark):
+    from quern.plans import registry
+
+    found = registry.queries()["compact_listing"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_listing_values_equal_literals(spark):
+    import ast
+
+    from quern.operators import screens
+
+    values = ["'a'", '"it\'s"', r"'it\'s'", r"'a\\b\n'", "'tab\there'", "''", "None", "'null'", "'a, b(c)'"]
+    lines = spark.createDataFrame([(i, f"UI element {i}: UIElement(text={v}, class_name='View', box=Box(x=1), is_clickable, disabled)") for i, v in enumerate(values)] + [(99, "UI element: no")], "i int, line string")
+    got = {r.i: r.element for r in screens.parse_listing(lines).collect()}
+    assert got.pop(99) is None
+    assert [(got[i].idx, got[i].text, got[i].class_name, got[i].is_clickable, got[i].is_enabled, got[i].is_selected) for i in range(len(values))] == [(i, ast.literal_eval(v), "View", True, False, None) for i, v in enumerate(values)]
+
+
+def test_own_words_of_a_resource(spark):
+    from quern.functions import text as t
+
+    def own(name):
+        words = [w for w in __import__("re").split("[^a-z0-9]+", name.split("/")[-1].strip(" ").lower()) if w]
+        return any(w not in t.GENERIC_TOKENS and not w.isdigit() for w in words)
+
+    rng = random.Random(2)
+    parts = ["btn", "btn2", "mybtn", "view", "views", "viewsx", "12", "12a", "send", "É", "é", "layout"]
+    names = sorted({"a/" + "".join(rng.choice(parts) + rng.choice(("_", "-", "", ".")) for _ in range(rng.randint(1, 4))) for _ in range(300)})
+    rows = spark.createDataFrame([(x,) for x in names], "s string").select("s", t.is_semantic_resource(F.col("s")).alias("own")).collect()
+    assert {r.s: r.own for r in rows} == {x: own(x) and bool(__import__("re").search("[a-z]", x.split("/")[-1].lower())) for x in names}
