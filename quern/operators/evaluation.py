@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def grams(text: Column, n: int) -> Column:
     """Lower-case alphanumeric n-grams of a text, as an array; words are parted by a blank."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
@@ -31,22 +34,48 @@ def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("f1", F.when(total > 0, 2 * F.col("precision") * F.col("recall") / total).otherwise(0.0)).drop("_np", "_nt")
 
 
-def rouge_l(pairs: DataFrame) -> DataFrame:
-    """(id, lcs, f1): longest common subsequence of words, by a fold over the predicted words.
+#: Words of the truth that one number holds a bit each of.
+LCS_BITS = 8192
 
-    The accumulator is one row of the usual table, so a pair costs words times words, in the JVM.
+
+def lcs_length(predicted: list[str], truth: list[str]) -> int:
+    """Length of the longest common subsequence: a column of the usual table is a number's bits, a step is one addition.
+
+    A zero bit is a rise of the column. Longer truths go block by block, with the carry of each step.
     """
-    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    start = lambda t: F.transform(t, lambda x: F.lit(0))
-    rows = pairs.select("id", words(F.col("predicted")).alias("p"), words(F.col("truth")).alias("t"))
+    common = set(predicted).intersection(truth)
+    steps, found = [w for w in predicted if w in common], 0
+    carries = [0] * len(steps)
+    for at in range(0, len(truth), LCS_BITS) if steps else ():
+        block, masks = truth[at : at + LCS_BITS], {}
+        for i, word in enumerate(block):
+            if word in common:
+                masks[word] = masks.get(word, 0) | 1 << i
+        n = len(block)
+        full = v = (1 << n) - 1
+        for j, word in enumerate(steps):
+            mask = masks.get(word, 0)
+            s = v + (v & mask) + carries[j]
+            carries[j] = s >> n
+            v = (s | v & ~mask) & full
+        found += n - v.bit_count()
+    return found
 
-    def step(row: Column, word: Column) -> Column:
-        cells = F.arrays_zip(row.alias("up"), F.concat(F.array(F.lit(0)), F.slice(row, F.lit(1), F.greatest(F.size(row) - 1, F.lit(0)))).alias("diag"), F.col("t").alias("w"))
-        return F.aggregate(cells, F.filter(F.array(F.lit(0)), lambda x: F.lit(False)), lambda out, c: F.concat(out, F.array(F.greatest(F.when(c["w"] == word, c["diag"] + 1).otherwise(c["up"]), F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0))))))
 
-    lcs = F.coalesce(F.try_element_at(F.aggregate(F.col("p"), start(F.col("t")), step), F.lit(-1)), F.lit(0)).cast("bigint")
-    total = F.size("p") + F.size("t")
-    return rows.select("id", lcs.alias("lcs"), F.when(total > 0, 2.0 * lcs / total).otherwise(0.0).alias("f1"))
+def rouge_l(pairs: DataFrame) -> DataFrame:
+    """(id, lcs, f1): longest common subsequence of words, by additions of long numbers in Arrow batches."""
+
+    @F.arrow_udf("lcs bigint, words bigint")
+    def measured(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        words = re.compile("[a-z0-9]+").findall
+        for predicted, truth in batches:
+            both = [(words(p), words(t)) for p, t in zip(predicted.to_pylist(), truth.to_pylist())]
+            columns = [lcs_length(p, t) for p, t in both], [len(p) + len(t) for p, t in both]
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], ["lcs", "words"])
+
+    lower = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    rows = pairs.select("id", measured(lower("predicted"), lower("truth")).alias("m")).select("id", "m.lcs", "m.words")
+    return rows.select("id", "lcs", F.when(F.col("words") > 0, 2.0 * F.col("lcs") / F.col("words")).otherwise(0.0).alias("f1"))
 
 
 def extracted_answers(text: Column) -> Column:

@@ -147,3 +147,29 @@ def test_own_words_of_a_resource(spark):
     names = sorted({"a/" + "".join(rng.choice(parts) + rng.choice(("_", "-", "", ".")) for _ in range(rng.randint(1, 4))) for _ in range(300)})
     rows = spark.createDataFrame([(x,) for x in names], "s string").select("s", t.is_semantic_resource(F.col("s")).alias("own")).collect()
     assert {r.s: r.own for r in rows} == {x: own(x) and bool(__import__("re").search("[a-z]", x.split("/")[-1].lower())) for x in names}
+
+
+def test_subsequences_of_long_texts(spark, monkeypatch):
+    from quern.operators import evaluation
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(row[k + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(6)
+    for bits in (1, 3, 64, 8192):
+        monkeypatch.setattr(evaluation, "LCS_BITS", bits)
+        for words in ("ab", "abcdefgh"):
+            for _ in range(20):
+                a, b = (rng.choices(words, k=rng.randint(0, 30)) for _ in "ab")
+                assert evaluation.lcs_length(a, b) == table(a, b)
+    a, b = (" ".join(rng.choices(["one", "Two", "three", "x4", "five"], k=9000)) for _ in "ab")  # too long for a table of cells in the JVM
+    rows = spark.createDataFrame([(1, a, b), (2, a, a), (3, None, a), (4, "", "!")], "id long, predicted string, truth string")
+    got = {r.id: (r.lcs, r.f1) for r in evaluation.rouge_l(rows).collect()}
+    monkeypatch.undo()
+    assert got[1][0] == evaluation.lcs_length(a.lower().split(), b.lower().split()) and got[2] == (9000, 1.0) and got[3] == (0, 0.0) and got[4] == (0, 0.0)
