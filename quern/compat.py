@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,11 +52,16 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is evaluated once, however often use names it: it is bound to a lambda's variable."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def or_default(c: Column, default: Column | str | None) -> Column:
-    """The value, or default where it is null or empty."""
+    """The value, or default where it is null or empty. The value is evaluated once."""
     if isinstance(default, str) and default == "":
         return F.coalesce(c, F.lit(""))
-    return F.coalesce(F.when(c != "", c), F.lit(default) if isinstance(default, str) or default is None else default)
+    return F.coalesce(F.try_element_at(F.filter(F.array(c), lambda x: x != ""), F.lit(1)), F.lit(default) if isinstance(default, str) or default is None else default)
 
 
 def hash_order(*cols: Column | str, seed: int = 0) -> Column:

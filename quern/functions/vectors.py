@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.compat import once
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -34,7 +36,6 @@ def layer_norm(a: Column) -> Column:
     The mean is taken off before squares are summed, so a large mean costs no digits. What is summed is
     bound to a lambda's variable, so it is taken once and not for each element.
     """
-    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
     n = F.size(a).cast("double")
     centred = once(F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n, lambda mean: F.transform(a, lambda x: x - mean))
     return once(centred, lambda c: once(F.sqrt(dot(c, c) / n + 1e-5), lambda root: F.transform(c, lambda x: x / root)))

@@ -24,10 +24,10 @@ SELECT doc_id, md5(c) AS clean_md5, md5(CASE WHEN lower(left(s, 3)) = 'to ' THEN
   len(list_filter(regexp_split_to_array(text, '{WS_SQL}'), lambda p: p <> '')) AS tokens, length(text) AS chars FROM i"""
 )
 def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("text")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.md5(t.collapse(c)).alias("clean_md5"), F.md5(t.clean_instruction(c)).alias("instruction_md5"), F.md5(t.safe_name(c)).alias("name_md5"), t.truncate(c, 80).alias("short"),
-        F.md5(t.sentence(c)).alias("sentence_md5"), t.token_count(c).alias("tokens"), t.char_count(c).alias("chars"),
+    c = F.col("c")  # cleaning what is clean changes nothing, so the rest starts from the collapsed text
+    return table(spark, sf_dir, "documents").withColumn("c", t.collapse(F.col("text"))).select(
+        "doc_id", F.md5(c).alias("clean_md5"), F.md5(t.clean_instruction(c)).alias("instruction_md5"), F.md5(t.safe_name(c)).alias("name_md5"), t.truncate(c, 80).alias("short"),
+        F.md5(t.sentence(c)).alias("sentence_md5"), t.token_count(c).alias("tokens"), t.char_count(F.col("text")).alias("chars"),
     )
 
 
