@@ -152,27 +152,29 @@ def qkv_rows(steps: DataFrame, skip_invalid: bool = False, keyboard_enter: bool
     past_after = F.coalesce("_done", "_prior", recorded)
     kind, step = F.col("action_type"), F.col("step_index").cast("string")
 
-    def entry(synthetic: str, place: Column, suffix: Column, why: Column, action: Column, goal: str, history: str, ui: str, key: Column) -> Column:
-        name = F.concat(F.lit("aw_"), safe_name(F.col("episode_id"), "episode"), F.lit("_"), place, F.lit("_"), suffix)
-        return F.struct(F.lit(synthetic).alias("synthetic"), name.alias("name"), why.alias("reason"), action.alias("action"), F.col(goal).alias("g"), F.col(history).alias("h"), F.col(ui).alias("u"), key.alias("key_string"))
-
-    bad = F.col("_bad")
-    base = entry(
-        "no", step, F.when(bad, F.concat(safe_name(kind), F.lit("_infeasible"))).otherwise(safe_name(kind)), F.when(bad, UNUSABLE).otherwise(F.col("_reason")),
-        F.when(bad, '{"action_type":"status","goal_status":"infeasible"}').otherwise(F.col("_json")), "goal", "compact", "ui", _key(F.col("_doing"), past),
+    # A made row differs from a step's own by its mark alone until here, so what a caller drops is never made.
+    bad, mark = F.col("_bad"), F.col("synthetic")
+    marks = [F.when(~bad, "no") if skip_invalid else F.lit("no")]
+    marks += [F.when(~bad & (kind == "input_text"), "keyboard")] if keyboard_enter else []
+    marks += [F.when(~F.col("_next"), "terminal")] if terminal else []
+    rows = rows.withColumn("synthetic", F.explode(F.array_compact(F.array(*marks))))
+
+    def told_by(no: Column, typed: Column, last: Column) -> Column:
+        return F.when(mark == "no", no).when(mark == "keyboard", typed).otherwise(last)
+
+    name = F.concat(
+        F.lit("aw_"), safe_name(F.col("episode_id"), "episode"), F.lit("_"), step,
+        told_by(F.concat(F.lit("_"), safe_name(kind), F.when(bad, "_infeasible").otherwise("")), F.lit("_keyboard_enter_keyboard_enter_after_input_text"), F.lit("_terminal_complete_status_complete")),
     )
-    typed = entry(
-        "keyboard", F.concat(step, F.lit("_keyboard_enter")), F.lit("keyboard_enter_after_input_text"), F.lit("The text has been entered, so I should press Enter to submit it."),
-        F.lit('{"action_type":"keyboard_enter"}'), "_goal", "_history", "_ui", _key(F.col("_doing_next"), past_after),
+    out = rows.select(
+        "episode_id", "step_index", "synthetic", name.alias("name"), "conversion_error", bad.alias("invalid"),
+        told_by(F.when(bad, UNUSABLE).otherwise(F.col("_reason")), F.lit("The text has been entered, so I should press Enter to submit it."), F.lit("The recorded episode has reached its final state, so the task is complete.")).alias("reason"),
+        told_by(F.when(bad, '{"action_type":"status","goal_status":"infeasible"}').otherwise(F.col("_json")), F.lit('{"action_type":"keyboard_enter"}'), F.lit('{"action_type":"status","goal_status":"complete"}')).alias("action"),
+        told_by(F.col("goal"), F.col("_goal"), F.col("goal")).alias("g"),
+        told_by(F.col("compact"), F.col("_history"), F.col("compact_after")).alias("h"),
+        told_by(F.col("ui"), F.col("_ui"), F.col("ui")).alias("u"),
+        told_by(_key(F.col("_doing"), past), _key(F.col("_doing_next"), past_after), _key(F.col("_doing"), past_after)).alias("key_string"),
     )
-    last = entry(
-        "terminal", F.concat(step, F.lit("_terminal_complete")), F.lit("status_complete"), F.lit("The recorded episode has reached its final state, so the task is complete."),
-        F.lit('{"action_type":"status","goal_status":"complete"}'), "goal", "compact_after", "ui", _key(F.col("_doing"), past_after),
-    )
-    chosen = [F.when(~bad, base) if skip_invalid else base]
-    chosen += [F.when(~bad & (kind == "input_text"), typed)] if keyboard_enter else []
-    chosen += [F.when(~F.col("_next"), last)] if terminal else []
-    out = rows.select("episode_id", "step_index", "conversion_error", bad.alias("invalid"), F.inline(F.array_compact(F.array(*chosen))))
     text = F.concat(F.lit("Reason: "), F.col("reason"), F.lit("\nAction: "), F.col("action"))
     return out.select(
         "episode_id", "step_index", "synthetic", "name", F.lit("next AndroidWorld action").alias("description_type"), "reason", text.alias("description"), question(F.col("g"), F.col("h"), F.col("u")).alias("Q"), text.alias("A"),

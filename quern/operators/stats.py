@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.compat import or_default
+from quern.compat import or_default, written
 
 
 def counted(rows: DataFrame, key: str | Column, name: str = "key") -> DataFrame:
@@ -19,7 +19,7 @@ def length_stats(rows: DataFrame, episode: str, first: int = 10) -> DataFrame:
 
     The two lists are cut to their length by a ranking, so only their ends are gathered.
     """
-    lengths = rows.groupBy(F.col(episode).alias("ep")).agg(F.count("*").alias("n"))
+    lengths = written(rows.groupBy(F.col(episode).alias("ep")).agg(F.count("*").alias("n")), "lengths")  # read three times
     ends = lengths.agg(F.round(F.avg("n"), 3).alias("avg"), F.min("n").alias("min"), F.max("n").alias("max"))
 
     def listed(end: str) -> DataFrame:

@@ -33,10 +33,12 @@ def _field(json: Column, name: str) -> Column:
 def qkv_summary(acted: DataFrame) -> DataFrame:
     """(section, key, n) of with_action rows: rows, episodes, description_type, action_type, status_goal, synthetic.
 
-    An output that isn't a valid action is "malformed" and has no goal. One pass counts all but the episodes.
+    An output that isn't a valid action is "malformed" and has no goal. One pass counts all: each episode is a
+    key first, and the keys are counted after.
     """
     action, failed = F.col("output.action"), F.col("output.error").isNotNull()
     kind = F.when(failed, "malformed").otherwise(_field(action, "action_type"))
+    none = acted.sparkSession.createDataFrame([("episodes", "total", 0)], "section string, key string, n bigint")
     counts = tallied(
         acted,
         rows=F.array(F.lit("total")),
@@ -44,9 +46,11 @@ def qkv_summary(acted: DataFrame) -> DataFrame:
         action_type=F.array(kind),
         status_goal=F.array(F.when(kind == "status", _field(action, "goal_status"))),
         synthetic=synthetic_kinds(F.col("parsed.suffix")),
+        episodes=F.array("parsed.episode"),
     )
-    episodes = acted.select("parsed.episode").distinct().agg(F.lit("episodes").alias("section"), F.lit("total").alias("key"), F.count("*").alias("n"))
-    return counts.unionByName(episodes)
+    each = F.col("section") == "episodes"
+    counts = counts.select("section", F.when(each, "total").otherwise(F.col("key")).alias("key"), F.when(each, 1).otherwise(F.col("n")).alias("n"))
+    return none.unionByName(counts).groupBy("section", "key").agg(F.sum("n").alias("n"))
 
 
 def malformed_rows(acted: DataFrame, most: int = 20) -> DataFrame:
@@ -56,7 +60,9 @@ def malformed_rows(acted: DataFrame, most: int = 20) -> DataFrame:
 
 def original_steps(acted: DataFrame) -> DataFrame:
     """(episode, step): the recorded steps that the rows come from, each once."""
-    return acted.select("parsed.episode", "parsed.step").filter("step is not null").distinct()
+    # A filter would be pushed below the names and make each of them again.
+    known = F.filter(F.array(F.struct("parsed.episode", "parsed.step")), lambda p: p["step"].isNotNull())
+    return acted.select(F.inline(known)).distinct()
 
 
 def action_report(rows: DataFrame) -> DataFrame:

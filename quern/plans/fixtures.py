@@ -53,12 +53,14 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     (episode_id string, step_index, k, goal, ui, instruction, action_type, idx, x, y, text, direction, app_name, goal_status).
     """
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    # Numbered by the episode's own name, so that windows by episode after it find their rows together.
+    w = Window.partitionBy("episode_id").orderBy("ts", "event_id")
     k = F.get_json_object("props", "$.k").cast("int")
-    e = table(spark, sf_dir, "events").select("*", k.alias("k"), (F.row_number().over(w) - 1).cast("bigint").alias("step_index"))
+    e = table(spark, sf_dir, "events").select("*", F.col("user_id").cast("string").alias("episode_id"), k.alias("k"))
+    e = e.withColumn("step_index", (F.row_number().over(w) - 1).cast("bigint"))
     kind = F.col("event_type")
     return e.select(
-        F.col("user_id").cast("string").alias("episode_id"),
+        "episode_id",
         "step_index",
         "k",
         F.when(F.col("user_id") % 11 != 0, F.concat(F.lit("Finish the plan of user "), F.col("user_id").cast("string"), F.lit("."))).alias("goal"),

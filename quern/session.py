@@ -25,8 +25,18 @@ def build_session(app: str = "quern", master: str | None = None, partitions: int
     return b.getOrCreate()
 
 
+#: HotSpot leaves methods over so many bytes of code to its interpreter. A stage with one is better off
+#: without whole-stage code, whose expressions are then compiled in pieces.
+HUGE_METHOD = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Once an application: the package as a zip, so Python workers find it wherever they run."""
+    """Once an application: the package as a zip, so Python workers find it wherever they run.
+
+    Also bounds the generated methods of the session, unless it has a bound of its own.
+    """
+    if spark.conf.get(HUGE_METHOD[0]) == "65535":  # Spark's default
+        spark.conf.set(*HUGE_METHOD)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

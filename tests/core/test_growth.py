@@ -173,3 +173,56 @@ def test_subsequences_of_long_texts(spark, monkeypatch):
     got = {r.id: (r.lcs, r.f1) for r in evaluation.rouge_l(rows).collect()}
     monkeypatch.undo()
     assert got[1][0] == evaluation.lcs_length(a.lower().split(), b.lower().split()) and got[2] == (9000, 1.0) and got[3] == (0, 0.0) and got[4] == (0, 0.0)
+
+
+def _plan(found):
+    return found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_of_episode_rows_make_no_texts(spark):
+    """Rows are told apart by a mark, so what a count drops is never put together; before, all of it was."""
+    from quern.plans import registry
+
+    plan = _plan(registry.queries()["qkv_counts"](spark, "/root/testdata/sf0.001"))
+    assert "current screen shows" not in plan and "Earlier steps" not in plan
+    assert "Earlier steps" not in _plan(registry.queries()["qkv_summary"](spark, "/root/testdata/sf0.001"))
+
+
+def test_episodes_are_read_once(spark):
+    from quern.plans import registry
+
+    for name, shuffles in (("qkv_counts", None), ("episode_qkv", 1), ("qkv_summary", None)):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1, name
+        assert shuffles is None or plan.count("Exchange ") == shuffles, name
+
+
+def test_names_of_original_steps_are_made_once(spark):
+    from quern.operators import summary
+
+    rows = spark.createDataFrame([("aw_e 1_4_click",), ("aw_e 1_4_keyboard",), ("none",)], "name string").selectExpr("name || '' name", "'x' description", "'y' A")
+    found = summary.original_steps(summary.with_action(rows))
+    assert [tuple(r) for r in found.collect()] == [("e 1", 4)] and "Filter" not in _plan(found)
+
+
+def test_cleaned_texts(spark):
+    import re
+    import time
+
+    from quern.functions import text as t
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(" .aB_9é  \n\x1f\U0001f600-") for _ in range(rng.randint(0, 12))) for _ in range(300)] + [None, "To be.", "to  "]
+    c = F.col("s")
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", t.collapse(c).alias("c"), t.safe_name(c).alias("n"), t.token_count(c).alias("k"), t.sentence(c).alias("e"), t.truncate(c, 5).alias("u")).collect()
+    for r in rows:
+        s = texts[r.i] or ""
+        clean = " ".join(s.split())
+        bare = clean.strip(" .")
+        assert (r.c, r.k, r.e) == (clean, len(s.split()), bare and bare + ".")
+        assert r.n == (re.sub("[^0-9A-Za-z_]+", "_", clean or "row").strip("_") or "row")
+        assert r.u == (bare if len(bare) <= 5 else bare[:4].rstrip(" .,;") + "...")
+    long = spark.range(8).select(F.repeat(F.lit("some wörds, and more. "), 100_000).alias("s"))
+    began = time.time()
+    assert long.select(F.length(t.safe_name(F.col("s"))).alias("n")).distinct().count() == 1
+    assert time.time() - began < 15  # 17.6 MB
